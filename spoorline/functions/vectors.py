@@ -83,6 +83,7 @@ def erf(x: Column) -> Column:
 
 def activate(name: str, x: Column, slope: float = 0.25) -> Column:
     """Scalar activation by name; an unknown name means relu. ``slope`` is the prelu weight."""
+    name = name.lower()
     if name == "leaky_relu":
         return F.when(x >= 0, x).otherwise(x * 0.01)
     if name == "prelu":
