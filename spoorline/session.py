@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -48,3 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: freezes the rows and drops the lineage; survives lost executors."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a frozen (checkpointed or stored) narrow table for broadcast if it is counted to be small.
+
+    Beyond the limit it is left to the shuffled join.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
