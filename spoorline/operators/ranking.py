@@ -79,53 +79,45 @@ def exact_percentiles(
     """Exact linear-interpolated percentiles, rows ``(*by, p, value)``, in two column-pruned scans.
 
     A quantile sketch (error 1e-5 of the rows) brackets each wanted rank; the second scan counts the rows
-    below each bracket and groups the few values inside it, so no task holds more than the brackets.
+    below each bracket and groups the few values inside it, so no task holds more than the brackets. Groups of
+    up to ``ACCURACY`` rows, where that error is under one row, are grouped by value as a whole instead.
     """
-    by = list(by)
+    by, probs = list(by), [float(p) for p in probs]
     margin = 3.0 / ACCURACY
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)]
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", edges, ACCURACY).alias("__q"),
-    )
-    if by:
-        bounded = rows.join(sketch.select(*by, "__q"), by)
-    else:
-        bounded = rows.withColumn("__q", sketch.select("__q").scalar())
-    low, high = (lambda i: F.col("__q")[2 * i]), (lambda i: F.col("__q")[2 * i + 1])
-    marks = F.array(*[
-        F.when(F.col("__v") <= high(i), F.struct(F.lit(i).alias("i"), F.when(F.col("__v") >= low(i), F.col("__v")).alias("v")))
-        for i in range(len(probs))
-    ])
+    sketch = rows.groupBy(*by).agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", edges, ACCURACY).alias("q")
+    ).alias("__s"))
+
+    def with_sketch(table: DataFrame) -> DataFrame:
+        return table.join(sketch, by) if by else table.withColumn("__s", sketch.scalar())
+
+    v, small = F.col("__v"), F.col("__s.n") <= ACCURACY
+    marks = [F.when(small, F.struct(F.lit(0).alias("i"), v.alias("v")))]
+    for i in range(len(probs)):
+        low, high = F.col("__s.q")[2 * i], F.col("__s.q")[2 * i + 1]
+        marks.append(F.when(~small & (v <= high), F.struct(F.lit(i).alias("i"), F.when(v >= low, v).alias("v"))))
     counted = (
-        bounded.select(*by, F.explode(F.array_compact(marks)).alias("__m"))
-        .groupBy(*by, F.col("__m.i").alias("__i"), F.col("__m.v").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        with_sketch(rows).select(*by, F.explode(F.array_compact(F.array(*marks))).alias("__m"))
+        .groupBy(*by, F.col("__m.i").alias("__i"), F.col("__m.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     )
     upto = (
         Window.partitionBy(*by, "__i").orderBy(F.col("__v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    running = counted.withColumn("__cum", F.sum("__c").over(upto))
-    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1)
-    if by:
-        running = running.join(sketch.select(*by, "__n"), by)
-    else:
-        running = running.withColumn("__n", sketch.select("__n").scalar())
-    at = F.col("__p") * (F.col("__n") - 1)
-    return (
-        running.withColumn("__p", wanted)
-        .withColumn("__h", at)
-        .groupBy(*by, F.col("__p").alias("p"), "__h")
-        .agg(
-            F.min(F.when(F.col("__cum") > F.floor("__h"), F.col("__v"))).alias("__lo"),
-            F.min(F.when(F.col("__cum") > F.ceil("__h"), F.col("__v"))).alias("__hi"),
-        )
-        .select(
-            *by, "p",
-            (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__h") - F.floor("__h"))).alias("value"),
-        )
+    running = with_sketch(counted.withColumn("__cum", F.sum("__c").over(upto)))
+    found = []
+    for i, p in enumerate(probs):
+        own, at = small | (F.col("__i") == i), p * (F.col("__s.n") - 1)
+        found.append(F.struct(
+            F.lit(p).alias("p"), F.max(at).alias("at"),
+            F.min(F.when(own & (F.col("__cum") > F.floor(at)), v)).alias("lo"),
+            F.min(F.when(own & (F.col("__cum") > F.ceil(at)), v)).alias("hi"),
+        ))
+    out = running.groupBy(*by).agg(F.array(*found).alias("__f")).select(*by, F.inline("__f"))
+    return out.where(F.col("at").isNotNull()).select(
+        *by, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value")
     )
 
 
