@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
 from spoorline.operators import metrics as M
+from spoorline.operators import neighbours as N
 from spoorline.operators import propagate as P
 from spoorline.operators import scoring as S
 from spoorline.plans.fixtures import SCORES_SQL, prov_events, prov_scores, prov_vectors, vectors_sql
@@ -337,3 +338,28 @@ def score_with_model(spark, sf):
         return batch[["event_id"]].assign(score=(batch["score"] * 2 + batch["label"]).round(6))
 
     return S.score_with_model(prov_events(spark, sf), model, ["event_id", "score", "label"], "event_id long, score double")
+
+
+@query("knn_anomaly", """with u as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as vec from embeddings),
+  d as (select a.vec_id, 1-list_dot_product(a.vec,b.vec)/(sqrt(list_dot_product(a.vec,a.vec))*sqrt(list_dot_product(b.vec,b.vec))) as d from u a, u b where b.label=0)
+  select vec_id, round(avg(d),6) as score from (select * from d qualify row_number() over (partition by vec_id order by d)<=20) group by 1""")
+def knn_anomaly(spark, sf):
+    vectors = prov_vectors(spark, sf)
+    return N.knn_anomaly(vectors, vectors.where("label = 0"), 20).select("vec_id", r6("score").alias("score"))
+
+
+@query("temporal_contrast", pe(f"""select a.vec_id//2 as entity_key, 1::bigint as window_id, round(ls - {_COS}/0.07, 6) as loss from vv a join vv b on b.vec_id=a.vec_id-1 and a.vec_id%2=1
+  join (select a.vec_id, ln(sum(exp({_COS}/0.07))) as ls from vv a, vv b where a.vec_id%2=1 and b.vec_id%2=0 group by 1) l on l.vec_id=a.vec_id""", VV))
+def temporal_contrast(spark, sf):
+    return N.temporal_contrast(windowed_vectors(spark, sf)).select("entity_key", "window_id", r6("loss").alias("loss"))
+
+
+@query("text_embeddings")
+def text_embeddings(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    from spoorline.operators.features import text_embeddings as embed
+    from spoorline.plans.fixtures import table
+
+    out_df = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1, minCount=5)
+    return out_df.select("doc_id", vector_to_array("w2v").alias("vec"))
