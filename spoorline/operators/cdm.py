@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.times import to_epoch
 from spoorline.functions.vocab import CDM_PREFIX, ENTITY_TYPES, EVENT_TYPES, lookup
-from spoorline.operators.records import as_map, attribute_map, get, has
+from spoorline.operators.records import as_map, attribute_map, get, has, once
 
 UUID = "com.bbn.tc.schema.avro.cdm18.UUID"
 
@@ -27,22 +27,16 @@ def infer_type(d: str = "datum") -> Column:
 
 def unwrap(records: DataFrame) -> DataFrame:
     """Adds ``rec`` (the record) and ``record_type``: the wrapper's class, or inferred for a bare record."""
-    wrapper = F.filter(F.map_keys(F.try_variant_get("datum", "$", "map<string,variant>")), lambda k: k.startswith(CDM_PREFIX))
-    return (
-        records.withColumn("datum", get("v", "datum", kind="variant")).where(F.col("datum").isNotNull())
-        .withColumn("__key", F.try_element_at(wrapper, F.lit(1)))
-        .withColumn(
-            "rec",
-            F.when(F.col("__key").isNull(), F.col("datum")).otherwise(
-                F.try_element_at(F.try_variant_get("datum", "$", "map<string,variant>"), F.col("__key"))
-            ),
-        )
-        .withColumn(
-            "record_type",
-            F.when(F.col("__key").isNull(), infer_type()).otherwise(F.substring_index("__key", ".", -1)),
-        )
-        .drop("__key", "datum")
-    )
+    fields = F.try_variant_get("v", "$.datum", "map<string,variant>")
+    opened = once(records, datum=get("v", "datum", kind="variant"), fields=fields).where(F.col("datum").isNotNull())
+    key = F.try_element_at(F.filter(F.map_keys("fields"), lambda k: k.startswith(CDM_PREFIX)), F.lit(1))
+    keyed = once(opened, wrapper=key)
+    bare = F.col("wrapper").isNull()
+    return once(
+        keyed,
+        rec=F.when(bare, F.col("datum")).otherwise(F.try_element_at("fields", F.col("wrapper"))),
+        record_type=F.when(bare, infer_type()).otherwise(F.substring_index("wrapper", ".", -1)),
+    ).drop("datum", "fields", "wrapper")
 
 
 def reference(field: str) -> Column:

@@ -19,9 +19,18 @@ ATTRIBUTES = "map<string,string>"
 CDM_CLASSES = ["Event", "Subject", "FileObject", "NetFlowObject", "Host", "Principal"]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that they are evaluated once per row.
+
+    A generator over a one-element array keeps later filters from being pushed below it, which would evaluate
+    the columns a second time inside the filter.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse(records: DataFrame) -> DataFrame:
     """Adds the record parsed once as VARIANT; text that is no JSON is dropped."""
-    return records.withColumn("v", F.try_parse_json("raw")).where(F.col("v").isNotNull())
+    return once(records, v=F.try_parse_json("raw")).where(F.col("v").isNotNull())
 
 
 def get(v: Column | str, *path: str, kind: str = "string") -> Column:

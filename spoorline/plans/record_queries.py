@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoorline.functions.times import ntz_micros, to_epoch
 from spoorline.operators import analysis, cdm, ecs, metrics, records as R
 from spoorline.operators import graph as G
+from spoorline.operators import normalize as N
 from spoorline.operators.registry import entity_registry
 from spoorline.operators.windows import totals, tumbling_windows
 from spoorline.plans.fixtures import SCORES_SQL, prov_events, prov_scores, prov_vectors, table
@@ -86,7 +87,7 @@ ECS_DST = """case when event_type='view' then 'file:/data/'||k when event_type='
   'u'||user_id as user_name, case when event_type='signup' then 'h1' else '' end as host,
   case when event_type='signup' and k>=90 then 'missing_target' else 'parsed' end as status from b"""))
 def ecs_events(spark, sf):
-    out = ecs.events(R.parse(raw_ecs(spark, sf)))
+    out = ecs.events(raw_ecs(spark, sf))
     a = F.col("attributes")
     return out.select(
         "event_id", "event_type", "src_key", "dst_key", r6("ts_s").alias("ts_s"), "category", a["user"].alias("user_name"),
@@ -103,7 +104,7 @@ _ECS_ENT = f"""ends as (select 'process:'||{ECS_SRC} as entity_key, event_id*2 a
 
 @query("ecs_entities", of("select entity_key, split_part(entity_key,':',1) as entity_type, count(*) as occurrences, arg_max(v1,pos) as first_value, arg_max(v2,pos) as second_value from ends group by 1", _ECS_ENT))
 def ecs_entities(spark, sf):
-    registry = entity_registry(R.event_entities(ecs.events(R.parse(raw_ecs(spark, sf)))))
+    registry = entity_registry(R.event_entities(ecs.events(raw_ecs(spark, sf))))
     a = F.col("attributes")
     first = F.when(F.col("entity_type") == "file", a["path"]).when(F.col("entity_type") == "network", a["dest_port"]).otherwise(a["pid"])
     second = F.when(F.col("entity_type") == "network", a["transport"]).otherwise(a["name"])
@@ -113,7 +114,7 @@ def ecs_entities(spark, sf):
 @query("parse_report", of("""select 'status' as metric, case when event_type='signup' and k>=90 then 'missing_target' else 'parsed' end as value, count(*) as n from b group by 2
   union all select 'event', event_type, count(*) from b where not (event_type='signup' and k>=90) group by 2"""))
 def parse_report(spark, sf):
-    return R.parse_report(ecs.events(R.parse(raw_ecs(spark, sf))))
+    return R.parse_report(ecs.events(raw_ecs(spark, sf)))
 
 
 @query("event_ids", of(f"select {SECONDS}||'_'||user_id||'_'||event_type as event_id from b"))
@@ -540,14 +541,14 @@ def materialize_roundtrip(spark, sf):
 @query("graphml_lines", pe("""select 1 as section, count(*) as lines, md5(string_agg(md5(l), '' order by md5(l))) as digest from (select '<node id="'||k||'"><data key="node_type">'||split_part(k,':',1)||'</data></node>' as l
    from (select src_key as k from pe union select dst_key from pe))
   union all select 2, count(*), md5(string_agg(md5(l), '' order by md5(l))) from (select '<edge source="'||src_key||'" target="'||dst_key||'"><data key="event_type">'||event_type||'</data><data key="timestamp">'||
-   cast(ts_s as decimal(20,6))||'</data><data key="anomaly_score">'||score||'</data></edge>' as l from dg)""".replace("md5(string_agg(md5(l), '' order by md5(l)))", "cast(sum(('0x'||substr(md5(l),1,12))::bigint) as bigint)"), DIGRAPH))
+   cast(ts_s as decimal(20,6))||'</data><data key="anomaly_score">'||score||'</data></edge>' as l from dg)""".replace("md5(string_agg(md5(l), '' order by md5(l)))", "cast(sum(('0x'||substr(md5(l),1,8))::bigint) as bigint)"), DIGRAPH))
 def graphml_lines(spark, sf):
     events = prov_events(spark, sf)
     nodes = G.endpoints(events).select("entity_key").distinct().withColumn("entity_type", G.entity_type(F.col("entity_key")))
     path = scratch_path(spark, "graphml")
     sinks.export_graphml(nodes, G.simple_digraph(events), path)
     lines = spark.read.text(path).where("value like '<node%' or value like '<edge%'")
-    digest = F.conv(F.substring(F.md5("value"), 1, 12), 16, 10).cast("long")
+    digest = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long")
     return lines.groupBy(F.when(F.col("value").startswith("<node"), 1).otherwise(2).alias("section")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum(digest).alias("digest")
     )
@@ -589,3 +590,34 @@ def run_metadata(spark, sf):
     path = scratch_path(spark, "metadata")
     sinks.save_run_metadata(sinks.run_metadata(spark, seconds, {"window_seconds": "3600"}), path)
     return spark.read.schema("position int, stage string, seconds double, config map<string,string>").json(path)
+
+
+def written(spark, rows, name):
+    path = scratch_path(spark, name)
+    rows.select("raw").repartition(8).write.text(path)
+    return path
+
+
+@query("logs_to_graphs", pe("""select window_id, (select count(*) from n2 where n2.window_id=w.window_id) as nodes, count(*) filter (src<>dst) as edges from w group by 1""", _RES.replace("res as (select p.event_id,", "res as (select p.ts_s, p.event_id,") + """,
+  ok as materialized (select ts_s, src_key as src, dst_key as dst from res where src_key is not null and dst_key is not null),
+  w as materialized (select *, cast(floor((ts_s-(select min(ts_s) from ok))/86400) as bigint) as window_id from ok),
+  n2 as materialized (select window_id, src as k from w union select window_id, dst from w)"""))
+def logs_to_graphs(spark, sf):
+    """Audit record text files read, resolved, windowed by day and turned into node and edge tables."""
+    path = written(spark, raw_cdm_events(spark, sf).unionByName(raw_cdm_entities(spark, sf)), "logs")
+    return graph_sizes(*N.build_graphs(N.normalize(readers.read_ndjson(spark, path), ["cdm"])[0], 86400))
+
+
+def graph_sizes(nodes, edges):
+    n = nodes.groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return n.join(edges.groupBy("window_id").agg(F.count(F.lit(1)).alias("edges")), "window_id", "left").fillna(0, ["edges"])
+
+
+@query("normalize_mixed", of("""select case file when 'cdm' then 'cdm' else file end as file, status, count(*) as n from (
+   select 'ecs' as file, case when event_type='signup' and k>=90 then 'missing_target' else 'parsed' end as status from b
+   union all select 'custom', 'parsed' from b union all select 'cdm', case when event_type in ('view','click') and k between 95 and 99 then 'missing_entities' else 'parsed' end from b) group by 1,2"""))
+def normalize_mixed(spark, sf):
+    records = R.parse(mixed_records(spark, sf).unionByName(raw_cdm_entities(spark, sf)))
+    schema = {"timestamp_field": "when", "source_field": "actor", "target_field": "object", "event_type_field": "verb"}
+    events, _ = N.normalize(records, custom_schema=schema)
+    return events.groupBy("file", "status").agg(F.count(F.lit(1)).alias("n"))
