@@ -45,9 +45,13 @@ def normalize(
 
 
 def build_graphs(events: DataFrame, window_seconds: float = 3600) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` per time window of the parsed events; self-loops become nodes but no edges."""
+    """``(nodes, edges)`` per time window of the parsed events; self-loops become nodes but no edges.
+
+    The parsed events are stored once: windows, nodes, types and edges all read them again.
+    """
     per = ["window_id"]
-    windowed = tumbling_windows(events.where("status = 'parsed' and ts_s is not null"), window_seconds)
+    parsed = events.where("status = 'parsed' and ts_s is not null")
+    windowed = tumbling_windows(cut(parsed.select("event_id", "event_type", "src_key", "dst_key", "ts_s")), window_seconds)
     kept = G.remove_self_loops(windowed)
     nodes = G.build_nodes(windowed, per)
     return nodes, G.build_edges(kept, nodes, G.edge_type_dict(kept, per), per)

@@ -46,9 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: freezes the rows and drops the lineage; survives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the rows as a table in the shared folder and reads it back.
+
+    Freezes the rows and drops the lineage, survives lost executors, and later steps read only the columns they
+    need; the table's size is known, so the planner broadcasts it exactly when it is small.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000
