@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from spoorline.operators.graph import entity_type
 from spoorline.operators.metrics import separation_ratio, top_k
 from spoorline.operators.ranking import exact_percentiles, percentile_of
+from spoorline.session import cut
 
 
 def ensemble(scores: DataFrame, require_all: bool = False) -> DataFrame:
     """Min-max per model (range + 1e-10), then the mean over models per event."""
-    span = scores.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    # one row per model, stored so that it is broadcast by its size
+    span = cut(scores.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi")))
     scaled = scores.join(span, "model").withColumn(
         "scaled", (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10)
     )
@@ -27,13 +29,13 @@ def ensemble(scores: DataFrame, require_all: bool = False) -> DataFrame:
 def temporal_profile(events: DataFrame, hours: float = 1.0, p: float = 0.99) -> DataFrame:
     """Epoch-aligned buckets by mean score: count, mean, max, deviation and number above the global percentile."""
     width = int(hours * 3600)
-    cut = percentile_of(events, "score", p)
+    limit = percentile_of(events, "score", p)
     return (
         events.where(F.col("ts_s") > 0)
         .groupBy((F.floor(F.col("ts_s") / width) * width).alias("bucket"))
         .agg(
             F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg_score"), F.max("score").alias("max_score"),
-            F.stddev_pop("score").alias("std_score"), F.count_if(F.col("score") > cut).alias("above"),
+            F.stddev_pop("score").alias("std_score"), F.count_if(F.col("score") > limit).alias("above"),
         )
         .orderBy(F.desc("avg_score"), "bucket")
     )
@@ -61,7 +63,7 @@ def anomaly_details(scores: DataFrame, events: DataFrame, entities: DataFrame, k
 
 def rank_models(scores: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
     """Models by separation ratio with critical (>= p99.9) and high (>= p99) counts; expected but absent ones fail."""
-    cuts = (
+    cuts = cut(
         exact_percentiles(scores, "score", [0.99, 0.999], ["model"]).groupBy("model")
         .agg(F.max(F.when(F.col("p") < 0.995, F.col("value"))).alias("p99"), F.max(F.when(F.col("p") > 0.995, F.col("value"))).alias("p999"))
     )
@@ -79,7 +81,7 @@ def rank_models(scores: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
 
 def flagged(scores: DataFrame, p: float = 0.95) -> DataFrame:
     """Rows at or above their own model's percentile."""
-    cuts = exact_percentiles(scores, "score", [p], ["model"]).select("model", F.col("value").alias("cut"))
+    cuts = cut(exact_percentiles(scores, "score", [p], ["model"]).select("model", F.col("value").alias("cut")))
     return scores.join(cuts, "model").where(F.col("score") >= F.col("cut")).drop("cut")
 
 

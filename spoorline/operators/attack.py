@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spoorline.operators import graphalgo
 from spoorline.operators.features import degrees
 from spoorline.operators.graph import entity_type
+from spoorline.operators.ranking import first_per_group
 from spoorline.session import cut, sized
 
 ORDER = ("score", "event_id")
@@ -45,13 +46,9 @@ def _expand(digraph, members, seeds, floor, depth, fan, near, far, tag):
     """Level-synchronous walk from ``near`` to ``far`` ends; returns the added edges and all members."""
     frontier = visited = seeds
     added = None
-    order = Window.partitionBy(near).orderBy(*_best_first())
     for level in range(depth):
         fringe = sized(frontier.withColumnRenamed("entity_key", near))
-        best = (
-            digraph.join(fringe, near, "left_semi")
-            .withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= fan).drop("__r")
-        )
+        best = first_per_group(digraph.join(fringe, near, "left_semi"), [near], _best_first(), fan)
         inside = members.select(F.col("entity_key").alias(far), F.lit(True).alias("__in"))
         step = cut(
             best.join(inside, far, "left").where((F.col("score") > floor) | F.col("__in"))

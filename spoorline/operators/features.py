@@ -176,10 +176,11 @@ def time_delta(edges: DataFrame, keys: Sequence[str] = ("src_key",), cap: float
         "__before", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__slice"))
     ).drop("__end")
     inside = Window.partitionBy(*keys, "__slice").orderBy("ts_s", "event_id")
+    gap = F.col("ts_s") - F.coalesce("__lag", "__before")
     return (
         sliced.withColumn("__lag", F.lag("ts_s").over(inside))
         .join(previous, [*keys, "__slice"])
-        .withColumn("time_delta", F.least(F.col("ts_s") - F.coalesce("__lag", "__before"), F.lit(float(cap))))
+        .withColumn("time_delta", F.when(gap > cap, F.lit(float(cap))).otherwise(gap))
         .drop("__slice", "__lag", "__before")
     )
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.operators.ranking import group_rank, global_rank
+from spoorline.operators.ranking import first_per_group, global_rank, group_rank
 
 
 def entity_type(key: Column) -> Column:
@@ -180,11 +180,8 @@ def cap_nodes(nodes: DataFrame, edges: DataFrame, max_nodes: int, per: Sequence[
         edges.select(*per, F.explode(F.array("src", "dst")).alias("node_id"))
         .groupBy(*per, "node_id").agg(F.count(F.lit(1)).alias("degree"))
     )
-    order = Window.partitionBy(*per).orderBy(F.desc("degree"), F.asc("node_id"))
-    kept = (
-        nodes.join(degree, [*per, "node_id"], "left").fillna(0, ["degree"])
-        .withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_nodes).drop("__r")
-    )
+    known = nodes.join(degree, [*per, "node_id"], "left").fillna(0, ["degree"])
+    kept = first_per_group(known, per, [F.desc("degree"), F.asc("node_id")], max_nodes)
     ids = kept.select(*per, "node_id")
     inner = edges.join(ids.withColumnRenamed("node_id", "src"), [*per, "src"], "left_semi").join(
         ids.withColumnRenamed("node_id", "dst"), [*per, "dst"], "left_semi"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoorline.operators import cdm, ecs
 from spoorline.operators import graph as G
-from spoorline.operators.records import custom_events, detect_format, event_entities
+from spoorline.operators.records import custom_events, event_entities, with_format
 from spoorline.operators.windows import tumbling_windows
 from spoorline.session import cut
 
@@ -32,8 +32,7 @@ def normalize(
     """
     wanted = formats or list(FORMATS)
     if len(wanted) > 1:
-        # one row per file, frozen so that every format's branch sees the same decision
-        records = records.join(cut(detect_format(records)), "file")
+        records = with_format(records)
     events, entities = None, None
     for name in wanted:
         rows = records if len(wanted) == 1 else records.where(F.col("format") == name).drop("format")

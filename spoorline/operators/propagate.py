@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
+from spoorline.operators.ranking import first_per_group
 from spoorline.session import cut
 
 Matrix = Sequence[Sequence[float]]
@@ -173,8 +174,7 @@ def residual(x: Column, h: Column, layer: int = 1) -> Column:
 
 def sample_neighbors(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """At most ``k`` incoming edges per target, chosen by hash (a sampling operator)."""
-    order = Window.partitionBy("dst_key").orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id")
-    return edges.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+    return first_per_group(edges, ["dst_key"], [F.xxhash64("event_id", F.lit(seed)), F.col("event_id")], k)
 
 
 def layer_outputs(nodes: DataFrame, layers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

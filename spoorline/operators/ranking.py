@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from spoorline.session import cut
 
 ACCURACY = 100_000
+# up to this many rows per group the planner cuts groups before the shuffle
+GROUP_LIMIT = 1000
 
 
 def _ranged(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
@@ -55,12 +57,25 @@ def group_rank(
 ) -> DataFrame:
     """0-based position inside each ``per`` group; a group of any size is spread over many tasks."""
     ranked = global_rank(df, [F.col(c) for c in per] + _columns(order_by), "__g")
-    first = ranked.groupBy(*per).agg(F.min("__g").alias("__g0"))
+    # one row per group, stored so that the planner knows its size
+    first = cut(ranked.groupBy(*per).agg(F.min("__g").alias("__g0")))
     return (
         ranked.join(first, list(per)).withColumn(name, F.col("__g") - F.col("__g0")).drop("__g", "__g0")
     )
 
 
+def first_per_group(df: DataFrame, per: Sequence[str], order_by: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    A small ``n`` is cut in every task before the shuffle (window group limit); a large one uses spread ranks, so
+    a huge group is never sorted in one task.
+    """
+    if n > GROUP_LIMIT:
+        return group_rank(df, per, order_by, "__r").where(F.col("__r") < n).drop("__r")
+    order = Window.partitionBy(*per).orderBy(*_columns(order_by))
+    return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
+
+
 def running_sums(df: DataFrame, order_by: Sequence[Column | str], sums: dict[str, str]) -> DataFrame:
     """Inclusive running totals ``{new: source}`` in the total order of ``order_by`` (unique per row)."""
     order = _columns(order_by)
@@ -89,6 +104,9 @@ def exact_percentiles(
     sketch = rows.groupBy(*by).agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", edges, ACCURACY).alias("q")
     ).alias("__s"))
+    if by:
+        # one row per group, stored so that the planner broadcasts it when it is small
+        sketch = cut(sketch)
 
     def with_sketch(table: DataFrame) -> DataFrame:
         return table.join(sketch, by) if by else table.withColumn("__s", sketch.scalar())

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.times import to_epoch
+from spoorline.operators.ranking import first_per_group
+from spoorline.session import cut
 
 ATTRIBUTES = "map<string,string>"
 
@@ -73,13 +75,12 @@ def detect_format(records: DataFrame) -> DataFrame:
 
 
 def with_format(records: DataFrame) -> DataFrame:
-    return records.join(detect_format(records), "file")
+    return records.join(cut(detect_format(records)), "file")
 
 
 def limit_records_per_file(records: DataFrame, n: int) -> DataFrame:
     """The first ``n`` records read of each file, whether or not they become events."""
-    order = Window.partitionBy("file").orderBy("pos")
-    return records.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
+    return first_per_group(records, ["file"], ["pos"], n)
 
 
 def seconds_text(ts: Column) -> Column:

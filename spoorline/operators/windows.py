@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.operators.ranking import global_rank
+from spoorline.session import cut
 
 
 def tumbling_windows(events: DataFrame, window_seconds: float = 3600) -> DataFrame:
@@ -81,12 +82,12 @@ def totals(windowed: DataFrame, loop_free: DataFrame) -> DataFrame:
 
 def filter_small_windows(windowed: DataFrame, min_events: int) -> DataFrame:
     big = windowed.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_events)
-    return windowed.join(big.select("window_id"), "window_id", "left_semi")
+    return windowed.join(cut(big.select("window_id")), "window_id", "left_semi")
 
 
 def limit_windows(windowed: DataFrame, n: int) -> DataFrame:
     """Events of the first ``n`` windows."""
-    first = windowed.select("window_id").distinct().orderBy("window_id").limit(n)
+    first = cut(windowed.select("window_id").distinct().orderBy("window_id").limit(n))
     return windowed.join(first, "window_id", "left_semi")
 
 
@@ -115,9 +116,9 @@ def batch_graphs(nodes: DataFrame, edges: DataFrame, batch_size: int) -> tuple[D
     )
     ranked = global_rank(sizes, ["window_id"], "__r").withColumn("batch", F.floor(F.col("__r") / batch_size).cast("long"))
     earlier = Window.partitionBy("batch").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranked.select(
+    offsets = cut(ranked.select(
         "window_id", "batch", F.coalesce(F.sum("num_nodes").over(earlier), F.lit(0)).alias("offset")
-    )
+    ))
     shifted_nodes = nodes.join(offsets, "window_id").withColumn("node_id", F.col("node_id") + F.col("offset"))
     shifted_edges = (
         edges.join(offsets, "window_id")

@@ -146,7 +146,7 @@ def calendar(spark, sf):
     return X.calendar_features(prov_events(spark, sf)).select("event_id", "hour", "day_of_week")
 
 
-_DELTA = "select event_id, round(least(ts_s - lag(ts_s) over (partition by {keys} order by ts_s, event_id), 86400.0),4) as time_delta from pe"
+_DELTA = "select event_id, round(case when d>86400 then 86400 else d end,4) as time_delta from (select event_id, ts_s - lag(ts_s) over (partition by {keys} order by ts_s, event_id) as d from pe)"
 
 
 @query("time_delta", pe(_DELTA.format(keys="src_key")))

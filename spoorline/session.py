@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# hub entities: split a skewed join even where that costs one more exchange
+SKEW = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators expect; a cluster's own settings win over these."""
     builder = (
@@ -16,8 +20,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # hub entities: split a skewed join even where that costs one more exchange
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config(SKEW, "true")
     )
     if master:
         builder = builder.master(master)
@@ -28,6 +31,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> None:
+    """Turns on the splitting of skewed joins in a session made elsewhere."""
+    if spark.conf.get(SKEW, "false") != "true":
+        spark.conf.set(SKEW, "true")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

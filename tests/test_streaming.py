@@ -20,11 +20,11 @@ def row(i, ts, key="a"):
 
 
 def test_late_events_are_dropped(spark, tmp_path):
-    stream = feed(spark, tmp_path / "in", [[row(0, 100), row(1, 9000)], [row(2, 200)], [row(3, 20000)]])
+    stream = feed(spark, tmp_path / "in", [[row(0, 100), row(1, 9000)], [row(4, 9100)], [row(2, 200)], [row(3, 20000)]])
     out = S.stream_window_counts(stream, "1 hour", delay="10 minutes")
     S.run_available(out, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {r.window_start: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {0: 1, 7200: 1}
+    assert got == {0: 1, 7200: 2}
 
 
 def test_dedupe_and_sessions(spark, tmp_path):
