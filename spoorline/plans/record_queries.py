@@ -621,3 +621,14 @@ def normalize_mixed(spark, sf):
     schema = {"timestamp_field": "when", "source_field": "actor", "target_field": "object", "event_type_field": "verb"}
     events, _ = N.normalize(records, custom_schema=schema)
     return events.groupBy("file", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+if readers.avro_on_class_path():
+
+    @query("avro_roundtrip", of("select event_type, count(*) as n from b group by 1"))
+    def avro_roundtrip(spark, sf):
+        path = scratch_path(spark, "avro")
+        base(spark, sf).select("event_id", "event_type").write.format("avro").save(path)
+        return readers.read_avro(spark, path).select(R.get("v", "datum", "event_type").alias("event_type")).groupBy("event_type").agg(
+            F.count(F.lit(1)).alias("n")
+        )

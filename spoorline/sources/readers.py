@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
+import pyspark
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,11 @@ def read_json_array(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     return array_records(documents.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
+def avro_on_class_path() -> bool:
+    """Whether Spark's own jar folder holds the external Avro module."""
+    return any((Path(pyspark.__file__).parent / "jars").glob("spark-avro*"))
+
+
 def read_avro(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Avro containers as records; needs the external ``spark-avro`` module."""
     try:
