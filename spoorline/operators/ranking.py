@@ -112,26 +112,36 @@ def exact_percentiles(
         return table.join(sketch, by) if by else table.withColumn("__s", sketch.scalar())
 
     v, small = F.col("__v"), F.col("__s.n") <= ACCURACY
-    marks = [F.when(small, F.struct(F.lit(0).alias("i"), v.alias("v")))]
-    for i in range(len(probs)):
-        low, high = F.col("__s.q")[2 * i], F.col("__s.q")[2 * i + 1]
-        marks.append(F.when(~small & (v <= high), F.struct(F.lit(i).alias("i"), F.when(v >= low, v).alias("v"))))
+    passed = sum((F.when(v >= F.col("__s.q")[2 * i], 1).otherwise(0) for i in range(len(probs))), F.lit(0))
+    left = sum((F.when(v > F.col("__s.q")[2 * i + 1], 1).otherwise(0) for i in range(len(probs))), F.lit(0))
+    # slots grow with the value: gaps between brackets keep their count only, brackets their distinct values
+    slotted = with_sketch(rows).select(*by, v, small.alias("__all"), passed.alias("__in"), left.alias("__out"))
     counted = (
-        with_sketch(rows).select(*by, F.explode(F.array_compact(F.array(*marks))).alias("__m"))
-        .groupBy(*by, F.col("__m.i").alias("__i"), F.col("__m.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+        slotted.select(
+            *by, F.when(F.col("__all"), 0).otherwise(F.col("__in") + F.col("__out")).alias("__slot"),
+            F.when(F.col("__all") | (F.col("__in") > F.col("__out")), v).alias("__v"),
+        )
+        .groupBy(*by, "__slot", "__v").agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = (
-        Window.partitionBy(*by, "__i").orderBy(F.col("__v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    slots = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.groupBy(*by, "__slot").agg(F.sum("__c").alias("__t")).select(
+        *by, "__slot", F.coalesce(F.sum("__t").over(slots), F.lit(0)).alias("__before")
+    )
+    if not by:
+        # at most two slots per wanted percentile and one more
+        before = F.broadcast(before)
+    upto = Window.partitionBy(*by, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    running = with_sketch(
+        counted.withColumn("__run", F.sum("__c").over(upto)).join(before, [*by, "__slot"])
+        .withColumn("__cum", F.col("__run") + F.col("__before"))
     )
-    running = with_sketch(counted.withColumn("__cum", F.sum("__c").over(upto)))
     found = []
-    for i, p in enumerate(probs):
-        own, at = small | (F.col("__i") == i), p * (F.col("__s.n") - 1)
+    for p in probs:
+        at = p * (F.col("__s.n") - 1)
         found.append(F.struct(
             F.lit(p).alias("p"), F.max(at).alias("at"),
-            F.min(F.when(own & (F.col("__cum") > F.floor(at)), v)).alias("lo"),
-            F.min(F.when(own & (F.col("__cum") > F.ceil(at)), v)).alias("hi"),
+            F.min(F.when(F.col("__cum") > F.floor(at), v)).alias("lo"),
+            F.min(F.when(F.col("__cum") > F.ceil(at), v)).alias("hi"),
         ))
     out = running.groupBy(*by).agg(F.array(*found).alias("__f")).select(*by, F.inline("__f"))
     return out.where(F.col("at").isNotNull()).select(

@@ -130,7 +130,7 @@ def validate(spark, sf):
 def negative_samples(spark, sf):
     events = prov_events(spark, sf).select("event_id", "src_key", "dst_key")
     nodes = G.endpoints(prov_events(spark, sf)).select("entity_key").distinct()
-    drawn = P.negative_samples(events, nodes, 2, draws=48)
+    drawn = P.negative_samples(events, nodes, 2)
     real = events.select("src_key", "dst_key").distinct().withColumn("hit", F.lit(1))
     return drawn.join(real, ["src_key", "dst_key"], "left").groupBy("src_key").agg(
         F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")
