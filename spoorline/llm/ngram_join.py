@@ -3,9 +3,9 @@
 If two sets reach the similarity t, their first |x| - ceil(t|x|) + 1 tokens in *any* common order of all tokens share
 one token. Each order here puts the tokens whose salted hash falls in one share of the hash range first, the rarest
 ahead, and all others after them by hash. One scan under the first order drops every document whose whole prefix
-occurs nowhere else; what is left passes order after order, each time only together with the documents of its class so
-far: documents stay together while they are chained by shared prefix tokens under *every* order. Linked documents can
-never be separated, and no pair is listed. Each surviving class is verified exactly, in pairs of bounded blocks; a
+occurs nowhere else. Under each order the rest is chained by shared prefix tokens, and the filters are intersected:
+documents stay candidates of each other only if they are chained under *every* order. Linked documents are never
+separated, and no pair is listed. Each surviving class is verified exactly, in pairs of bounded blocks; a
 block pair returns a spanning forest of its links.
 """
 
@@ -92,30 +92,33 @@ def _all_orders(k: int, num: int, den: int):
     return run
 
 
-def _refine(sets: DataFrame, i: int, num: int, den: int) -> DataFrame:
-    """Splits every class into the documents chained by shared prefix tokens of order i; lone documents leave.
+def _classes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``(sid, cls)``: sets are of one class if shared prefix tokens chain them under every order; lone sets are left out.
 
-    ``sets`` is (sid, cls, n, post0, post1, ...); returns (sid, cls).
+    The graphs of all orders are closed in one go, as disjoint parts of one graph.
     """
-    posted = sets.select("sid", "cls", "n", F.explode(f"post{i}").alias("tok"))
-    shared = posted.groupBy("cls", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = posted.join(shared, ["cls", "tok"])
+    orders = len(SALTS)
+    posts = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"post{i}").alias("post")) for i in range(orders)])).alias("p")
+    each = sets.select("sid", "n", posts).select("sid", "n", "p.o", F.size("p.post").alias("m"), F.explode("p.post").alias("tok"))
+    shared = each.groupBy("o", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # tokens of one poster come first in the order and connect nothing; they only use up places of the prefix
-    per = Window.partitionBy("sid")
+    per = Window.partitionBy("sid", "o")
     first = F.struct(F.when(F.col("tok") < F.lit(_bound(num, den)), F.col("c")).otherwise(F.lit(1 << 62)), "tok")
-    left = _prefix(F.col("n"), num, den)
     kept = (
-        rows.join(sets.select("sid", F.size(f"post{i}").alias("m")), "sid")
+        each.join(shared, ["o", "tok"])
         .withColumn("r", F.row_number().over(per.orderBy(first)))
         .withColumn("lone", F.col("m") - F.count(F.lit(1)).over(per))
-        .where(F.col("r") <= left - F.col("lone"))
+        .where(F.col("r") <= _prefix(F.col("n"), num, den) - F.col("lone"))
     )
-    node = F.xxhash64("cls", "tok").bitwiseAND(F.lit(TOKEN_NODE - 1)).bitwiseOR(F.lit(TOKEN_NODE))
-    chained = connected_components(kept.select(F.col("sid").alias("src_key"), node.alias("dst_key")))
-    chained = chained.where(F.col("node") < F.lit(TOKEN_NODE)).select(F.col("node").alias("sid"), F.col("component").alias("cls"))
-    chained = cut(chained)
-    many = chained.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return chained.join(many, "cls", "left_semi")
+    node = F.xxhash64("o", "tok").bitwiseAND(F.lit(TOKEN_NODE - 1)).bitwiseOR(F.lit(TOKEN_NODE))
+    edges = cut(kept.select((F.col("sid") * orders + F.col("o")).alias("src_key"), node.alias("dst_key")))
+    chained = connected_components(edges)
+    both = chained.where(F.col("node") < F.lit(TOKEN_NODE)).select(F.expr(f"node div {orders}").alias("sid"), (F.col("node") % orders).alias("o"), "component")
+    parts = [F.max(F.when(F.col("o") == i, F.col("component"))).alias(f"c{i}") for i in range(orders)]
+    met = both.groupBy("sid").agg(*parts).where(" and ".join(f"c{i} is not null" for i in range(orders)))
+    classes = cut(met.select("sid", F.xxhash64(*[f"c{i}" for i in range(orders)]).alias("cls")))
+    many = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return classes.join(many, "cls", "left_semi")
 
 
 def _overlaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -188,8 +191,9 @@ def _links(sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups of documents linked by ``den * |x & y| >= num * |x | y|`` over distinct k-word shingles.
 
-    Returns ``(id_column, n_shingles, component_id, text_key)``, one row per row of ``docs`` (repeated rows stay), with the
-    smallest id reachable by links, the row's own included; ``text_key`` is a hash of the text. A text of fewer than k words is one shingle; a null or blank
+    Returns ``(id_column, n_shingles, component_id, group, text_key)``, one row per row of ``docs`` (repeated rows stay), with
+    the smallest id reachable by links, the row's own included. ``group`` names the linked rows also where ids are null;
+    it is null for rows without candidates. ``text_key`` is a hash of the text. A text of fewer than k words is one shingle; a null or blank
     text has none and links with nothing. Rows without an id take part but name no group unless all its ids are null.
     Ids are integers; other columns of ``docs`` are ignored, whatever their names. An empty table gives no rows.
     """
@@ -215,16 +219,12 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
         .mapInArrow(_all_orders(k, num, den), f"n long, hi long, lo long, tokens array<long>, {posts}")
         .dropDuplicates(["hi", "lo", "n"]).withColumn("sid", F.monotonically_increasing_id())
     )
-    classes = sets.select("sid", F.lit(0).cast("long").alias("cls"))
-    for i in range(len(SALTS)):
-        narrow = sets.select("sid", "n", f"post{i}")
-        current = narrow.withColumn("cls", F.lit(0).cast("long")) if not i else narrow.join(classes, "sid")
-        classes = cut(_refine(current, i, num, den))
+    classes = cut(_classes(sets, num, den))
     groups = connected_components(cut(_links(sets, classes, num, den)))
     root = F.coalesce("component", "sid").alias("root")
     named = cut(sets.select("hi", "lo", "n", "sid").join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "n", root))
     rows = cut(scanned.select("__id", "__key", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left").select("__id", "__key", "n", "root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("__id").alias("least"))
-    found = rows.where("root is null").withColumn("component_id", F.col("__id")).drop("root").unionByName(
-        rows.where("root is not null").join(least, "root").withColumn("component_id", F.col("least")).drop("root", "least"))
-    return found.select(F.col("__id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", F.col("__key").alias("text_key"))
+    found = rows.where("root is null").withColumn("component_id", F.col("__id")).unionByName(
+        rows.where("root is not null").join(least, "root").withColumn("component_id", F.col("least")).drop("least"))
+    return found.select(F.col("__id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group"), F.col("__key").alias("text_key"))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoorline.llm import chat, decontaminate, html_text, langid, packing, secret_scan, suffix_tree, toxicity
+from spoorline.llm.embed_dedup import embedding_groups
 from spoorline.llm.ngram_join import jaccard_groups
-from spoorline.llm.tables import table
+from spoorline.llm.tables import crc_part, table
 from spoorline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +26,83 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing contract names; installed beside the tokenizers on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part(F.col("doc_id"), 5) == 1)
+    model, words = suffix_tree.learn(docs.where(~F.col("held_out")).select("text"))
+    return suffix_tree.score(docs, model, words, ["doc_id", "held_out"])
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.similarity", "f.first_word", "f.n_words")
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.text_of(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.text_of(secret_scan.merged(F.col("base"), F.col("added"))).alias("spans"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_text(table(spark, sf_dir, "pages"), ["page_id"])
+
+
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard_groups(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part(F.col("doc_id"), 4) == 2)
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ["doc_id", "held_out"]).select("row.*", "lang_pred", "score")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = crc_part(F.col("doc_id"), 4) != 2
+    model = toxicity.learn(docs.where(train), labels.where(train))
+    scored = toxicity.score(docs.withColumn("held_out", ~train), model, ["doc_id", "held_out"])
+    return scored.select("row.*", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered turns of the conversations written as plain transcripts; a quarter of them is not trained on."""
+    lines = chat.plain_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.learn(lines.where(crc_part(F.col("conv_id"), 4) != 2))
+    bare = lines.select("conv_id", F.struct("turn", "line_no").alias("at"), "line")
+    return chat.canonical_turns(chat.recover_lines(bare, model)).select("conv_id", "first_pos", "role", "n_lines", "rendered")
+
+
 ORACLES["op7_ngram_join"] = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -49,3 +122,19 @@ reach as (select doc_id as x, doc_id as y from sets union select r.x, e.y from r
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.y) as component_id
 from sets s join reach r on r.x = s.doc_id group by 1, 2
 """
+
+# links are exact here by comparing all vectors of a label
+ORACLES["op6_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e,
+    embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+links as (
+  select a.vec_id as x, b.vec_id as y from v a join v b on a.ok and b.ok and a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id as x, vec_id as y from v union select r.x, l.y from reach r join links l on r.y = l.x),
+low as (select x, min(y) as component_id from reach group by 1),
+deg as (select x, count(*) as n from links group by 1)
+select v.vec_id, coalesce(deg.n, 0) as n_links, low.component_id, v.vec_id = low.component_id as kept
+from v join low on low.x = v.vec_id left join deg on deg.x = v.vec_id
+"""

@@ -72,11 +72,10 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-class Words:
-    """The words of some texts: ``start``/``end`` byte positions, 64-bit ``hash``; text i has ``first[i]:first[i+1]``."""
+class Spans:
+    """The words of some texts: ``start``/``end`` byte positions; text i has words ``first[i]:first[i+1]``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.low = low = LOWER[data]
         word = ~SPACE[data]
         starts, ends = word.copy(), word.copy()
         if len(word):
@@ -87,14 +86,26 @@ class Words:
             starts[heads], ends[tails] = word[heads], word[tails]
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+class Words(Spans):
+    """Words with a 64-bit ``hash`` of their lower-cased bytes ``low``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        self._trim(data, offsets)
+        self.low = low = LOWER[data]
         up, down = _power(len(low) + 1)
         sums = np.zeros(len(low) + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])
         raw = (sums[self.end] - sums[self.start]) * down[self.start]
         self.hash = mix64(raw + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def counts(self) -> np.ndarray:
-        return np.diff(self.first)
+    def _trim(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        """For words that are less than the run of bytes between spaces."""
 
 
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
