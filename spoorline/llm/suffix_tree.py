@@ -4,7 +4,9 @@ A text is read as its words, lower-cased, one space apart and closed by an end m
 tokens that the word counts of the base score see. A context of up to ``DEPTH`` bytes becomes a state if its next-byte
 distribution diverges from that of its longest shorter suffix by more than its extra parameters cost; suffixes of
 states are states. Each state's distribution is smoothed with its parent's (Witten-Bell), down to the uniform one, and
-a byte is predicted by the longest state that ends the text read so far.
+a byte is predicted by the longest state that ends the text read so far. The probability of a word is that of its bytes
+and the mark behind it, mixed with the smoothed word count, which remembers whole words better than any short context;
+the end token has its smoothed count.
 
 All counts cover all training rows. What is held in a task is bounded: the ``MAX_STATES`` states of the largest gain and
 the counts of the ``MAX_WORDS`` most frequent words. All other words meet their counts in a join.
@@ -20,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textops import Words, flat, long_lists, pieces
+from spoorline.llm.textops import Words, flat, pieces
 from spoorline.session import cut
 
 DEPTH = 5
-MAX_STATES, MAX_WORDS = 1 << 16, 1 << 18
+MAX_STATES, MAX_WORDS = 1 << 17, 1 << 18
+WORD_SHARE = 0.3  # weight of the word counts in the mixture
 # nats that a state must gain per parameter (a distinct next byte)
-PENALTY = 4.0
+PENALTY = 3.0
 END = 10  # a line end never lies inside a word
 END_WORD = 0x0E4D_0E4D
 STATE = np.uint64(1 << 60)
@@ -281,39 +284,58 @@ def _score(shared, job: str):
         end_count = known.get(np.array([END_WORD], np.uint64))[1][0]
         for batch in batches:
             data, offsets = flat(batch.column("__text"))
-            tokens, base, seen, scores, rare, rare_n = [], [], [], [], [], []
+            tokens, base, seen, scores, rare, rare_logs = [], [], [], [], [], []
             for i, j in pieces(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 words = Words(data[offsets[i] : offsets[j]], own)
-                hit, counts = known.get(words.hash)
-                logs = np.where(hit, np.log10((counts + 0.5) / bottom), 0.0)
-                sums, hits = np.zeros(len(logs) + 1), np.zeros(len(logs) + 1, np.int64)
-                np.cumsum(logs, out=sums[1:])
-                np.cumsum(hit, out=hits[1:])
                 a, b = words.first[:-1], words.first[1:]
+                hit, counts = known.get(words.hash)
+                by_count = np.where(hit, (counts + 0.5) / bottom, 1.0)
+                by_tree = word_logs(*stream(words, own, m.depth), b - a, entries, states, m.depth)
+                logs = np.where(hit, np.log10(by_count), 0.0)
+                mixed = np.where(hit, np.log10(WORD_SHARE * by_count + (1 - WORD_SHARE) * 10**by_tree), 0.0)
+                hits = np.r_[0, np.cumsum(hit)]
+                end = np.log10((end_count + 0.5) / bottom)
                 tokens.append(b - a + 1)
-                base.append(np.array([logs[x:y].sum() for x, y in zip(a.tolist(), b.tolist())]) + np.log10((end_count + 0.5) / bottom))
+                base.append(_sums(logs, a, b) + end)
+                scores.append(_sums(mixed, a, b) + end)
                 seen.append(hits[b] - hits[a] + int(end_count > 0))
-                missing = np.where(hit, U(0), words.hash)
-                for x, y in zip(a.tolist(), b.tolist()):
-                    keys, n = _runs(missing[x:y][~hit[x:y]])
-                    rare.append(keys)
-                    rare_n.append(n)
-                keys, begin, last = stream(words, own, m.depth)
-                found = tree_logs(entries, states, keys, m.depth)
-                scores.append(np.array([found[x:y].sum() for x, y in zip(begin.tolist(), last.tolist())]))
+                miss = np.flatnonzero(~hit)
+                edges = np.searchsorted(miss, words.first)
+                rare.append((words.hash[miss], np.diff(edges)))
+                rare_logs.append(by_tree[miss])
+            sizes = np.concatenate([n for _, n in rare])
+            at = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(base)), pa.array(np.concatenate(seen)),
-                 pa.array(np.concatenate(scores)), long_lists(rare), long_lists(rare_n)],
-                ["row", "n_tokens", "base", "seen", "score", "rare", "rare_n"])
+                [batch.column("row"), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(base)), pa.array(np.concatenate(seen)), pa.array(np.concatenate(scores)),
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate([h for h, _ in rare]).view(np.int64))),
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare_logs).astype(np.float32)))],
+                ["row", "n_tokens", "base", "seen", "score", "rare", "rare_logs"])
 
     return run
 
 
+def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of ranges, each added up on its own, so that long batches lose no digits."""
+    return np.array([values[x:y].sum() for x, y in zip(first.tolist(), last.tolist())])
+
+
+def word_logs(keys: np.ndarray, begin: np.ndarray, last: np.ndarray, counts: np.ndarray, entries: Table, states: Table, depth: int) -> np.ndarray:
+    """The tree's log10 probability of every word with the mark behind it; ``counts`` are the words of each text."""
+    own = _own(keys, begin, last)
+    keys = keys[own]
+    byte = keys & U(255)
+    ends = np.flatnonzero((byte == U(32)) | (byte == U(END)))
+    sums = np.add.reduceat(tree_logs(entries, states, keys, depth), np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(0)
+    # a text without words is its end mark alone
+    lone = np.cumsum(np.maximum(counts, 1))[counts == 0] - 1
+    return np.delete(sums, lone)
+
+
 def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[Column]) -> DataFrame:
     """``(*keep, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
-    ``score`` is the tree's log10 probability of the text's tokens, ``base_score`` that of smoothed word counts; a null
+    ``score`` is the model's log10 probability of the text's tokens, ``base_score`` that of smoothed word counts alone; a null
     text is empty and consists of the end token. Without training rows both treat all symbols alike. Repeated rows are
     scored one by one; columns not in ``keep`` are ignored.
     """
@@ -321,14 +343,15 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[Column]) -
     kind = rows.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = cut(
-        rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"row {kind}, n_tokens long, base double, seen long, score double, rare array<long>, rare_n array<long>")
+        rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"row {kind}, n_tokens long, base double, seen long, score double, rare array<long>, rare_logs array<float>")
         .withColumn("uid", F.monotonically_increasing_id())
     )
     bottom = model.train_tokens + 0.5 * (model.vocabulary + 1)
-    rare = first.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("uid", F.col("r.rare").alias("key"), F.col("r.rare_n").alias("m"))
-    c = F.coalesce("n", F.lit(0))
+    rare = first.select("uid", F.explode(F.arrays_zip("rare", "rare_logs")).alias("r")).select("uid", F.col("r.rare").alias("key"), F.col("r.rare_logs").alias("log"))
+    c, by_count = F.coalesce("n", F.lit(0)), (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom))
+    mixed = F.log10(WORD_SHARE * by_count + (1 - WORD_SHARE) * F.pow(F.lit(10.0), F.col("log").cast("double")))
     sums = rare.join(words, "key", "left").groupBy("uid").agg(
-        F.sum(F.col("m") * F.log10((c + 0.5) / F.lit(float(bottom)))).alias("rest"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more"))
-    return first.drop("rare", "rare_n").join(sums, "uid", "left").select(
+        F.sum(F.log10(by_count)).alias("rest"), F.sum(mixed).alias("rest_score"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"))
+    return first.drop("rare", "rare_logs").join(sums, "uid", "left").select(
         "row.*", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"))
