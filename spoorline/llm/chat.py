@@ -35,6 +35,7 @@ MARK = re.compile(
 OTHER = re.compile(r"\s*[A-Z][\w.'-]*(?: [A-Z][\w.'-]*){0,2}\s*:\s")
 LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])\s")
 FEATURES = ("mark", "length", "question", "list")
+VALUES = (5, 5, 2, 2)  # how many values each feature has
 
 
 def speaker(line: str) -> tuple[str, int]:
@@ -97,7 +98,7 @@ def learn(lines: DataFrame) -> Model:
         own = []
         for f in range(len(FEATURES)):
             values = {r["v"]: r["n"] for r in counts if r["state"] == s and r["f"] == f}
-            total = sum(values.values()) + len(values) + 1
+            total = sum(values.values()) + VALUES[f]
             own.append({v: np.log((n + 1) / total) for v, n in values.items()} | {"": np.log(1 / total)})
         emit.append(own)
     turns = known.groupBy("conv_id", "turn", "role").agg((F.max("line_no") + 1).alias("n"))

@@ -30,6 +30,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MAX_LABELLED, MAX_ORDINARY, MAX_LENGTH = 500, 5000, 64
 # Hoeffding confidence; log10 odds per character above which a candidate is taken; least labelled values
 ALPHA, ODDS, LEAST = 0.05, 0.15, 20
+PRIOR = 200
 
 HEX_BYTE, DIGIT_BYTE = np.zeros(256, bool), np.zeros(256, bool)
 HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
@@ -169,10 +170,11 @@ class Model:
 
 def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Model:
     automata = {kind: infer([classes(v)[:MAX_LENGTH] for v in sorted(values)]) for kind, values in sorted(labelled.items()) if len(values) >= LEAST}
-    counts = Counter(s for token in ordinary for s in [*classes(token)[:MAX_LENGTH], END])
-    total = sum(counts.values()) + len(counts) + 1
-    logs = {s: math.log10((n + 1) / total) for s, n in counts.items()}
-    return Model(automata, logs | {"": math.log10(1 / total)})
+    # every class counts a little beforehand, so that a handful of candidates is not its own background
+    counts = Counter({s: PRIOR for s in [*"9fgA", END]})
+    counts.update(s for token in ordinary for s in [*classes(token)[:MAX_LENGTH], END])
+    total = sum(counts.values()) + 1
+    return Model(automata, {s: math.log10(n / total) for s, n in counts.items()} | {"": math.log10(1 / total)})
 
 
 def _find(batches):
