@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value worked out once per row, not once per entry of a lambda that uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -35,7 +40,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -54,8 +59,8 @@ def matvec(weights: Sequence[Sequence[float]], v: Column, bias: Sequence[float]
 
 
 def softmax(v: Column) -> Column:
-    shifted = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    raised = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(raised, lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -107,9 +112,11 @@ def activate_all(name: str, v: Column) -> Column:
 
 def standardise(v: Column, eps: float = 1e-5) -> Column:
     """Layer norm of one row: zero mean, unit population variance over the vector's own entries."""
-    mean = total(v) / F.size(v)
-    variance = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(v)
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(variance + F.lit(eps)))
+    def scaled(mean: Column) -> Column:
+        variance = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(v)
+        return let(F.sqrt(variance + F.lit(eps)), lambda s: F.transform(v, lambda x: (x - mean) / s))
+
+    return let(total(v) / F.size(v), scaled)
 
 
 def reduce_columns(name: str, dim: int, fn) -> Column:

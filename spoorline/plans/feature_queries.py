@@ -175,9 +175,10 @@ def text_features(spark, sf):
 
 @query("mask_features")
 def mask_features(spark, sf):
-    return X.mask_features(prov_vectors(spark, sf, 8), "entity_key", "vec", 0.5).select("entity_key", "vec", "masked")
+    return X.mask_features(prov_vectors(spark, sf), "entity_key", "vec", 0.5).select("entity_key", "vec", "masked")
 
 
-@query("featurize_hook", pe("select 'process:'||vec_id as entity_key, round(cast(embedding[1] as double),6) as x0 from embeddings"))
+@query("featurize_hook", pe("select 'process:'||vec_id as entity_key, i-1 as i, round(cast(embedding[i] as double),6) as x from embeddings, range(1,65) r(i)"))
 def featurize_hook(spark, sf):
-    return X.featurize(prov_vectors(spark, sf)).select("entity_key", r6(F.col("vec")[0]).alias("x0"))
+    entries = X.featurize(prov_vectors(spark, sf)).select("entity_key", F.posexplode("vec").alias("i", "x"))
+    return entries.select("entity_key", F.col("i").cast("long").alias("i"), r6("x").alias("x"))

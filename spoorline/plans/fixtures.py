@@ -52,18 +52,22 @@ SCORES_SQL = """sc as (
   select 'm3', event_id, score*(1+user_id%3), label, ts_s from pe)"""
 
 
-def prov_vectors(spark: SparkSession, sf_dir: str, dim: int | None = None) -> DataFrame:
-    """Node vectors ``(entity_key, vec_id, vec ARRAY<DOUBLE>, label)``, first ``dim`` entries or all."""
-    vec = F.col("embedding").cast("array<double>")
-    if dim:
-        vec = F.slice(vec, 1, dim)
+def prov_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors ``(entity_key, vec_id, vec ARRAY<DOUBLE>, label)`` of all entries, as processes."""
     return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("process:"), "vec_id").alias("entity_key"), "vec_id", vec.alias("vec"), "label"
+        F.concat(F.lit("process:"), "vec_id").alias("entity_key"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label"
     )
 
 
-def vectors_sql(dim: int) -> str:
-    return (
-        "vv as materialized (select 'process:'||vec_id as entity_key, vec_id, label, "
-        f"list_transform(embedding[1:{dim}], lambda x: cast(x as double)) as vec from embeddings)"
-    )
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(entity_key, vec)`` for processes, files (entries reversed) and networks, so that every event has both ends."""
+    vec = F.col("embedding").cast("array<double>")
+    forms = F.array(*[
+        F.struct(F.concat(F.lit(kind), F.col("vec_id")).alias("entity_key"), form.alias("vec"))
+        for kind, form in (("process:", vec), ("file:", F.reverse(vec)), ("network:", vec))
+    ])
+    return table(spark, sf_dir, "embeddings").select(F.inline(forms))
+
+
+VECTORS_SQL = """vv as materialized (select 'process:'||vec_id as entity_key, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as vec from embeddings),
+  nn as materialized (select kind||vec_id as entity_key, case kind when 'file:' then list_reverse(vec) else vec end as vec from vv, (values ('process:'),('file:'),('network:')) k(kind))"""

@@ -514,8 +514,8 @@ def load_labels(spark, sf):
     return readers.load_labels(spark, path, days)
 
 
-@query("load_embeddings", pe("""select entity_key, e.vec_id is not null as found, round(cast(e.embedding[1] as double),6) as x0, 64::bigint as dim
-  from (select src_key as entity_key from pe union select dst_key from pe) k left join embeddings e on 'process:'||e.vec_id=k.entity_key"""))
+@query("load_embeddings", pe("""select entity_key, e.vec_id is not null as found, i-1 as i, round(cast(e.embedding[i] as double),6) as x
+  from range(1,65) r(i), (select src_key as entity_key from pe union select dst_key from pe) k left join embeddings e on 'process:'||e.vec_id=k.entity_key"""))
 def load_embeddings(spark, sf):
     path = scratch_path(spark, "vectors")
     vectors = prov_vectors(spark, sf)
@@ -525,8 +525,8 @@ def load_embeddings(spark, sf):
     out = readers.load_embeddings(spark, path, nodes, 64).join(known, "entity_key", "left")
     found = F.coalesce("found", F.lit(False))
     return out.select(
-        "entity_key", found.alias("found"), F.when(found, r6(F.col("vec")[0])).alias("x0"), F.size("vec").cast("long").alias("dim")
-    )
+        "entity_key", found.alias("found"), F.posexplode("vec").alias("i", "x")
+    ).select("entity_key", "found", F.col("i").cast("long").alias("i"), F.when(F.col("found"), r6("x")).alias("x"))
 
 
 @query("materialize_roundtrip", pe("select src_key, count(*) as n from pe group by 1"))

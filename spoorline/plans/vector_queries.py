@@ -9,32 +9,49 @@ from spoorline.operators import metrics as M
 from spoorline.operators import neighbours as N
 from spoorline.operators import propagate as P
 from spoorline.operators import scoring as S
-from spoorline.plans.fixtures import SCORES_SQL, prov_events, prov_scores, prov_vectors, vectors_sql
+from spoorline.plans.fixtures import SCORES_SQL, VECTORS_SQL, node_vectors, prov_events, prov_scores, prov_vectors
 from spoorline.plans.registry import pe, query, r6
 
-# weights of the example layers
-A = [[0.5, -0.25, 0.75], [-0.5, 1.0, 0.25]]
-B = [[0.25, 0.5, -0.5], [1.0, -0.75, 0.5]]
+SIZE = 64  # entries of a given vector
+
+
+def weights(rows, columns, seed):
+    """Small example weights by formula, the same for both engines."""
+    return [[((seed + 7 * i + 3 * j + i * j) % 11 - 5) / 20 for j in range(columns)] for i in range(rows)]
+
+
+A, B = weights(2, SIZE, 1), weights(2, SIZE, 4)
 BIAS = [0.1, -0.2]
 C = [[0.5, -1.0], [0.75, 0.25]]
-DIM = 3
+
+
+def numbers(row):
+    return "[" + ", ".join(map(repr, row)) + "]::double[]"
 
 
 def mv(w, v, b=None):
     """SQL list of ``W v + b``."""
-    rows = [" + ".join(f"({x})*{v}[{j + 1}]" for j, x in enumerate(row)) for row in w]
+    rows = [f"list_dot_product({numbers(row)}, {v})" for row in w]
     return "[" + ", ".join(f"{r}{f' + ({b[i]})' if b else ''}" for i, r in enumerate(rows)) + "]"
 
 
+def each(template, sep=", "):
+    """The template for every entry, its 1-based position at ``#``."""
+    return sep.join(template.replace("#", str(i)) for i in range(1, SIZE + 1))
+
+
+ZEROS = numbers([0.0] * SIZE)
+
+
 def act(lst, body):
     return f"list_transform({lst}, lambda x: {body})"
 
 
 RELU = "greatest(x, 0.0::double)"
-VV = vectors_sql(DIM)
-MEAN = f"""{VV}, msg as (select dst_key as entity_key, [avg(v.vec[1]), avg(v.vec[2]), avg(v.vec[3])] as mean, [sum(v.vec[1]), sum(v.vec[2]), sum(v.vec[3])] as s
-  from pe join vv v on v.entity_key=src_key group by 1),
- n as materialized (select vv.entity_key, vec, coalesce(mean,[0.0,0.0,0.0]::double[]) as mean, coalesce(s,[0.0,0.0,0.0]::double[]) as s from vv left join msg using (entity_key))"""
+VV = VECTORS_SQL
+MEAN = f"""{VV}, msg as (select dst_key as entity_key, [{each('avg(v.vec[#])')}] as mean, [{each('sum(v.vec[#])')}] as s
+  from pe join nn v on v.entity_key=src_key group by 1),
+ n as materialized (select nn.entity_key, vec, coalesce(mean,{ZEROS}) as mean, coalesce(s,{ZEROS}) as s from nn left join msg using (entity_key))"""
 
 
 def entries(df, *keep, vec="vec"):
@@ -47,7 +64,7 @@ def out(keep, source, dim=2):
 
 
 def nodes(spark, sf):
-    return prov_vectors(spark, sf, DIM).select("entity_key", "vec")
+    return node_vectors(spark, sf)
 
 
 def edges(spark, sf):
@@ -63,7 +80,7 @@ def sage_layer(spark, sf):
     return entries(P.sage_mean(nodes(spark, sf), edges(spark, sf), A, B, BIAS, "relu"), "entity_key")
 
 
-_MIXED = "[" + ",".join(f"1.1*vec[{i}]+s[{i}]" for i in (1, 2, 3)) + "]"
+_MIXED = f"[{each('1.1*vec[#]+s[#]')}]"
 
 
 @query("gin_layer", pe(out("entity_key", f"select entity_key, {mv(C, 'h')} as o from (select entity_key, {act(mv(A, 'm', BIAS), RELU)} as h from (select entity_key, {_MIXED} as m from n))"), MEAN))
@@ -85,8 +102,8 @@ def _gat_head(i):
        join (select dst_key, max(e) as t from e{i} group by 1) using (dst_key) group by 1)"""
 
 
-_GAT = f"""{VV}, hh as (select entity_key, {mv(A, 'vec')} as h0, {mv(B, 'vec')} as h1 from vv),
-  pairs as (select src_key, dst_key from pe where src_key<>dst_key union all select entity_key, entity_key from vv), {_gat_head(0)}, {_gat_head(1)}"""
+_GAT = f"""{VV}, hh as (select entity_key, {mv(A, 'vec')} as h0, {mv(B, 'vec')} as h1 from nn),
+  pairs as (select src_key, dst_key from pe where src_key<>dst_key union all select entity_key, entity_key from nn), {_gat_head(0)}, {_gat_head(1)}"""
 
 
 @query("gat_layer", pe(out("entity_key", "select entity_key, list_concat(o0,o1) as o from g0 join g1 using (entity_key)", 4), _GAT))
@@ -95,7 +112,7 @@ def gat_layer(spark, sf):
 
 
 _WE = [[0.5], [-1.0]]
-_TR = f"""{VV}, hh as (select entity_key, {mv(A, 'vec')} as q, {mv(B, 'vec')} as k, {mv(A, 'vec', BIAS)} as v0 from vv),
+_TR = f"""{VV}, hh as (select entity_key, {mv(A, 'vec')} as q, {mv(B, 'vec')} as k, {mv(A, 'vec', BIAS)} as v0 from nn),
   pairs as (select src_key, dst_key, score/500.0 as t from pe),
   e as (select dst_key, (b.q[1]*(a.k[1]+0.5*t) + b.q[2]*(a.k[2]-t))/sqrt(2.0) as e, [a.k[1]+0.5*t, a.k[2]-t] as m from pairs
     join hh a on a.entity_key=src_key join hh b on b.entity_key=dst_key),
@@ -103,7 +120,7 @@ _TR = f"""{VV}, hh as (select entity_key, {mv(A, 'vec')} as q, {mv(B, 'vec')} as
     join (select dst_key, max(e) as t from e group by 1) using (dst_key) group by 1)"""
 
 
-@query("transformer_layer", pe(out("entity_key", f"select entity_key, [{mv([A[0]], 'vec')[1:-1]} + coalesce(o[1],0), {mv([A[1]], 'vec')[1:-1]} + coalesce(o[2],0)] as o from vv left join g using (entity_key)"), _TR))
+@query("transformer_layer", pe(out("entity_key", f"select entity_key, [{mv([A[0]], 'vec')[1:-1]} + coalesce(o[1],0), {mv([A[1]], 'vec')[1:-1]} + coalesce(o[2],0)] as o from nn left join g using (entity_key)"), _TR))
 def transformer_layer(spark, sf):
     typed = prov_events(spark, sf).select("src_key", "dst_key", F.array(F.col("score") / 500.0).alias("edge_vec"))
     return entries(P.transformer_attention(nodes(spark, sf), typed, A, B, B, A, _WE), "entity_key")
@@ -115,23 +132,23 @@ def time_encode(spark, sf):
     return entries(prov_events(spark, sf).select("event_id", P.time_encode(t, [0.001, 0.1], [0.5, -1.0]).alias("vec")), "event_id")
 
 
-@query("mlp", pe(out("entity_key", f"select entity_key, {act(mv(C, 'h', BIAS), '1/(1+exp(-x))')} as o from (select entity_key, {act(mv(A, 'vec', BIAS), RELU)} as h from vv)"), VV))
+@query("mlp", pe(out("entity_key", f"select entity_key, {act(mv(C, 'h', BIAS), '1/(1+exp(-x))')} as o from (select entity_key, {act(mv(A, 'vec', BIAS), RELU)} as h from nn)"), VV))
 def mlp(spark, sf):
     out_vec = P.mlp(F.col("vec"), [(A, BIAS), (C, BIAS)], final="sigmoid")
     return entries(nodes(spark, sf).select("entity_key", out_vec.alias("vec")), "entity_key")
 
 
-@query("pool", pe("select how, label, i-1 as i, round(case how when 'sum' then s[i] when 'mean' then s[i]/n else m[i] end,6) as x from (select label, count(*) as n, [sum(vec[1]),sum(vec[2]),sum(vec[3])] as s, [max(vec[1]),max(vec[2]),max(vec[3])] as m from vv group by 1), (values ('sum'),('mean'),('max')) h(how), range(1,4) r(i)", VV))
+@query("pool", pe("select how, label, i-1 as i, round(case how when 'sum' then s[i] when 'mean' then s[i]/n else m[i] end,6) as x from (select label, count(*) as n, [" + each("sum(vec[#])") + "] as s, [" + each("max(vec[#])") + "] as m from vv group by 1), (values ('sum'),('mean'),('max')) h(how), range(1,65) r(i)", VV))
 def pool(spark, sf):
-    vectors = prov_vectors(spark, sf, DIM)
+    vectors = prov_vectors(spark, sf)
     parts = [
-        entries(P.pool(vectors, DIM, how, ["label"]).withColumn("how", F.lit(how)), "how", "label") for how in ("sum", "mean", "max")
+        entries(P.pool(vectors, SIZE, how, ["label"]).withColumn("how", F.lit(how)), "how", "label") for how in ("sum", "mean", "max")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _COMB = """select entity_key, how, i-1 as i, round(case how when 'sum' then a[i]+b[i] when 'mean' then (a[i]+b[i])/2 when 'max' then greatest(a[i],b[i]) else list_concat(a,b)[i] end,6) as x
- from (select entity_key, {a} as a, {b} as b from vv), (values ('concat',4),('sum',2),('mean',2),('max',2)) h(how,len), range(1,5) r(i) where i<=len"""
+ from (select entity_key, {a} as a, {b} as b from nn), (values ('concat',4),('sum',2),('mean',2),('max',2)) h(how,len), range(1,5) r(i) where i<=len"""
 
 
 @query("combine", pe(_COMB.format(a=mv(A, "vec"), b=mv(B, "vec")), VV))
@@ -158,18 +175,18 @@ def activations(spark, sf):
     return prov_events(spark, sf).select("event_id", *[(r6(V.activate(n, x)) + 0.0).alias(n) for n in _ACTS])
 
 
-_NORM = """st as (select [avg(vec[1]),avg(vec[2]),avg(vec[3])] as m, [var_pop(vec[1]),var_pop(vec[2]),var_pop(vec[3])] as s from vv),
- rw as (select entity_key, vec, (vec[1]+vec[2]+vec[3])/3 as m from vv)"""
+_NORM = f"""st as (select [{each('avg(vec[#])')}] as m, [{each('var_pop(vec[#])')}] as s from nn),
+ rw as (select entity_key, vec, list_avg(vec) as m, list_var_pop(vec) as s from nn)"""
 
 
-@query("feature_norm", pe("""select entity_key, 'batch' as kind, i-1 as i, round((vec[i]-m[i])/sqrt(s[i]+1e-5),6) as x from vv, st, range(1,4) r(i)
-  union all select entity_key, 'layer', i-1, round((vec[i]-m)/sqrt((pow(vec[1]-m,2)+pow(vec[2]-m,2)+pow(vec[3]-m,2))/3+1e-5),6) from rw, range(1,4) r(i)""", VV + "," + _NORM))
+@query("feature_norm", pe("""select entity_key, 'batch' as kind, i-1 as i, round((vec[i]-m[i])/sqrt(s[i]+1e-5),6) as x from nn, st, range(1,65) r(i)
+  union all select entity_key, 'layer', i-1, round((vec[i]-m)/sqrt(s+1e-5),6) from rw, range(1,65) r(i)""", VV + "," + _NORM))
 def feature_norm(spark, sf):
-    parts = [entries(P.feature_norm(nodes(spark, sf), "vec", DIM, k).withColumn("kind", F.lit(k)), "entity_key", "kind") for k in ("batch", "layer")]
+    parts = [entries(P.feature_norm(nodes(spark, sf), "vec", SIZE, k).withColumn("kind", F.lit(k)), "entity_key", "kind") for k in ("batch", "layer")]
     return parts[0].unionByName(parts[1])
 
 
-@query("residual", pe(out("entity_key", f"select entity_key, [h[1]+g[1], h[2]+g[2]] as o from (select entity_key, {mv(A, 'vec')} as h, {mv(C, mv(A, 'vec'))} as g from vv)"), VV))
+@query("residual", pe(out("entity_key", f"select entity_key, [h[1]+g[1], h[2]+g[2]] as o from (select entity_key, {mv(A, 'vec')} as h, {mv(C, mv(A, 'vec'))} as g from nn)"), VV))
 def residual(spark, sf):
     h = V.matvec(A, F.col("vec"))
     return entries(nodes(spark, sf).select("entity_key", P.residual(h, V.matvec(C, h)).alias("vec")), "entity_key")
@@ -198,30 +215,26 @@ def layer_outputs(spark, sf):
 
 # scoring -----------------------------------------------------------------------------------------------------
 
-ENDS = f"{VV}, ee as materialized (select event_id, pe.label, a.vec as s, b.vec as d from pe join vv a on a.entity_key=src_key join vv b on b.entity_key=dst_key)"
-MLP6 = [([[0.5, -0.5, 1.0, 0.25, 0.75, -1.0], [-0.25, 1.0, 0.5, -0.5, 0.25, 0.5]], BIAS), (C, [0.0, 0.1])]
+ENDS = f"{VV}, ee as materialized (select event_id, pe.label, a.vec as s, b.vec as d from pe join nn a on a.entity_key=src_key join nn b on b.entity_key=dst_key)"
+MLP6 = [(weights(2, 2 * SIZE, 2), BIAS), (C, [0.0, 0.1])]
 _LOGITS = f"select event_id, label, {mv(C, 'h', [0.0, 0.1])} as g from (select event_id, label, {act(mv(MLP6[0][0], 'list_concat(s,d)', BIAS), RELU)} as h from ee)"
 
 
 @query("edge_mlp", pe(f"select event_id, round(1/(1+exp(g[1]-g[2])),6) as score, round(1/(1+exp(-g[1])),6) as binary_score, round(g[2],6) as raw from ({_LOGITS})", ENDS))
 def edge_mlp(spark, sf):
-    parts = {}
-    for kind in ("classification", "binary", "regression"):
-        parts[kind] = S.edge_score_mlp(edges(spark, sf), nodes(spark, sf), MLP6, kind).select("event_id", F.col("score").alias(kind))
-    joined = parts["classification"].join(parts["binary"], "event_id").join(parts["regression"], "event_id")
-    return joined.select(
-        "event_id", r6("classification").alias("score"), r6("binary").alias("binary_score"), r6(F.col("regression")[1]).alias("raw")
-    )
+    logits = S.edge_score_mlp(edges(spark, sf), nodes(spark, sf), MLP6, "regression").withColumnRenamed("score", "logits")
+    heads = {kind: S.class_scores(F.col("logits"), kind) for kind in ("classification", "binary")}
+    return logits.select("event_id", r6(heads["classification"]).alias("score"), r6(heads["binary"]).alias("binary_score"), r6(F.col("logits")[1]).alias("raw"))
 
 
-@query("node_probs", pe(out("entity_key", f"select entity_key, [exp(g[1])/(exp(g[1])+exp(g[2])), exp(g[2])/(exp(g[1])+exp(g[2]))] as o from (select entity_key, {mv(A, 'vec', BIAS)} as g from vv)"), VV))
+@query("node_probs", pe(out("entity_key", f"select entity_key, [exp(g[1])/(exp(g[1])+exp(g[2])), exp(g[2])/(exp(g[1])+exp(g[2]))] as o from (select entity_key, {mv(A, 'vec', BIAS)} as g from nn)"), VV))
 def node_probs(spark, sf):
     return entries(S.node_class_probs(nodes(spark, sf), [(A, BIAS)]), "entity_key", vec="probs")
 
 
 def windowed_vectors(spark, sf):
     """Consecutive vectors of one entity as its windows: ids 2e and 2e + 1 belong to entity e."""
-    return prov_vectors(spark, sf, DIM).select(
+    return prov_vectors(spark, sf).select(
         F.floor(F.col("vec_id") / 2).alias("entity_key"), (F.col("vec_id") % 2).alias("window_id"), "vec_id", "vec"
     )
 
@@ -235,21 +248,22 @@ def temporal_similarity(spark, sf):
     return out_df.select("entity_key", "window_id", r6("similarity").alias("similarity"))
 
 
-_RE = f"rb as (select vec_id, vec, {mv([[0.9, 0.1, 0.0], [0.0, 0.8, 0.2], [0.1, 0.0, 0.7]], 'vec')} as r from vv)"
-_RW = [[0.9, 0.1, 0.0], [0.0, 0.8, 0.2], [0.1, 0.0, 0.7]]
+# every entry is rebuilt from itself and its right neighbour
+_RW = [[0.9 if j == i else 0.1 if j == (i + 1) % SIZE else 0.0 for j in range(SIZE)] for i in range(SIZE)]
+_RE = f"rb as materialized (select vec_id, vec, [{', '.join(f'0.9*vec[{i + 1}]+0.1*vec[{(i + 1) % SIZE + 1}]' for i in range(SIZE))}] as r from vv)"
 
 
 def rebuilt(spark, sf):
-    return prov_vectors(spark, sf, DIM).withColumn("rebuilt", V.matvec(_RW, F.col("vec")))
+    return prov_vectors(spark, sf).withColumn("rebuilt", V.matvec(_RW, F.col("vec")))
 
 
-@query("reconstruction_error", pe("select vec_id, round(sqrt(pow(vec[1]-r[1],2)+pow(vec[2]-r[2],2)+pow(vec[3]-r[3],2)),6) as score from rb", VV + "," + _RE))
+@query("reconstruction_error", pe("select vec_id, round(list_distance(vec,r),6) as score from rb", VV + "," + _RE))
 def reconstruction_error(spark, sf):
     return S.reconstruction_error(rebuilt(spark, sf), "vec", "rebuilt").select("vec_id", r6("score").alias("score"))
 
 
 @query("reconstruction_loss", pe("""select round(avg(pow(vec[i]-r[i],2)),6) as mse, round(avg(abs(vec[i]-r[i])),6) as mae,
-  (select round(avg(1-list_dot_product(vec,r)/greatest(sqrt(list_dot_product(vec,vec))*sqrt(list_dot_product(r,r)),1e-8)),6) from rb) as cosine from rb, range(1,4) t(i)""", VV + "," + _RE))
+  (select round(avg(1-list_dot_product(vec,r)/greatest(sqrt(list_dot_product(vec,vec))*sqrt(list_dot_product(r,r)),1e-8)),6) from rb) as cosine from rb, range(1,65) t(i)""", VV + "," + _RE))
 def reconstruction_loss(spark, sf):
     losses = S.reconstruction_loss(rebuilt(spark, sf), "vec", "rebuilt")
     return losses.select(*[r6(c).alias(c) for c in losses.columns])
@@ -261,9 +275,9 @@ def pca_reconstruction(spark, sf):
     return S.reconstruction_error(held, "vec", "rebuilt").select("vec_id", r6("score").alias("score"))
 
 
-@query("centroid_distance", pe("select vec_id, round(sqrt(pow(vec[1]-c[1],2)+pow(vec[2]-c[2],2)+pow(vec[3]-c[3],2)),6) as score from vv, (select [avg(vec[1]),avg(vec[2]),avg(vec[3])] as c from vv where label=0)", VV))
+@query("centroid_distance", pe(f"select vec_id, round(list_distance(vec,c),6) as score from vv, (select [{each('avg(vec[#])')}] as c from vv where label=0)", VV))
 def centroid_distance(spark, sf):
-    return S.centroid_distance(prov_vectors(spark, sf, DIM), DIM).select("vec_id", r6("score").alias("score"))
+    return S.centroid_distance(prov_vectors(spark, sf), SIZE).select("vec_id", r6("score").alias("score"))
 
 
 @query("inner_product", pe("select event_id, round(1/(1+exp(-list_dot_product(s,d))),6) as score from ee", ENDS))
@@ -280,9 +294,9 @@ def cosine_anomaly(spark, sf):
     return S.cosine_edge_anomaly(edges(spark, sf), nodes(spark, sf)).select("event_id", r6("score").alias("score"), "prediction")
 
 
-@query("endpoint_mean", pe("select event_id, round((s[1]+d[1])/2,6) as score, cast((s[1]+d[1])/2>0.5 as integer) as prediction from ee", ENDS))
+@query("endpoint_mean", pe("select event_id, round((list_max(s)+list_max(d))/2,6) as score, cast((list_max(s)+list_max(d))/2>0.5 as integer) as prediction from ee", ENDS))
 def endpoint_mean(spark, sf):
-    scored = nodes(spark, sf).select("entity_key", F.col("vec")[0].alias("node_score"))
+    scored = nodes(spark, sf).select("entity_key", F.array_max("vec").alias("node_score"))
     return S.endpoint_mean_score(edges(spark, sf), scored).select("event_id", r6("score").alias("score"), "prediction")
 
 
@@ -361,5 +375,5 @@ def text_embeddings(spark, sf):
     from spoorline.operators.features import text_embeddings as embed
     from spoorline.plans.fixtures import table
 
-    out_df = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1, minCount=5)
+    out_df = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1, minCount=1)
     return out_df.select("doc_id", vector_to_array("w2v").alias("vec"))
