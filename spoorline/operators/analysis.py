@@ -45,9 +45,11 @@ def anomaly_details(scores: DataFrame, events: DataFrame, entities: DataFrame, k
     """The k best scores with their event, both entities and their attributes; a score without event shows an error."""
     best = top_k(scores, k).withColumnRenamed("score", "anomaly_score")
     event = events.select("event_id", "event_type", "src_key", "dst_key", "ts_s")
-    # k rows by construction, so they may be sent to every task
-    found = event.join(F.broadcast(best), "event_id", "right")
-    wanted = found.select(F.explode(F.array("src_key", "dst_key")).alias("entity_key")).distinct()
+    # k rows by construction, so they may be sent to every task; events and entities are scanned, never moved
+    best = cut(best)
+    hits = cut(event.join(F.broadcast(best.select("event_id")), "event_id"))
+    found = best.join(hits, "event_id", "left")
+    wanted = hits.select(F.explode(F.array("src_key", "dst_key")).alias("entity_key")).distinct()
     known = entities.select("entity_key", "attributes").join(F.broadcast(wanted), "entity_key")
     src = known.withColumnsRenamed({"entity_key": "src_key", "attributes": "src_attributes"})
     dst = known.withColumnsRenamed({"entity_key": "dst_key", "attributes": "dst_attributes"})

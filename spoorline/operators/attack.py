@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from spoorline.operators import graphalgo
 from spoorline.operators.features import degrees
 from spoorline.operators.graph import entity_type
-from spoorline.operators.ranking import first_per_group
-from spoorline.session import cut, sized
+from spoorline.operators.ranking import first_per_group, global_rank
+from spoorline.session import cut
 
 ORDER = ("score", "event_id")
 
@@ -47,7 +47,7 @@ def _expand(digraph, members, seeds, floor, depth, fan, near, far, tag):
     frontier = visited = seeds
     added = None
     for level in range(depth):
-        fringe = sized(frontier.withColumnRenamed("entity_key", near))
+        fringe = frontier.withColumnRenamed("entity_key", near)
         best = first_per_group(digraph.join(fringe, near, "left_semi"), [near], _best_first(), fan)
         inside = members.select(F.col("entity_key").alias(far), F.lit(True).alias("__in"))
         step = cut(
@@ -125,8 +125,7 @@ def cluster_time(nodes: DataFrame, edges: DataFrame, bins: int = 10) -> DataFram
 def cluster_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected components, numbered by their smallest node."""
     parts = graphalgo.connected_components(edges, nodes).withColumnRenamed("node", "entity_key")
-    names = parts.select("component").distinct()
-    numbered = names.withColumn("__n", F.row_number().over(Window.orderBy("component")) - 1)
+    numbered = global_rank(parts.select("component").distinct(), ["component"], "__n")
     return nodes.join(parts.join(numbered, "component"), "entity_key").withColumn(
         "cluster", F.concat(F.lit("path_"), F.col("__n").cast("string"))
     ).drop("__n", "component")

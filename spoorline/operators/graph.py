@@ -128,8 +128,8 @@ def to_undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataF
 def dedupe_edges(edges: DataFrame, per: Sequence[str] = (), order: Sequence[str] = ("ts_s", "edge_id")) -> DataFrame:
     """First edge in ``order`` of each ``(src, dst, event_type)``; combined before the shuffle."""
     keys = [*per, "src", "dst", "event_type"]
-    rest = [c for c in edges.columns if c not in keys and c not in order]
-    first = edges.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__f"))
+    rest = [c for c in edges.columns if c not in keys]
+    first = edges.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__f"))
     return first.select(*[c if c in keys else F.col(f"__f.{c}").alias(c) for c in edges.columns])
 
 
@@ -152,9 +152,8 @@ def attach_scores(edges: DataFrame, scores: DataFrame, on: str = "edge_id") -> D
 def simple_digraph(events: DataFrame, dedupe: str = "last", keep: Sequence[str] = ("event_type", "ts_s", "score")) -> DataFrame:
     """One edge per ordered pair: the last event wins, or with ``max_score`` the best scored one."""
     order = {"last": ["event_id"], "max_score": ["score", "event_id"]}[dedupe]
-    rest = [c for c in keep if c not in order]
-    best = F.max(F.struct(*order, *rest)).alias("__b")
-    fields = ["event_id", *keep]
+    fields = list(dict.fromkeys(["event_id", *keep]))
+    best = F.max_by(F.struct(*fields), F.struct(*order)).alias("__b")
     return events.groupBy("src_key", "dst_key").agg(best).select(
         "src_key", "dst_key", *[F.col(f"__b.{c}").alias(c) for c in fields]
     )

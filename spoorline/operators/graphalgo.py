@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorline.session import cut, sized
+from spoorline.session import cut
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src_key", dst: str = "dst_key") -> DataFrame:
@@ -63,7 +63,7 @@ def pagerank(
         before = ranks
         for _ in range(min(check_every, max_rounds - rounds)):
             received = (
-                weighted.join(sized(ranks) if ranks is before and rounds else ranks, F.col("src_key") == F.col("node"))
+                weighted.join(ranks, F.col("src_key") == F.col("node"))
                 .groupBy("dst_key").agg(F.sum(F.col("share") * F.col("y")).alias("r"))
             )
             ranks = everyone.join(received, F.col("node") == F.col("dst_key"), "left").select(
@@ -92,7 +92,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     frontier = cut(everyone.select(F.col("entity_key").alias("s"), F.col("entity_key").alias("v"), F.lit(1.0).alias("sigma")))
     n = frontier.count()
     levels, seen = [frontier], frontier.select("s", "v")
-    adjacency = sized(links)
+    adjacency = links
     while True:
         nxt = cut(
             frontier.join(adjacency, "v").groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))

@@ -181,9 +181,10 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] | None = None) ->
 
 
 def median_metrics(df: DataFrame) -> DataFrame:
-    """Rows (graphs) above the median score predicted positive, then the metrics."""
+    """Rows (graphs) above the median score predicted positive, then the metrics, and both areas over all scores."""
     cut = percentile_of(df, "score", 0.5)
-    return classification_metrics(confusion(df.withColumn("prediction", F.when(F.col("score") > cut, 1).otherwise(0))))
+    rates = classification_metrics(confusion(df.withColumn("prediction", F.when(F.col("score") > cut, 1).otherwise(0))))
+    return rates.withColumns({"auroc": auroc(df).scalar(), "average_precision": average_precision(df).scalar()})
 
 
 def entity_level_metrics(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spoorline.operators import graph as G
 from spoorline.operators.features import degrees
 from spoorline.operators.graphalgo import connected_components
-from spoorline.operators.ranking import global_rank, group_rank
+from spoorline.operators.ranking import global_rank, group_rank, running_sums
+from spoorline.session import cut
 
 _MILLION = 1_000_000
 
@@ -22,8 +23,8 @@ def _draw(seed: int, *keys: str) -> Column:
 
 def remove_duplicates(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_s", "event_id")) -> DataFrame:
     """The first event in ``order`` of each key."""
-    rest = [c for c in events.columns if c not in keys and c not in order]
-    first = events.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__f"))
+    rest = [c for c in events.columns if c not in keys]
+    first = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__f"))
     return first.select(*[c if c in keys else F.col(f"__f.{c}").alias(c) for c in events.columns])
 
 
@@ -108,6 +109,14 @@ def temporal_split(events: DataFrame, ratios: Sequence[float] | None = (0.7, 0.1
     ).drop("__r")
 
 
+def stratified_split(events: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), label: str = "label") -> DataFrame:
+    """As ``temporal_split`` by shares, but inside every label, so that each part has every label's share."""
+    sizes = cut(events.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))
+    ranked = group_rank(events, [label], ["ts_s", "event_id"], "__r").join(sizes, label)
+    a, b = F.floor(F.col("__n") * ratios[0]), F.floor(F.col("__n") * (ratios[0] + ratios[1]))
+    return ranked.withColumn("split", F.when(F.col("__r") < a, "train").when(F.col("__r") < b, "val").otherwise("test")).drop("__r", "__n")
+
+
 def balance(df: DataFrame, method: str = "under", seed: int = 42, label: str = "label", key: str = "event_id") -> DataFrame:
     """Equal class sizes: down to the smallest class, or up to the largest by repeating rows."""
     ranked = group_rank(df.withColumn("__h", F.xxhash64(key, F.lit(seed))), [label], ["__h", key], "__r")
@@ -120,12 +129,31 @@ def balance(df: DataFrame, method: str = "under", seed: int = 42, label: str = "
     return sized.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("__h", "__r", "__n", "__goal")
 
 
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """Disjoint intervals ``(start_s, end_s)`` with the same union; touching ones become one, reversed ones leave.
+
+    Both ends are events of a sweep whose running sum of starts less ends is 0 between two merged intervals.
+    """
+    ends = F.array(
+        F.struct(F.col("start_s").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")),
+        F.struct(F.col("end_s").alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step")),
+    )
+    points = intervals.where(F.col("start_s") <= F.col("end_s")).select(F.inline(ends)).groupBy("at", "kind").agg(F.sum("step").alias("step"))
+    swept = running_sums(points, ["at", "kind"], {"open": "step"})
+    # a merged interval starts where the sum leaves 0 and ends where it returns
+    edges = cut(swept.where(((F.col("kind") == 0) & (F.col("open") == F.col("step"))) | ((F.col("kind") == 1) & (F.col("open") == 0))))
+    starts = global_rank(edges.where("kind = 0").select(F.col("at").alias("start_s")), ["start_s"], "n")
+    stops = global_rank(edges.where("kind = 1").select(F.col("at").alias("end_s")), ["end_s"], "n")
+    return starts.join(stops, "n").select("start_s", "end_s")
+
+
 def label_attack_windows(events: DataFrame, intervals: DataFrame, slot_seconds: float = 3600.0) -> DataFrame:
     """``label`` 1 for events inside any closed interval ``(start_s, end_s)``, else 0.
 
-    Intervals are spread over fixed time slots, so the range test runs as an equi-join on the slot; the events
-    themselves are neither copied nor sorted.
+    Overlapping intervals are merged first, then spread over fixed time slots, so the range test runs as an equi-join
+    on the slot; the events themselves are neither copied nor sorted. A slot's list holds disjoint intervals only.
     """
+    intervals = merge_intervals(intervals)
     first, last = F.floor(F.col("start_s") / slot_seconds), F.floor(F.col("end_s") / slot_seconds)
     slots = intervals.select("start_s", "end_s", F.explode(F.sequence(first, last)).alias("__slot"))
     # per slot, the parts of intervals inside it, merged into one short list
@@ -152,8 +180,26 @@ def dataset_stats(events: DataFrame) -> DataFrame:
     return out
 
 
+def time_disorder(events: DataFrame) -> DataFrame:
+    """Number of events whose time lies before that of an event with a smaller id.
+
+    Ids are laid out in ranges; the running maximum of a range starts from the maxima of the ranges before it.
+    """
+    timed = events.where("ts_s is not null").select("event_id", "ts_s")
+    laid = cut(timed.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("__p", F.spark_partition_id()))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    tops = laid.groupBy("__p").agg(F.max("ts_s").alias("__top")).select("__p", F.max("__top").over(earlier).alias("__before"))
+    inside = Window.partitionBy("__p").orderBy("event_id").rangeBetween(Window.unboundedPreceding, -1)
+    seen = laid.join(F.broadcast(tops), "__p").withColumn("__m", F.greatest("__before", F.max("ts_s").over(inside)))
+    return seen.agg(F.count_if(F.col("ts_s") < F.col("__m")).alias("violations"))
+
+
 def validate(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Violations per rule: missing keys, types or times, negative times, dangling ends, repeated ids."""
+    """Violations per rule: missing keys, types or times, negative times, dangling ends, repeated ids, time order.
+
+    The order rule counts events that are earlier than one with a smaller id.
+    """
     counted = events.agg(
         F.count_if(F.col("src_key").isNull() | F.col("dst_key").isNull()).alias("null_key"),
         F.count_if(F.col("event_type").isNull()).alias("null_type"),
@@ -171,23 +217,49 @@ def validate(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return (
         rules.unionByName(dangling.select(F.lit("dangling_end").alias("rule"), "violations"))
         .unionByName(repeated.select(F.lit("repeated_id").alias("rule"), "violations"))
+        .unionByName(time_disorder(events).select(F.lit("time_order").alias("rule"), "violations"))
     )
 
 
-def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int = 42, draws: int | None = None) -> DataFrame:
-    """``n`` random non-edges per edge: same source, a random other node that the source never touches.
+def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
+    """``n`` different random non-edges per edge: same source, a node that the source never touches, not itself.
 
-    Nodes get dense codes, a hash of the edge draws codes, and drawn pairs that exist are removed.
+    Where a source has fewer than ``n`` such nodes all of them are returned. A source that touches at most half of
+    the nodes draws until it has enough, every draw being free with a chance of a half at least; for the others the
+    free nodes are fewer than their edges, so they are listed and picked from.
     """
-    draws = draws or 4 * n + 4
-    codes = global_rank(nodes.select(F.col("entity_key").alias("dst_key")), ["dst_key"], "code")
-    total = codes.agg(F.count(F.lit(1))).scalar()
-    drawn = edges.select("event_id", "src_key", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("__t", total)
-    picked = drawn.withColumn("code", F.pmod(F.xxhash64("event_id", "draw", F.lit(seed)), F.col("__t"))).join(codes, "code")
-    real = edges.select("src_key", "dst_key").distinct()
-    fresh = picked.where(F.col("src_key") != F.col("dst_key")).join(real, ["src_key", "dst_key"], "left_anti")
-    order = Window.partitionBy("event_id").orderBy("draw")
-    return fresh.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).select("event_id", "src_key", "dst_key")
+    codes = cut(global_rank(nodes.select(F.col("entity_key").alias("dst_key")).distinct(), ["dst_key"], "code"))
+    total = codes.count()
+    wanted = edges.select("event_id", "src_key")
+    # what a source must not draw: its targets and itself
+    taken = cut(
+        edges.select("src_key", "dst_key").unionByName(edges.select("src_key", F.col("src_key").alias("dst_key"))).distinct()
+        .join(codes, "dst_key").select("src_key", "code")
+    )
+    held = cut(taken.groupBy("src_key").agg(F.count(F.lit(1)).alias("held")))
+    dense = held.where(2 * F.col("held") > total)
+    free = (
+        dense.select("src_key", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)).cast("long"))).alias("code"))
+        .join(taken, ["src_key", "code"], "left_anti")
+    )
+    listed = group_rank(free, ["src_key"], ["code"], "r")
+    slots = F.explode(F.sequence(F.lit(0), F.least(F.lit(n).cast("long"), total - F.col("held")) - 1)).alias("slot")
+    start = F.pmod(F.xxhash64("event_id", F.lit(seed)), total - F.col("held"))
+    picked = (
+        wanted.join(dense.where(F.col("held") < total), "src_key").select("event_id", "src_key", "held", start.alias("start"), slots)
+        .withColumn("r", F.pmod(F.col("start") + F.col("slot"), total - F.col("held"))).join(listed, ["src_key", "r"]).select("event_id", "src_key", "code")
+    )
+    sparse = wanted.join(held.where(2 * F.col("held") <= total), "src_key").select(
+        "event_id", "src_key", F.explode(F.sequence(F.lit(1), F.least(F.lit(n).cast("long"), total - F.col("held")))).alias("slot"))
+    done, open_, turn = picked, cut(sparse), 0
+    while not open_.isEmpty():
+        drawn = open_.withColumn("code", F.pmod(F.xxhash64("event_id", "slot", F.lit(turn), F.lit(seed)), F.lit(total)))
+        fresh = drawn.join(taken, ["src_key", "code"], "left_anti").join(done.select("event_id", "code"), ["event_id", "code"], "left_anti")
+        # two slots of an edge that drew the same node: the first has it
+        got = cut(fresh.groupBy("event_id", "src_key", "code").agg(F.min("slot").alias("slot")))
+        done = done.unionByName(got.select("event_id", "src_key", "code"))
+        open_, turn = cut(open_.join(got.select("event_id", "slot"), ["event_id", "slot"], "left_anti")), turn + 1
+    return done.join(codes, "code").select("event_id", "src_key", "dst_key")
 
 
 def label_subset(df: DataFrame, ratio: float, seed: int = 42, key: str = "event_id") -> DataFrame:

@@ -30,9 +30,22 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def strictly(raw: Column) -> tuple[Column, Column]:
+    """The text wrapped and parsed, and a test of the result that holds only if all of the text is one JSON value.
+
+    The parser accepts text that merely starts with a value. Closed between a bracket and a number of its own, only a
+    whole value leaves exactly two elements, the second being that number.
+    """
+    own = F.xxhash64(raw)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), own.cast("string"), F.lit("]")))
+    return wrapped, lambda w: (F.try_variant_get(w, "$[1]", "bigint") == own) & F.try_variant_get(w, "$[2]", "variant").isNull()
+
+
 def parse(records: DataFrame) -> DataFrame:
-    """Adds the record parsed once as VARIANT; text that is no JSON is dropped."""
-    return once(records, v=F.try_parse_json("raw")).where(F.col("v").isNotNull())
+    """Adds the record parsed once as VARIANT; text that is not one JSON object from end to end is dropped."""
+    wrapped, whole = strictly(F.col("raw"))
+    held = once(records.where(F.trim("raw").startswith("{")), __w=wrapped)
+    return held.where(whole(F.col("__w"))).withColumn("v", F.try_variant_get("__w", "$[0]", "variant")).drop("__w")
 
 
 def get(v: Column | str, *path: str, kind: str = "string") -> Column:

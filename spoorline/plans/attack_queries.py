@@ -38,17 +38,10 @@ AG = f"""{THR},
    select * , 0 as p from tp union all select * exclude t, 1 from b1 union all select * exclude t, 1 from b2 union all select * exclude t, 2 from f1 union all select * exclude t, 2 from f2) group by all),
  agn as materialized (select v as entity_key, split_part(v,':',1) as entity_type from (select v from m3 union select dst_key from f2))"""
 
-_graphs: dict = {}
-
-
 def attack_graph(spark, sf):
-    """Built once per session and data set, as about twenty reports read it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _graphs:
-        events = prov_events(spark, sf)
-        threshold = events.select(percentile_of(events, "score", 0.95).alias("t")).limit(1).first()["t"]
-        _graphs[key] = K.reconstruct(G.simple_digraph(events), threshold)
-    return _graphs[key]
+    events = prov_events(spark, sf)
+    threshold = events.select(percentile_of(events, "score", 0.95).alias("t")).limit(1).first()["t"]
+    return K.reconstruct(G.simple_digraph(events), threshold)
 
 
 def digraph(spark, sf):
@@ -176,15 +169,9 @@ def betweenness(spark, sf):
     return rounded(A.betweenness(ag.edges, ag.nodes), "betweenness")
 
 
-_scored: dict = {}
-
-
 def scored_nodes(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _scored:
-        ag = attack_graph(spark, sf)
-        _scored[key] = cut(K.importance(ag.nodes, ag.edges, tol=1e-11))
-    return _scored[key]
+    ag = attack_graph(spark, sf)
+    return cut(K.importance(ag.nodes, ag.edges, tol=1e-11))
 
 
 @query("importance", pe("select entity_key, round(importance,6) as importance from imp", IMP))

@@ -210,9 +210,9 @@ def undirected(spark, sf):
 def dedupe_edges(spark, sf):
     windowed = day_windows(spark, sf).select(
         "window_id", F.col("src_key").alias("src"), F.col("dst_key").alias("dst"), "event_type",
-        F.col("event_id").alias("edge_id"), "ts_s",
+        F.col("event_id").alias("edge_id"), "ts_s", F.create_map(F.lit("k"), F.col("k").cast("string")).alias("attributes"),
     )
-    return G.transform_graph(windowed, "deduplicate", ["window_id"]).withColumn("ts_s", r6("ts_s"))
+    return G.transform_graph(windowed, "deduplicate", ["window_id"]).withColumn("ts_s", r6("ts_s")).drop("attributes")
 
 
 @query("attach_scores", pe("""select pe.event_id, src_key, dst_key, round(s.score,6) as score from pe join sc s on s.event_id=pe.event_id and s.model='m3'

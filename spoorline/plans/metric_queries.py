@@ -135,22 +135,27 @@ _MEDIAN = """conf as (select count(*) filter (pr=0 and label=0) as tn, count(*)
   count(*) filter (pr=1 and label=1) as tp from (select label, case when score > (select median(score) from g) then 1 else 0 end as pr from g))"""
 
 
-@query("graph_level", pe(f"select tn, fp, fn, tp, {_RATES} from conf",
-       "g as (select floor(ts_s/3600) as w, avg(score) as score, case when sum(label)>=3 then 1 else 0 end as label from pe group by 1)," + _MEDIAN))
+_AREAS = """, areas as (select round(sum(pos*(n-fp+neg/2))/max(p*n),6) as auroc, round(sum(pos/p*tp/(tp+fp)),6) as average_precision from (
+  select score, pos, neg, sum(pos) over (order by score desc)::double as tp, sum(neg) over (order by score desc)::double as fp, sum(pos) over ()::double as p, sum(neg) over ()::double as n
+  from (select score, count(*) filter (label=1) as pos, count(*) filter (label=0) as neg from g group by 1)))"""
+
+
+@query("graph_level", pe(f"select tn, fp, fn, tp, {_RATES}, auroc, average_precision from conf, areas",
+       "g as materialized (select floor(ts_s/3600) as w, avg(score) as score, case when sum(label)>=3 then 1 else 0 end as label from pe group by 1)," + _MEDIAN + _AREAS))
 def graph_level(spark, sf):
     graphs = prov_events(spark, sf).groupBy(F.floor(F.col("ts_s") / 3600).alias("graph")).agg(
         F.avg("score").alias("score"), F.when(F.sum("label") >= 3, 1).otherwise(0).alias("label")
     )
-    return rounded(M.median_metrics(graphs), *RATES)
+    return rounded(M.median_metrics(graphs), *RATES, "auroc", "average_precision")
 
 
-@query("entity_level", pe(f"select tn, fp, fn, tp, {_RATES} from conf",
-       "g as (select src_key, max(score) as score, case when sum(label)>=5 then 1 else 0 end as label from pe group by 1)," + _MEDIAN))
+@query("entity_level", pe(f"select tn, fp, fn, tp, {_RATES}, auroc, average_precision from conf, areas",
+       "g as materialized (select src_key, max(score) as score, case when sum(label)>=5 then 1 else 0 end as label from pe group by 1)," + _MEDIAN + _AREAS))
 def entity_level(spark, sf):
     entities = prov_events(spark, sf).groupBy("src_key").agg(
         F.max("score").alias("score"), F.when(F.sum("label") >= 5, 1).otherwise(0).alias("label")
     )
-    return rounded(M.entity_level_metrics(entities), *RATES)
+    return rounded(M.entity_level_metrics(entities), *RATES, "auroc", "average_precision")
 
 
 @query("ensemble", pe("""select event_id, round(avg((score-lo)/(hi-lo+1e-10)),6) as score, count(*) as models from sc

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spoorline.operators import graph as G
 from spoorline.operators import prep as P
+from spoorline.operators.features import degrees
 from spoorline.plans.fixtures import prov_events, table
 from spoorline.plans.graph_queries import DAYS, T0, day_windows
 from spoorline.plans.registry import pe, query, r6
@@ -13,7 +14,8 @@ from spoorline.plans.registry import pe, query, r6
 
 @query("dedupe_events", pe("select src_key, dst_key, event_type, min(event_id) as event_id from pe group by 1,2,3"))
 def dedupe_events(spark, sf):
-    events = prov_events(spark, sf).select("event_id", "ts_s", "src_key", "dst_key", "event_type")
+    # as parsed events, with a map column
+    events = prov_events(spark, sf).select("event_id", "ts_s", "src_key", "dst_key", "event_type", F.create_map(F.lit("k"), F.col("k").cast("string")).alias("attributes"))
     return P.remove_duplicates(events, ["src_key", "dst_key", "event_type"]).select("src_key", "dst_key", "event_type", "event_id")
 
 
@@ -35,11 +37,11 @@ def handle_missing(spark, sf):
 
 
 @query("min_degree", pe("""select event_id from pe where src_key in (select v from d where n>=avgn) and dst_key in (select v from d where n>=avgn)""",
-       "d as (select v, count(*) as n, (select 2.0*count(*)/350 from pe) as avgn from (select src_key as v from pe union all select dst_key from pe) group by 1)"))
+       "d as (select v, count(*) as n, avg(count(*)) over () as avgn from (select src_key as v from pe union all select dst_key from pe) group by 1)"))
 def min_degree(spark, sf):
     events = prov_events(spark, sf)
-    least = events.select((F.ceil(2.0 * F.count(F.lit(1)) / 350)).alias("n")).first()["n"]
-    return P.min_degree(events, int(least)).select("event_id")
+    mean = degrees(events).agg(F.ceil(F.avg("degree")).alias("n")).first()["n"]
+    return P.min_degree(events, int(mean)).select("event_id")
 
 
 _ENT = """ent as materialized (select src_key as e, max(case when event_type='view' then round(score*20) end) as a, min(case when event_type='click' then round(score*20) end) as b from pe group by 1)"""
@@ -119,24 +121,34 @@ def dataset_stats(spark, sf):
 
 @query("validate", pe("""select 'null_key' as rule, count(*) filter (k>=98) as violations from pe union all select 'null_type', 0 union all select 'null_time', 0 union all select 'negative_time', 0
   union all select 'self_loop', count(*) from pe where src_key=dst_key and k<98
-  union all select 'dangling_end', count(*) from pe where split_part(dst_key,':',1)='network' and k<98 union all select 'repeated_id', 0"""))
+  union all select 'dangling_end', count(*) from pe where split_part(dst_key,':',1)='network' and k<98 union all select 'repeated_id', 0
+  union all select 'time_order', count(*) from (select ts_s, max(ts_s) over (order by event_id rows between unbounded preceding and 1 preceding) as m from pe) where ts_s < m"""))
 def validate(spark, sf):
     events = prov_events(spark, sf).withColumn("dst_key", F.when(F.col("k") < 98, F.col("dst_key")))
     keys = G.endpoints(prov_events(spark, sf)).select("entity_key").distinct()
     return P.validate(events, keys.where("entity_key not like 'network:%'"))
 
 
-@query("negative_samples", pe("select src_key, 2*count(*) as n, 0::bigint as hits from pe group by 1"))
+@query("negative_samples", pe("""select src_key, cast(sum(least(2, (select count(*) from nn) - d)) as bigint) as n, cast(sum(least(2, (select count(*) from nn) - d)) as bigint) as distinct_n, 0::bigint as hits
+  from pe join held using (src_key) group by 1""", """nn as (select src_key as v from pe union select dst_key from pe),
+  held as (select src_key, count(distinct v) as d from (select src_key, dst_key as v from pe union all select src_key, src_key from pe) group by 1)"""))
 def negative_samples(spark, sf):
     events = prov_events(spark, sf).select("event_id", "src_key", "dst_key")
     nodes = G.endpoints(prov_events(spark, sf)).select("entity_key").distinct()
     drawn = P.negative_samples(events, nodes, 2)
-    real = events.select("src_key", "dst_key").distinct().withColumn("hit", F.lit(1))
+    own = events.select("src_key", F.col("src_key").alias("dst_key"))
+    real = events.select("src_key", "dst_key").unionByName(own).distinct().withColumn("hit", F.lit(1))
     return drawn.join(real, ["src_key", "dst_key"], "left").groupBy("src_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id", "dst_key").alias("distinct_n"), F.count("hit").alias("hits")
     )
 
 
+@query("stratified_split", pe("""select event_id, case when r < floor(n*0.7) then 'train' when r < floor(n*(0.7+0.15)) then 'val' else 'test' end as split from (
+  select event_id, row_number() over (partition by label order by ts_s, event_id)-1 as r, count(*) over (partition by label) as n from pe)"""))
+def stratified_split(spark, sf):
+    return P.stratified_split(prov_events(spark, sf)).select("event_id", "split")
+
+
 @query("label_subset")
 def label_subset(spark, sf):
     return P.label_subset(prov_events(spark, sf).select("event_id", "label"), 0.2)

@@ -403,7 +403,9 @@ def limit_records(spark, sf):
 @query("ndjson_tolerant", of("select event_type, count(*) as n, count(distinct user_id) as users from b group by 1"))
 def ndjson_tolerant(spark, sf):
     path = scratch_path(spark, "ndjson")
-    noise = F.array(F.lit("["), F.lit(""), F.lit("{bad"), F.concat(F.lit("  "), "raw", F.lit(",")), F.lit("]"))
+    noise = F.array(
+        F.lit("["), F.lit(""), F.lit("{bad"), F.concat(F.lit("  "), "raw", F.lit(",")), F.lit("]"), F.lit('"x": 1}'), F.lit("42 z"), F.lit("42"),
+        F.lit('{"a":1}{"a":2}'), F.lit('{"a":1},"b":2'), F.lit('{}],[{}'))
     raw_ecs(spark, sf).select(F.explode(noise).alias("value")).write.text(path)
     records = readers.read_ndjson(spark, path)
     return records.select(R.get("v", "event", "action").alias("event_type"), R.get("v", "user", "name").alias("user")).groupBy("event_type").agg(
@@ -416,33 +418,45 @@ def json_array(spark, sf):
     chunks = raw_ecs(spark, sf).groupBy(F.floor(F.col("pos") / 100).cast("string").alias("file")).agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("pos", "raw")))["raw"], ",\n").alias("body")
     )
-    documents = chunks.select("file", F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("value"))
-    return readers.array_records(documents).select("file", "pos", R.get("v", "event", "action").alias("event_type"))
-
-
-@query("route_extension", of("""select event_id, case when event_type in ('view','click','error') then 'avro' else 'json' end as reader from b"""))
+    path = scratch_path(spark, "arrays")
+    # one pretty-printed array per file, and files that only start like one
+    body = F.concat(F.lit("[\n"), "body", F.lit("\n]"))
+    chunks.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", "\n").text(path)
+    chunks.limit(1).select(F.lit("broken").alias("file"), F.concat(body, F.lit("]")).alias("value")).write.mode("append").partitionBy("file").text(path)
+    files = [r["f"] for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect()]
+    records = readers.read_json_array(spark, files)
+    return records.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "pos", R.get("v", "event", "action").alias("event_type"))
+
+
+@query("route_extension", """select page_id, case when regexp_matches(lower(n), '\\.(bin|avro|dat)$') or contains(lower(n), '.bin') then 'avro' else 'json' end as reader
+  from (select page_id, regexp_extract(url || case page_id % 3 when 0 then '.bin.' || page_id when 1 then '/x.json' else '.AVRO' end, '[^/]*$') as n from pages)""")
 def route_extension(spark, sf):
-    name = F.create_map(*[F.lit(x) for x in (
-        "view", "/in/a.bin", "click", "/in/b.bin.3", "purchase", "/bin.d/c.json", "signup", "/in/d.json.1", "error", "/in/E.AVRO")])
-    return base(spark, sf).select("event_id", readers.route_by_extension(name[F.col("event_type")]).alias("reader"))
+    ending = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(".bin."), "page_id")).when(F.col("page_id") % 3 == 1, "/x.json").otherwise(".AVRO")
+    return table(spark, sf, "pages").select("page_id", readers.route_by_extension(F.concat("url", ending)).alias("reader"))
 
 
-@query("dataset_type", of("select event_id, case event_type when 'view' then 'darpa' when 'click' then 'darpa' when 'purchase' then 'custom_soc' else 'custom' end as dataset from b"))
+@query("dataset_type", """select doc_id, case when regexp_matches(p, 'darpa|ta1-|cadets|theia|trace|clearscope') then 'darpa' when regexp_matches(p, 'soc|elastic|endpoint') then 'custom_soc' else 'custom' end as dataset
+  from (select doc_id, lower('/in/' || source || case doc_id % 4 when 0 then '/TA1-x' when 1 then '/Elastic' when 2 then '/theia' else '' end || '/' || doc_id || '.json') as p from documents)""")
 def dataset_type(spark, sf):
-    path = F.create_map(*[F.lit(x) for x in (
-        "view", "/data/TA1-x/1.json", "click", "/data/theia/2.json", "purchase", "/logs/Elastic/3.json", "signup", "/logs/4.json", "error", "/5.json")])
-    return base(spark, sf).select("event_id", readers.detect_dataset_type(path[F.col("event_type")]).alias("dataset"))
+    part = F.when(F.col("doc_id") % 4 == 0, "/TA1-x").when(F.col("doc_id") % 4 == 1, "/Elastic").when(F.col("doc_id") % 4 == 2, "/theia").otherwise("")
+    path = F.concat(F.lit("/in/"), "source", part, F.lit("/"), "doc_id", F.lit(".json"))
+    return table(spark, sf, "documents").select("doc_id", readers.detect_dataset_type(path).alias("dataset"))
 
 
-@query("read_many", of("select event_type, count(*) as n, 2::bigint as read, 1::bigint as missing from b group by 1"))
+@query("read_many", of("""select event_type, count(*) as n, 4::bigint as read, 1::bigint as missing, 1::bigint as failed from b group by 1"""))
 def read_many(spark, sf):
     root = scratch_path(spark, "many")
-    rows = raw_ecs(spark, sf).select("raw", (F.col("pos") % 2).alias("part"))
-    for part in (0, 1):
-        rows.where(F.col("part") == part).select("raw").write.text(f"{root}/{part}")
-    records, counts = readers.read_many(spark, [f"{root}/0", f"{root}/nowhere", f"{root}/1"])
+    rows = raw_ecs(spark, sf).select("raw", (F.col("pos") % 4).alias("part"), "pos")
+    # lines, a pretty-printed array, one object, text named as a container, and a file without a record
+    rows.where("part < 2").select("raw").write.text(f"{root}/lines")
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("pos", "raw")))["raw"], ",\n")
+    rows.where("part = 2 and pos > 2").agg(F.concat(F.lit("[\n"), listed, F.lit("\n]")).alias("value")).write.text(f"{root}/array")
+    rows.where("part = 2 and pos = 2").select(F.regexp_replace("raw", "^\\{", "{\n").alias("value")).coalesce(1).write.text(f"{root}/object")
+    rows.where("part = 3").select("raw").coalesce(1).write.text(f"{root}/fake.bin")
+    rows.limit(1).select(F.lit('{"a":1}{"a":2}').alias("value")).write.text(f"{root}/broken")
+    records, counts = readers.read_many(spark, [f"{root}/{p}" for p in ("lines", "nowhere", "array", "object", "fake.bin", "broken")])
     out = records.select(R.get("v", "event", "action").alias("event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumns({c: F.lit(counts[c]).cast("long") for c in ("read", "missing")})
+    return out.withColumns({c: F.lit(counts[c]).cast("long") for c in ("read", "missing", "failed")})
 
 
 def type_files(spark, sf):
@@ -499,13 +513,13 @@ def scores_roundtrip(spark, sf):
     return readers.load_scores(spark, path, "m3").select("event_id", r6("score").alias("score"), "label")
 
 
-_LABELS = f"""{DAYS}, dl as (select window_id as graph_id, case when sum(label)>(select count(*)/700 from pe) then 1 else 0 end as label from wd group by 1)"""
+_LABELS = f"""{DAYS}, dl as (select window_id as graph_id, case when sum(label)>(select count(*)/count(distinct cast(floor(ts_s/3600) as bigint)) from pe) then 1 else 0 end as label from wd group by 1)"""
 
 
 @query("load_labels", pe("select graph_id, label from dl", _LABELS))
 def load_labels(spark, sf):
     windowed = day_windows(spark, sf)
-    cut = prov_events(spark, sf).agg(F.count(F.lit(1)) / 700).scalar()
+    cut = prov_events(spark, sf).agg(F.count(F.lit(1)) / F.countDistinct(F.floor(F.col("ts_s") / 3600))).scalar()
     days = windowed.groupBy(F.col("window_id").alias("graph_id")).agg(F.sum("label").alias("positives"))
     # one label document, one entry per day; days without positives are left to the default
     marked = days.where(F.col("positives") > cut).agg(F.map_from_entries(F.collect_list(F.struct("graph_id", F.lit(1)))).alias("m"))

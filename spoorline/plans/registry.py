@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.session import configure
+from spoorline.session import configure, frozen, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,10 @@ def query(name: str, sql: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
-            return fn(spark, sf_dir)
+            with stage(spark) as made:
+                result = fn(spark, sf_dir)
+                # a result that reads stage tables is stored before they go
+                return frozen(result) if made.paths else result
 
         QUERIES[name] = run
         if sql is not None:

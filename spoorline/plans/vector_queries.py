@@ -11,6 +11,7 @@ from spoorline.operators import propagate as P
 from spoorline.operators import scoring as S
 from spoorline.plans.fixtures import SCORES_SQL, VECTORS_SQL, node_vectors, prov_events, prov_scores, prov_vectors
 from spoorline.plans.registry import pe, query, r6
+from spoorline.session import cut
 
 SIZE = 64  # entries of a given vector
 
@@ -377,3 +378,21 @@ def text_embeddings(spark, sf):
 
     out_df = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1, minCount=1)
     return out_df.select("doc_id", vector_to_array("w2v").alias("vec"))
+
+
+@query("graph_to_metrics", pe("""select tn, fp, fn, tp, round(coalesce(tp/nullif(tp+fp,0),0),6) as precision, round(coalesce(tp/nullif(tp+fn,0),0),6) as recall, round(p95,6) as p95, round(auroc,6) as auroc
+  from (select count(*) filter (score<=p95 and label=0) as tn, count(*) filter (score>p95 and label=0) as fp, count(*) filter (score<=p95 and label=1) as fn, count(*) filter (score>p95 and label=1) as tp, max(p95) as p95 from scored, cutoff),
+   (select sum(pos*(n-fp+neg/2))/max(p*n) as auroc from (select pos, neg, sum(neg) over (order by score desc)::double as fp, sum(pos) over ()::double as p, sum(neg) over ()::double as n
+     from (select score, count(*) filter (label=1) as pos, count(*) filter (label=0) as neg from scored group by 1)))""", f"""{MEAN},
+  h as materialized (select entity_key, {_SAGE} as o from n),
+  scored as materialized (select event_id, label, round(1-list_dot_product(a.o,b.o)/greatest(sqrt(list_dot_product(a.o,a.o))*sqrt(list_dot_product(b.o,b.o)),1e-8),6) as score
+    from pe join h a on a.entity_key=src_key join h b on b.entity_key=dst_key),
+  cutoff as (select quantile_cont(score,0.95) as p95 from scored)"""))
+def graph_to_metrics(spark, sf):
+    """Node vectors, one message-passing layer, cosine scores of the edges, their percentile and the detection metrics."""
+    encoded = cut(P.sage_mean(nodes(spark, sf), edges(spark, sf), A, B, BIAS, "relu"))
+    scored = cut(S.cosine_edge_anomaly(edges(spark, sf), encoded).select("event_id", "label", r6("score").alias("score")))
+    limit = M.threshold(scored)
+    counted = M.confusion(scored.withColumn("prediction", F.when(F.col("score") > limit, 1).otherwise(0)))
+    return M.classification_metrics(counted).select(
+        "tn", "fp", "fn", "tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6(limit).alias("p95"), r6(M.auroc(scored).scalar()).alias("auroc"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 # hub entities: split a skewed join even where that costs one more exchange
@@ -38,20 +39,53 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one in local mode only."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spoorline-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+class Stage:
+    """A scope whose stage tables are deleted when it ends; ``keep`` hands a table to the scope around it."""
+
+    def __init__(self, paths: list[str], outer: tuple[list[str], ...]):
+        self.paths, self._outer = paths, outer
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        token = _scopes.set(self._outer)
+        try:
+            return cut(df)
+        finally:
+            _scopes.reset(token)
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[Stage]:
+    """Deletes at its end all tables that ``cut`` and ``scratch_path`` made inside; lazy results must be kept before."""
+    outer = _scopes.get()
+    made: list[str] = []
+    token = _scopes.set((*outer, made))
+    try:
+        yield Stage(made, outer)
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/spoorline/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; the scope around it deletes it."""
+    path = f"{shared_root(spark)}/spoorline/{name}-{uuid.uuid4().hex}"
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,12 +99,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 200_000
-
-
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a frozen (checkpointed or stored) narrow table for broadcast if it is counted to be small.
-
-    Beyond the limit it is left to the shuffled join.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def frozen(df: DataFrame) -> DataFrame:
+    """The rows in a reliable checkpoint, which Spark's cleaner removes once the DataFrame is gone."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import pyspark
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.operators.features import random_features
-from spoorline.operators.records import parse
+from spoorline.operators.records import once, parse, strictly
 
 _ROW = (1 << 33) - 1
 
@@ -50,12 +50,14 @@ def read_ndjson(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def array_records(documents: DataFrame) -> DataFrame:
-    """Records of ``(file, value)`` documents that each hold one JSON array or one object."""
-    text = F.trim(F.col("value"))
-    elements = F.when(text.startswith("["), F.from_json(text, "array<variant>")).otherwise(F.array(F.try_parse_json(text)))
+    """Records of ``(file, value)`` documents that each hold one JSON array or one object and nothing else."""
+    wrapped, whole = strictly(F.col("value"))
+    held = once(documents.select("file", F.trim("value").alias("value")), __w=wrapped).where(whole(F.col("__w")))
+    listed = F.try_variant_get("__w", "$[0]", "array<variant>")
+    elements = F.when(F.col("value").startswith("["), listed).otherwise(F.array(F.try_variant_get("__w", "$[0]", "variant")))
     return (
-        documents.select("file", F.posexplode(elements).alias("pos", "v")).where(F.col("v").isNotNull())
-        .select("file", F.col("pos").cast("long").alias("pos"), F.to_json("v").alias("raw"), "v")
+        held.select("file", F.posexplode(elements).alias("pos", "v"))
+        .select("file", F.col("pos").cast("long").alias("pos"), F.to_json("v").alias("raw"), "v").where(F.col("raw").startswith("{"))
     )
 
 
@@ -104,9 +106,22 @@ def discover_files(spark: SparkSession, folder: str, fmt: str = "json", sub_leve
         spark.read.format("binaryFile").option("pathGlobFilter", PATTERNS[fmt])
         .option("recursiveFileLookup", "true").load(folder).select("path", "length")
     )
-    below = F.substring_index(F.col("path"), f"{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    below = F.expr("substring(path, length(root) + 2)")
     depth = F.size(F.split(below, "/")) - 1
-    return listing.where(depth <= (1 if sub_level else 0)).orderBy("path")
+    return (
+        listing.withColumn("root", F.lit(qualified(spark, folder))).where(depth <= (1 if sub_level else 0)).drop("root").orderBy("path")
+    )
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as file listings name it, with scheme and without a closing slash."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(held).toString().rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held)
 
 
 def limit_files(files: DataFrame, n: int) -> DataFrame:
@@ -114,22 +129,53 @@ def limit_files(files: DataFrame, n: int) -> DataFrame:
     return files.orderBy("path").limit(n)
 
 
+def json_kinds(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """``lines``, ``whole`` or ``none`` per file: the first line of records decides, then the file as one document."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"),
+        (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))).alias("pos"),
+    )
+    first = lines.where(~F.col("value").isin("", "[", "]", ",")).groupBy("file").agg(F.min_by("value", "pos").alias("raw"))
+    listed = [r["file"] for r in lines.select("file").distinct().collect()]  # one row per file, as the paths were given
+    by_line = {r["file"] for r in parse(first.withColumn("raw", F.regexp_replace("raw", r",$", ""))).select("file").collect()}
+    rest = [f for f in listed if f not in by_line]
+    whole = {r["file"] for r in read_json_array(spark, rest).select("file").distinct().collect()} if rest else set()
+    return {f: "lines" if f in by_line else "whole" if f in whole else "none" for f in listed}
+
+
 def read_many(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame | None, dict[str, int]]:
-    """Records of all readable paths, and how many were read, missing or failed."""
-    counts, out = {"read": 0, "missing": 0, "failed": 0}, None
+    """Records of all readable paths, and how many paths were read, missing or failed.
+
+    Containers are read as Avro where the module is at hand; they are tried as JSON if that fails, and JSON files are
+    read by lines or as one document by their content, all files of a kind at once. A path without any record failed.
+    """
+    counts, out, texts = {"read": 0, "missing": 0, "failed": 0}, None, []
     for path in paths:
-        try:
-            name = path.rstrip("/").rsplit("/", 1)[-1].lower()
-            binary = name.endswith((".bin", ".avro", ".dat")) or ".bin" in name
-            records = read_avro(spark, path) if binary else read_ndjson(spark, path)
-        except AnalysisException as e:
-            counts["missing" if "PATH_NOT_FOUND" in str(e) else "failed"] += 1
-            continue
-        except RuntimeError:
-            counts["failed"] += 1
+        if not exists(spark, path):
+            counts["missing"] += 1
             continue
-        counts["read"] += 1
-        out = records if out is None else out.unionByName(records)
+        name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+        binary = name.endswith((".bin", ".avro", ".dat")) or ".bin" in name
+        if binary and avro_on_class_path():
+            try:
+                records = read_avro(spark, path)
+                if not records.isEmpty():
+                    counts["read"] += 1
+                    out = records if out is None else out.unionByName(records)
+                    continue
+            except (AnalysisException, PySparkException):
+                pass
+        texts.append(path)
+    kinds = json_kinds(spark, texts) if texts else {}
+    for path in texts:
+        root = qualified(spark, path)
+        held = {kind for file, kind in kinds.items() if file == root or file.startswith(root + "/")}
+        counts["read" if held - {"none"} else "failed"] += 1
+    for kind, reader in (("lines", read_ndjson), ("whole", read_json_array)):
+        files = [file for file, own in kinds.items() if own == kind]
+        if files:
+            records = reader(spark, files)
+            out = records if out is None else out.unionByName(records)
     return out, counts
 
 
