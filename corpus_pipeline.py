@@ -11,7 +11,7 @@ from spoorline.llm import decontaminate, langid, packing, secret_scan
 from spoorline.llm.ngram_join import jaccard_groups
 from spoorline.llm.queries import tokenizer_path
 from spoorline.llm.tables import crc_part, table
-from spoorline.session import configure, cut
+from spoorline.session import configure, cut, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # a text is rejected if no learned language holds this share of its n-grams
@@ -20,7 +20,8 @@ LEAST_SHARE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those unlike every learned language; a null lang is filled in."""
-    model = langid.learn(docs.where(crc_part(F.col("doc_id"), 4) != 2))
+    with stage(spark):
+        model = langid.learn(docs.where(crc_part(F.col("doc_id"), 4) != 2))
     found = langid.identify(docs, model, COLUMNS).where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE))
     return found.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -30,12 +31,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id and text count as one; a group without any id keeps the row of the smallest text hash.
     """
-    # only members of groups leave; they are named by id and text
-    grouped = jaccard_groups(docs, 5, 80, 100).where("group is not null")
-    members = cut(grouped.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
-    best = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key"))
-    marked = cut(members.join(best, "group").select("doc_id", "text_key", "copies", stays.alias("stays")))
+    with stage(spark) as scope:
+        # only members of groups leave; they are named by id and text
+        grouped = jaccard_groups(docs, 5, 80, 100).where("group is not null")
+        members = cut(grouped.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")))
+        best = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+        stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key"))
+        marked = members.join(best, "group").select("doc_id", "text_key", "copies", stays.alias("stays"))
+        marked = scope.keep(marked.where("not stays or copies > 1"))
     gone, again = marked.where("not stays"), marked.where("stays and copies > 1")
     rows = docs.select(*COLUMNS).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["__key"] == other["text_key"])
@@ -52,7 +55,9 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; documents stay."""
-    found = secret_scan.scan(docs, COLUMNS)
+    with stage(spark):
+        model = secret_scan.learn(docs)
+    found = secret_scan.scan(docs, model, COLUMNS)
     spans = secret_scan.merged(F.col("base"), F.col("added"))
     clean = F.when(F.size("spans") > 0, secret_scan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     return found.withColumn("spans", spans).withColumn("text", clean).withColumn(

@@ -11,7 +11,7 @@ from spoorline.llm import chat, decontaminate, html_text, langid, packing, secre
 from spoorline.llm.embed_dedup import embedding_groups
 from spoorline.llm.ngram_join import jaccard_groups
 from spoorline.llm.tables import crc_part, table
-from spoorline.session import configure
+from spoorline.session import configure, frozen, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,10 @@ ORACLES: dict[str, str] = {}
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return fn(spark, sf_dir)
+        with stage(spark) as made:
+            result = fn(spark, sf_dir)
+            # a result that reads stage tables is stored before they go
+            return frozen(result) if made.paths else result
 
     QUERIES[fn.__name__] = run
     return fn
@@ -49,7 +52,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.learn(docs), ["doc_id"])
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.text_of(F.col("base")), 256).alias("base_sha256"),

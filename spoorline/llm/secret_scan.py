@@ -177,70 +177,77 @@ def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Model:
     return Model(automata, {s: math.log10(n / total) for s, n in counts.items()} | {"": math.log10(1 / total)})
 
 
-def _find(batches):
-    """Base spans and candidate tokens of every text."""
-    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())]))
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
+
+
+def find(column) -> tuple[list[list[tuple]], list[list[tuple]]]:
+    """Base spans, and candidates ``(start, end, token)``, of every text of a batch."""
+    data, offsets = flat(column)
+    n = len(offsets) - 1
+    # a run of 31 or more covers an aligned block of 16
+    blocks = len(data) // 16
+    full = np.flatnonzero(HEX_BYTE[data[: blocks * 16]].reshape(-1, 16).all(axis=1)) * 16
+    has_hex, has_digit = np.zeros(n, bool), np.zeros(n, bool)
+    has_hex[np.searchsorted(offsets, full, side="right") - 1] = True
+    has_digit[np.searchsorted(offsets, np.flatnonzero(DIGIT_BYTE[data]), side="right") - 1] = True
+    base, others = [], []
+    for i, text in enumerate(column.to_pylist()):
+        spans = base_spans(text, bool(has_hex[i]))
+        base.append(spans)
+        tokens = []
+        if has_digit[i]:
+            for m in CANDIDATE.finditer(text):
+                word = m[0]
+                if sum(map(str.isdigit, word)) >= 2 and sum(map(str.isalpha, word)) >= 2 and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
+                    tokens.append((m.start(), m.end(), word))
+        others.append(tokens)
+    return base, others
+
+
+def _values(batches):
+    """Values of all base spans, by kind, and candidates, kind -1; no longer than the training looks at."""
     for batch in batches:
-        column = batch.column("__text")
-        data, offsets = flat(column)
-        n = len(offsets) - 1
-        # a run of 31 or more covers an aligned block of 16
-        blocks = len(data) // 16
-        full = np.flatnonzero(HEX_BYTE[data[: blocks * 16]].reshape(-1, 16).all(axis=1)) * 16
-        has_hex, has_digit = np.zeros(n, bool), np.zeros(n, bool)
-        has_hex[np.searchsorted(offsets, full, side="right") - 1] = True
-        has_digit[np.searchsorted(offsets, np.flatnonzero(DIGIT_BYTE[data]), side="right") - 1] = True
-        base, others = [], []
-        for i, text in enumerate(column.to_pylist()):
-            spans = base_spans(text, bool(has_hex[i]))
-            base.append([{"start": a, "kind": k, "end": b, "value": v} for a, k, b, v in spans])
-            tokens = []
-            if has_digit[i]:
-                for m in CANDIDATE.finditer(text):
-                    word = m[0]
-                    if sum(map(str.isdigit, word)) >= 2 and sum(map(str.isalpha, word)) >= 2 and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-                        tokens.append({"start": m.start(), "kind": -1, "end": m.end(), "value": word})
-            others.append(tokens)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(base, span), pa.array(others, span)], ["row", "base", "others"])
+        base, others = find(batch.column("__text"))
+        rows = sorted({(k, v[:MAX_LENGTH]) for spans in base for _, k, _, v in spans} | {(-1, v[:MAX_LENGTH]) for tokens in others for _, _, v in tokens})
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
+
+
+def learn(docs: DataFrame) -> Model:
+    """Automata from the distinct values that the fixed formats find; bounded samples, chosen by hash, are collected."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("__text"))
+    values = cut(texts.mapInArrow(_values, "kind int, value string").distinct())
+
+    def sample(kind: int, limit: int) -> list[str]:
+        return [r["value"] for r in values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(limit).collect()]
+
+    return fit({name: sample(i, MAX_LABELLED) for i, name in enumerate(KINDS)}, sample(-1, MAX_ORDINARY))
 
 
 def _judge(shared):
     def run(batches):
         m: Model = shared.value
         for batch in batches:
-            out = []
-            for tokens in batch.column("others").to_pylist():
-                found = [(m.odds(t["value"]), t) for t in tokens] if m.automata else []
-                out.append([{"start": t["start"], "kind": "like_" + kind, "end": t["end"]} for (odds, kind), t in found if odds >= ODDS])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("base"), pa.array(out, kind)], ["row", "base", "added"])
+            base, others = find(batch.column("__text"))
+            fixed = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b, _ in spans] for spans in base]
+            added = []
+            for tokens in others:
+                found = [(m.odds(word), a, b) for a, b, word in tokens] if m.automata else []
+                added.append([{"start": a, "kind": "like_" + kind, "end": b} for (odds, kind), a, b in found if odds >= ODDS])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fixed, SPAN), pa.array(added, SPAN)], ["row", "base", "added"])
 
     return run
 
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
+def scan(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``(*keep, base, added)`` per row: arrays of ``struct<start, kind, end>`` in code points, end exclusive.
 
     ``base`` holds the fixed formats by start, then kind; ``added`` the candidates that the automata take, kinds
     ``like_<kind>``. A null or empty text has none. Repeated rows are scanned one by one, other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
     kind = rows.schema["row"].dataType.simpleString()
-    span = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
-    found = cut(rows.mapInArrow(_find, f"row {kind}, base {span}, others {span}"))
-    values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    labelled = {}
-    for i, name in enumerate(KINDS):
-        part = values.where(F.col("kind") == i).orderBy(F.xxhash64("value"), "value").limit(MAX_LABELLED)
-        labelled[name] = [r["value"][:MAX_LENGTH] for r in part.select(F.substring("value", 1, MAX_LENGTH).alias("value")).collect()]
-    plain = found.select(F.explode("others").alias("o")).select(F.substring("o.value", 1, MAX_LENGTH).alias("value"), F.col("o.value").alias("whole")).distinct()
-    ordinary = [r["value"] for r in plain.orderBy(F.xxhash64("whole"), "whole").limit(MAX_ORDINARY).select("value").collect()]
-    shared = spark.sparkContext.broadcast(fit(labelled, ordinary))
-    judged = found.mapInArrow(_judge(shared), f"row {kind}, base {span}, added array<struct<start:bigint,kind:string,end:bigint>>")
-    names = F.array(*[F.lit(k) for k in KINDS])
-    named = F.transform("base", lambda b: F.struct(b["start"].alias("start"), names[b["kind"]].alias("kind"), b["end"].alias("end")))
-    return judged.select("row.*", named.alias("base"), "added")
+    span = "array<struct<start:bigint,kind:string,end:bigint>>"
+    return rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, base {span}, added {span}").select("row.*", "base", "added")
 
 
 def merged(base, added):

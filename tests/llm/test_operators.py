@@ -208,7 +208,8 @@ def test_secret_scan_digests_and_redaction(spark):
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(i, f"text é password={key(18)} more and {key(40)} end") for i in range(60)]
     rows += [(100, None), (101, ""), (102, "nothing here, not 1234567890123456"), (103, "bare " + key(24) + " in text"), (103, "bare")]
-    scanned = secret_scan.scan(documents(spark, rows), ["doc_id", "text"])
+    docs = documents(spark, rows)
+    scanned = secret_scan.scan(docs, secret_scan.learn(docs), ["doc_id", "text"])
     spans = secret_scan.merged(F.col("base"), F.col("added"))
     got = scanned.select("doc_id", "text", secret_scan.text_of(F.col("base")).alias("base"), secret_scan.text_of(spans).alias("spans"), secret_scan.redact(F.col("text"), spans).alias("clean")).collect()
     assert len(got) == len(rows)
@@ -220,7 +221,7 @@ def test_secret_scan_digests_and_redaction(spark):
     assert by_id[102, rows[62][1]]["spans"] == "" and by_id[103, "bare"]["clean"] == "bare"
     assert by_id[103, rows[63][1]]["clean"] == "bare [secret] in text"
     assert by_id[0, rows[0][1]]["clean"] == "text é [secret] more and [secret] end"
-    assert secret_scan.scan(documents(spark, []), ["doc_id"]).count() == 0
+    assert secret_scan.scan(docs.limit(0), secret_scan.learn(docs.limit(0)), ["doc_id"]).count() == 0
 
 
 def test_html_query_keeps_rows(spark):
