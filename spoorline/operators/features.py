@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoorline.functions import vectors as V
 from spoorline.functions.vocab import EDGE_CODES, NODE_CODES, lookup
 from spoorline.operators.ranking import global_rank
+from spoorline.session import cut
 
 NODE_DIM = 128
 EDGE_DIM = 64
@@ -115,30 +116,22 @@ def degrees(edges: DataFrame, src: str = "src_key", dst: str = "dst_key") -> Dat
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
     """Local clustering coefficient on the undirected simple graph of ``(src_key, dst_key)``.
 
-    Edges point from lower to higher degree, which bounds every neighbour list by sqrt(2m); triangles are the
-    intersection of the two lists of an edge, so neither hubs nor wedges blow up.
+    Edges point from lower to higher degree, which leaves a node at most sqrt(2m) of them. Two edges out of a node are a
+    wedge, and a wedge whose ends are an edge is a triangle; only rows of three keys travel.
     """
-    simple = (
+    simple = cut(
         edges.where(F.col("src_key") != F.col("dst_key"))
         .select(F.least("src_key", "dst_key").alias("u"), F.greatest("src_key", "dst_key").alias("v")).distinct()
     )
-    degree = simple.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    degree = cut(simple.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d")))
     du, dv = (degree.withColumnsRenamed({"node": c, "d": f"d{c}"}) for c in "uv")
     flip = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
-    oriented = simple.join(du, "u").join(dv, "v").select(
+    oriented = cut(simple.join(du, "u").join(dv, "v").select(
         F.when(flip, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(flip, F.col("u")).otherwise(F.col("v")).alias("b")
-    )
-    lists = oriented.groupBy("a").agg(F.collect_list("b").alias("out"))
-    common = (
-        oriented.join(lists, "a").join(lists.withColumnsRenamed({"a": "b", "out": "out_b"}), "b")
-        .select("a", "b", F.array_intersect("out", "out_b").alias("third")).where(F.size("third") > 0)
-    )
-    credit = F.concat(
-        F.array(F.struct(F.col("a").alias("node"), F.size("third").cast("long").alias("t")),
-                F.struct(F.col("b").alias("node"), F.size("third").cast("long").alias("t"))),
-        F.transform("third", lambda w: F.struct(w.alias("node"), F.lit(1).cast("long").alias("t"))),
-    )
-    triangles = common.select(F.explode(credit).alias("c")).groupBy(F.col("c.node").alias("node")).agg(F.sum("c.t").alias("triangles"))
+    ))
+    wedges = oriented.join(oriented.withColumnRenamed("b", "c"), "a").where(F.col("b") < F.col("c"))
+    closed = wedges.join(simple.withColumnsRenamed({"u": "b", "v": "c"}), ["b", "c"], "left_semi")
+    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
     possible = F.col("d") * (F.col("d") - 1)
     return degree.join(triangles, "node", "left").fillna(0, ["triangles"]).select(
         "node", F.col("d").alias("degree"), "triangles",

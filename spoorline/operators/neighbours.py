@@ -1,7 +1,7 @@
 """Exact vector neighbourhoods: k nearest neighbours and contrastive sums, in blocks of bounded size.
 
-Work on a hot cell or window is cut into (block of base rows) × (chunk of query rows) tasks of at most ``BLOCK``
-rows each side; a task returns one reduced row set per query, never the pairs.
+Work is cut into (block of base rows) × (chunk of query rows) tasks of about ``BLOCK`` rows each side; a task returns
+one reduced row set per query, never the pairs.
 """
 
 from __future__ import annotations
@@ -41,49 +41,20 @@ def _tiles(base: DataFrame, queries: DataFrame, cell: str, base_id: str, query_i
 def knn_anomaly(queries: DataFrame, base: DataFrame, k: int = 20, id_column: str = "vec_id", vec: str = "vec") -> DataFrame:
     """Mean cosine distance of each query vector to its ``k`` nearest base vectors; exact.
 
-    Base vectors fall into cells around at most 512 pivots. The triangle inequality bounds each query's k-th
-    distance from the cell sizes and radii, and only the cells within that bound are searched.
+    Every tile of base rows meets every tile of queries in one matrix product, and a tile returns its k best per
+    query. The work grows with the product of both sides: the queries are the stated set to be scored.
     """
     unit = lambda df: df.select(F.col(id_column).alias("id"), V.unit(F.col(vec)).alias("u"))
-    base, queries = unit(base), unit(queries)
+    base, queries = cut(unit(base)), cut(unit(queries))
     n = base.count()
     if n == 0:
         raise ValueError("no base vectors")
     k = min(k, n)
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(max(1, min(512, int(math.sqrt(n))))).collect()
-    pivots = np.array([r["u"] for r in chosen])
-
-    def to_pivots(batch):
-        x = np.vstack(batch["u"].to_numpy())
-        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2.0 * x @ pivots.T + (pivots * pivots).sum(1)[None, :], 0.0))
-
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                d = to_pivots(batch)
-                yield batch.assign(cell=d.argmin(1).astype("int32"), r=d.min(1))
-
-    members = cut(base.mapInPandas(assign, "id long, u array<double>, cell int, r double"))
-    stats = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("far"), F.min("r").alias("near")).collect()
-    cells = np.array([s["cell"] for s in stats], dtype="int32")
-    sizes, far, near = (np.array([s[c] for s in stats], dtype="float64") for c in ("n", "far", "near"))
-    slack = 1e-6  # rounding of the distances above
-
-    def candidates(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = to_pivots(batch)[:, cells]
-            upper = d + far
-            order = upper.argsort(1)
-            reached = (sizes[order].cumsum(1) >= k).argmax(1)
-            bound = np.take_along_axis(upper, order, 1)[np.arange(len(batch)), reached]
-            lower = np.maximum(d - far, near - d)
-            row, col = np.nonzero(lower <= bound[:, None] + slack)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "u": batch["u"].to_numpy()[row], "cell": cells[col]})
-
-    wanted = cut(queries.mapInPandas(candidates, "id long, u array<double>, cell int"))
-    left, right = _tiles(members.drop("r"), wanted, "cell", "id", "id")
+    blocks, chunks = math.ceil(n / BLOCK), max(1, math.ceil(queries.count() / BLOCK))
+    tile = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = base.select("id", "u", tile(blocks).alias("block"), spread(chunks).alias("chunk"))
+    right = queries.select("id", "u", tile(chunks).alias("chunk"), spread(blocks).alias("block"))
 
     def nearest(b, q):
         if not len(b) or not len(q):
@@ -94,7 +65,7 @@ def knn_anomaly(queries: DataFrame, base: DataFrame, k: int = 20, id_column: str
         best = np.partition(d, top - 1, axis=1)[:, :top]
         return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), top), "distance": best.ravel()})
 
-    keys = ["cell", "block", "chunk"]
+    keys = ["block", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "id long, distance double")
     order = Window.partitionBy("id").orderBy("distance")
     closest = found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)

@@ -76,15 +76,28 @@ def gat_attention(
     pairs = collapse(edges.where(F.col("src_key") != F.col("dst_key")))
     loops = nodes.select(F.col("entity_key").alias("src_key"), F.col("entity_key").alias("dst_key"), F.lit(1).cast("long").alias("n"))
     pairs = pairs.unionByName(loops)
-    out = nodes.select("entity_key")
+    # all heads travel in one row: their messages end to end, one source and one target term each
+    messages = [V.matvec(head["w"], F.col("vec")) for head in heads]
+    h = cut(nodes.select(
+        "entity_key", F.concat(*messages).alias("msg"),
+        F.array(*[V.dot(m, V.literal(head["a_src"])) for m, head in zip(messages, heads)]).alias("s"),
+        F.array(*[V.dot(m, V.literal(head["a_dst"])) for m, head in zip(messages, heads)]).alias("t"),
+    ))
+    raw = F.zip_with("s", "t", lambda s, t: s + t)
+    scored = cut(
+        pairs.join(_as_src(h, "msg", "s"), "src_key").join(h.select(F.col("entity_key").alias("dst_key"), "t"), "dst_key")
+        .select("dst_key", "n", "msg", F.transform(raw, lambda e: F.when(e >= 0, e).otherwise(e * slope)).alias("e"))
+    )
+    many = range(len(heads))
+    top = scored.groupBy("dst_key").agg(F.array(*[F.max(F.col("e")[i]) for i in many]).alias("top"))
+    weighed = scored.join(top, "dst_key").withColumn("w", F.zip_with("e", "top", lambda e, t: F.col("n") * F.exp(e - t)))
+    sums, at = [], 0
     for i, head in enumerate(heads):
-        h = nodes.select("entity_key", V.matvec(head["w"], F.col("vec")).alias("msg"))
-        src = h.select(F.col("entity_key").alias("src_key"), "msg", V.dot(F.col("msg"), V.literal(head["a_src"])).alias("s"))
-        dst = h.select(F.col("entity_key").alias("dst_key"), V.dot(F.col("msg"), V.literal(head["a_dst"])).alias("t"))
-        raw = F.col("s") + F.col("t")
-        scored = pairs.join(src, "src_key").join(dst, "dst_key").withColumn("e", F.when(raw >= 0, raw).otherwise(raw * slope))
-        out = out.join(_softmax_sum(scored, len(head["w"])).withColumnRenamed("agg", f"h{i}"), "entity_key")
-    parts = [F.col(f"h{i}") for i in range(len(heads))]
+        own = [F.sum(F.col("w")[i] * F.col("msg")[at + j]) / F.sum(F.col("w")[i]) for j in range(len(head["w"]))]
+        sums.append(F.array(*own).alias(f"h{i}"))
+        at += len(head["w"])
+    out = weighed.groupBy(F.col("dst_key").alias("entity_key")).agg(*sums)
+    parts = [F.col(f"h{i}") for i in many]
     vec = F.concat(*parts) if concat else combine(parts, "mean")
     return out.select("entity_key", (V.add(vec, V.literal(bias)) if bias else vec).alias("vec"))
 
@@ -107,7 +120,7 @@ def transformer_attention(
     if w_edge:
         e = V.matvec(w_edge, F.col(edge_vec))
         key, value = V.add(key, e), V.add(value, e)
-    scored = pairs.select("dst_key", "n", (V.dot(F.col("q"), key) / float(dim) ** 0.5).alias("e"), value.alias("msg"))
+    scored = cut(pairs.select("dst_key", "n", (V.dot(F.col("q"), key) / float(dim) ** 0.5).alias("e"), value.alias("msg")))
     own = V.matvec(w_skip, F.col("vec"))
     return nodes.join(_softmax_sum(scored, dim), "entity_key", "left").select(
         "entity_key", F.coalesce(V.add(own, F.col("agg")), own).alias("vec")
