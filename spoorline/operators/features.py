@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
+from spoorline.functions.draws import draw
 from spoorline.functions.vocab import EDGE_CODES, NODE_CODES, lookup
 from spoorline.operators.ranking import global_rank
 from spoorline.session import cut
@@ -38,12 +39,8 @@ def onehot(df: DataFrame, column: str, vocabulary: Sequence[str] | None = None,
 
 def random_features(df: DataFrame, key: str, dim: int, seed: int = 42, out: str = "vec") -> DataFrame:
     """Standard normal vector per key, a function of key and seed only (not of the partitioning)."""
-    def uniform(i: Column, salt: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), 11)
-        return (bits.cast("double") + 0.5) / float(1 << 53)
-
     def gauss(i: Column) -> Column:
-        return F.sqrt(-2.0 * F.log(uniform(i, 0))) * F.cos(6.283185307179586 * uniform(i, 1))
+        return F.sqrt(-2.0 * F.log(1.0 - draw(seed, key, i, F.lit(0)))) * F.cos(6.283185307179586 * draw(seed, key, i, F.lit(1)))
 
     return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), gauss))
 
@@ -205,27 +202,37 @@ def text_tokens(df: DataFrame, column: str, out: str = "tokens") -> DataFrame:
     return df.withColumn(out, F.filter(parts, lambda t: t != ""))
 
 
-def text_features(df: DataFrame, column: str, dim: int = 256, out: str = "tfidf") -> DataFrame:
-    """TF-IDF vector over hashed tokens of the whole text."""
-    from pyspark.ml.feature import HashingTF, IDF
+def text_features(df: DataFrame, column: str, key: str, dim: int = 256) -> DataFrame:
+    """TF-IDF of hashed tokens of the whole text, sparse: ``(key, i, x)`` for the entries that are not 0.
 
-    tf = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim).transform(text_tokens(df, column, "__tokens"))
-    return IDF(inputCol="__tf", outputCol=out).fit(tf).transform(tf).drop("__tokens", "__tf")
+    ``x`` is the count of the tokens in bucket i times ln((texts + 1) / (texts with the bucket + 1)).
+    """
+    tokens = text_tokens(df.select(key, column), column, "__tokens")
+    counts = tokens.select(key, F.explode("__tokens").alias("__token")).groupBy(key, "__token").agg(F.count(F.lit(1)).alias("__n"))
+    bucket = F.floor(draw(0, "__token") * dim).alias("i")
+    found = cut(counts.groupBy(key, bucket).agg(F.sum("__n").alias("__n")))
+    # one row per bucket, stored so that it is broadcast by its size
+    seen = cut(found.groupBy("i").agg(F.count(F.lit(1)).alias("__d")))
+    idf = F.log((df.agg(F.count(F.lit(1))).scalar() + 1) / (F.col("__d") + 1))
+    return found.join(seen, "i").select(key, "i", (F.col("__n") * idf).alias("x"))
 
 
 def text_embeddings(df: DataFrame, column: str, dim: int = 16, seed: int = 42, out: str = "w2v", **params) -> DataFrame:
-    """Word2Vec vector: mean of the word vectors of the whole text."""
+    """Word2Vec vector: mean of the word vectors of the whole text; every word counts, training runs in several tasks.
+
+    The vocabulary is held by the driver, as Spark's trainer does; large corpora set ``minCount``.
+    """
     from pyspark.ml.feature import Word2Vec
 
     tokens = text_tokens(df, column, "__tokens")
-    model = Word2Vec(inputCol="__tokens", outputCol=out, vectorSize=dim, seed=seed, **params).fit(tokens)
+    settings = {"numPartitions": 8, "minCount": 1} | params
+    model = Word2Vec(inputCol="__tokens", outputCol=out, vectorSize=dim, seed=seed, **settings).fit(tokens)
     return model.transform(tokens).drop("__tokens")
 
 
 def mask_features(df: DataFrame, key: str, vec: str, rate: float, seed: int = 42) -> DataFrame:
     """Zero the vector of a share of the rows, chosen by key; ``masked`` tells which."""
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return df.withColumn("masked", draw < rate).withColumn(
+    return df.withColumn("masked", draw(seed, key) < rate).withColumn(
         vec, F.when(F.col("masked"), F.transform(vec, lambda x: F.lit(0.0))).otherwise(F.col(vec))
     )
 

@@ -7,20 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorline.functions.draws import draw
 from spoorline.operators import graph as G
 from spoorline.operators.features import degrees
 from spoorline.operators.graphalgo import connected_components
 from spoorline.operators.ranking import global_rank, group_rank, running_sums
 from spoorline.session import cut
 
-_MILLION = 1_000_000
-
-
-def _draw(seed: int, *keys: str) -> Column:
-    """Uniform number in [0, 1) from the keys only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_MILLION)) / float(_MILLION)
-
-
 def remove_duplicates(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts_s", "event_id")) -> DataFrame:
     """The first event in ``order`` of each key."""
     rest = [c for c in events.columns if c not in keys]
@@ -77,15 +70,15 @@ def sample(events: DataFrame, n: int | None = None, share: float | None = None,
     if method == "first":
         return events.orderBy("ts_s", "event_id").limit(n)
     if share is not None:
-        return events.where(_draw(seed, "event_id") < share)
-    return events.orderBy(F.xxhash64("event_id", F.lit(seed)), "event_id").limit(n)
+        return events.where(draw(seed, "event_id") < share)
+    return events.orderBy(draw(seed, "event_id"), "event_id").limit(n)
 
 
 def random_split(graphs: DataFrame, ratio: float = 0.2, seed: int = 42, key: str = "graph_id") -> DataFrame:
     """``split`` = train / val over graphs: ``ratio`` to val, each side at least one; under 5 graphs all train."""
     n = graphs.agg(F.count(F.lit(1))).scalar()
     train = F.least(F.greatest(F.floor(n * (1.0 - ratio)), F.lit(1)), n - 1)
-    ranked = global_rank(graphs.withColumn("__h", F.xxhash64(key, F.lit(seed))), ["__h", key], "__r")
+    ranked = global_rank(graphs.withColumn("__h", draw(seed, key)), ["__h", key], "__r")
     return ranked.withColumn(
         "split", F.when((n < 5) | (F.col("__r") < train), "train").otherwise("val")
     ).drop("__h", "__r")
@@ -119,7 +112,7 @@ def stratified_split(events: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.
 
 def balance(df: DataFrame, method: str = "under", seed: int = 42, label: str = "label", key: str = "event_id") -> DataFrame:
     """Equal class sizes: down to the smallest class, or up to the largest by repeating rows."""
-    ranked = group_rank(df.withColumn("__h", F.xxhash64(key, F.lit(seed))), [label], ["__h", key], "__r")
+    ranked = group_rank(df.withColumn("__h", draw(seed, key)), [label], ["__h", key], "__r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     if method == "under":
         return ranked.where(F.col("__r") < sizes.agg(F.min("__n")).scalar()).drop("__h", "__r")
@@ -264,7 +257,7 @@ def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int =
 
 def label_subset(df: DataFrame, ratio: float, seed: int = 42, key: str = "event_id") -> DataFrame:
     """Labels kept for a share of the rows, NULL elsewhere."""
-    return df.withColumn("label", F.when(_draw(seed, key) < ratio, F.col("label")))
+    return df.withColumn("label", F.when(draw(seed, key) < ratio, F.col("label")))
 
 
 def detect_mode(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
+from spoorline.functions.draws import draw
 from spoorline.operators.ranking import first_per_group
 from spoorline.session import cut
 
@@ -187,7 +188,7 @@ def residual(x: Column, h: Column, layer: int = 1) -> Column:
 
 def sample_neighbors(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """At most ``k`` incoming edges per target, chosen by hash (a sampling operator)."""
-    return first_per_group(edges, ["dst_key"], [F.xxhash64("event_id", F.lit(seed)), F.col("event_id")], k)
+    return first_per_group(edges, ["dst_key"], [draw(seed, "event_id"), F.col("event_id")], k)
 
 
 def layer_outputs(nodes: DataFrame, layers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 
 from spoorline.operators import features as X
 from spoorline.operators import graph as G
+from spoorline.functions.draws import draw_sql
 from spoorline.plans.fixtures import prov_events, prov_vectors, table
 from spoorline.plans.registry import pe, query, r6
 
@@ -37,9 +38,11 @@ def onehot_edges(spark, sf):
     )
 
 
-@query("random_features")
+@query("random_features", pe(f"""select entity_key, i, round(sqrt(-2.0*ln(1.0-{draw_sql(42, 'entity_key', 'i', '0')}))*cos(6.283185307179586*{draw_sql(42, 'entity_key', 'i', '1')}),6) as x
+  from (select src_key as entity_key from pe union select dst_key from pe), range(0,16) r(i)"""))
 def random_features(spark, sf):
-    return X.random_features(keys(spark, sf), "entity_key", 16)
+    entries = X.random_features(keys(spark, sf), "entity_key", 16).select("entity_key", F.posexplode("vec").alias("i", "x"))
+    return entries.select("entity_key", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
 @query("dense_codes", pe("select 'node' as kind, entity_key as value, code from codes union all select 'edge', event_type, row_number() over (order by event_type)-1 from (select distinct event_type from pe)", CODES))
@@ -167,15 +170,19 @@ def normalize(spark, sf):
     return out.select("event_id", r6("z").alias("z"), r6("u").alias("u"), r6("l").alias("l"))
 
 
-@query("text_features")
+@query("text_features", rf"""with t as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) as w from documents),
+  f as (select doc_id, cast(floor({draw_sql(0, 'w')}*64) as bigint) as i, count(*) as n from t group by 1, 2),
+  d as (select i, count(*) as d from f group by 1)
+  select doc_id, i, round(n*ln(((select count(*) from documents)+1)/(d+1)),6) as x from f join d using (i)""")
 def text_features(spark, sf):
-    vectors = X.text_features(table(spark, sf, "documents").select("doc_id", "text"), "text", 64)
-    return vectors.select("doc_id", vector_to_array("tfidf").alias("vec"))
+    return X.text_features(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id", 64).withColumn("x", r6("x"))
 
 
-@query("mask_features")
+@query("mask_features", f"""select entity_key, i-1 as i, m as masked, round(case when m then 0.0 else cast(embedding[i] as double) end,6) as x
+  from (select 'process:'||vec_id as entity_key, embedding, {draw_sql(42, "'process:'||vec_id")} < 0.5 as m from embeddings), range(1,65) r(i)""")
 def mask_features(spark, sf):
-    return X.mask_features(prov_vectors(spark, sf), "entity_key", "vec", 0.5).select("entity_key", "vec", "masked")
+    masked = X.mask_features(prov_vectors(spark, sf), "entity_key", "vec", 0.5).select("entity_key", "masked", F.posexplode("vec").alias("i", "x"))
+    return masked.select("entity_key", F.col("i").cast("long").alias("i"), "masked", r6("x").alias("x"))
 
 
 @query("featurize_hook", pe("select 'process:'||vec_id as entity_key, i-1 as i, round(cast(embedding[i] as double),6) as x from embeddings, range(1,65) r(i)"))

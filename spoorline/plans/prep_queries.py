@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spoorline.functions.draws import draw_sql
 from spoorline.operators import graph as G
 from spoorline.operators import prep as P
 from spoorline.operators.features import degrees
@@ -69,15 +70,16 @@ def first_n(spark, sf):
     return P.sample(prov_events(spark, sf), 500).select("event_id")
 
 
-@query("random_sample")
+@query("random_sample", pe(f"select event_id, event_type from pe where {draw_sql(42, 'event_id')} < 0.1"))
 def random_sample(spark, sf):
     return P.sample(prov_events(spark, sf), share=0.1, method="random").select("event_id", "event_type")
 
 
-@query("random_split", pe("select split, n from (select count(*) as t, cast(floor(count(*)*0.8) as bigint) as a from (select distinct window_id from wd)), lateral (select 'train' as split, a as n union all select 'val', t-a)", DAYS))
+@query("random_split", pe(f"""select graph_id, case when row_number() over (order by {draw_sql(42, 'graph_id')}, graph_id) <= floor(count(*) over ()*0.8) then 'train' else 'val' end as split
+  from (select distinct window_id as graph_id from wd)""", DAYS))
 def random_split(spark, sf):
     graphs = day_windows(spark, sf).select(F.col("window_id").alias("graph_id")).distinct()
-    return P.random_split(graphs).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return P.random_split(graphs).select("graph_id", "split")
 
 
 @query("temporal_split", pe("""select event_id, case when r < floor(n*0.7) then 'train' when r < floor(n*(0.7+0.15)) then 'val' else 'test' end as split from (
@@ -91,13 +93,17 @@ def temporal_split_days(spark, sf):
     return P.temporal_split(prov_events(spark, sf), days=[20, 4, 4]).select("event_id", "split")
 
 
-@query("balance", pe("""select 'under' as method, label, min(count(*)) over () as n, null::bigint as ids from pe group by label
-  union all select 'over', label, max(count(*)) over (), count(*) from pe group by label"""))
+@query("balance", pe("""select 'under' as method, event_id, label, 1::bigint as copies from ranked, goal where r < least
+  union all select 'over', event_id, label, cast(most//n + case when r < most % n then 1 else 0 end as bigint) from ranked, goal""", f"""
+  ranked as (select event_id, label, row_number() over (partition by label order by {draw_sql(42, 'event_id')}, event_id)-1 as r, count(*) over (partition by label) as n from pe),
+  goal as (select min(n) as least, max(n) as most from ranked)"""))
 def balance(spark, sf):
     events = prov_events(spark, sf).select("event_id", "label")
-    under = P.balance(events).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(None).cast("long"))
-    over = P.balance(events, "over").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
-    return under.select(F.lit("under").alias("method"), "*").unionByName(over.select(F.lit("over").alias("method"), "*"))
+    parts = [
+        P.balance(events, method).groupBy("event_id", "label").agg(F.count(F.lit(1)).alias("copies")).select(F.lit(method).alias("method"), "*")
+        for method in ("under", "over")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 # attack intervals: from each hour's best scored event of a day to two hours later, one per day
@@ -149,7 +155,7 @@ def stratified_split(spark, sf):
     return P.stratified_split(prov_events(spark, sf)).select("event_id", "split")
 
 
-@query("label_subset")
+@query("label_subset", pe(f"select event_id, case when {draw_sql(42, 'event_id')} < 0.2 then label end as label from pe"))
 def label_subset(spark, sf):
     return P.label_subset(prov_events(spark, sf).select("event_id", "label"), 0.2)
 

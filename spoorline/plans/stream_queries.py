@@ -32,8 +32,15 @@ def finished(spark, df, name):
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-# the watermark is the latest event less the delay, in whole milliseconds; windows end at or before it
-MARK = "(select floor(max(ts_s)*1000)/1000 - 600 from pe)"
+def closed(spark, sf, build, name):
+    """A windowed stream run over all data, then once more past its end, so that no window stays open."""
+    path = scratch_path(spark, name)
+    events = event_stream(spark, sf)
+    out = build(S.with_end(events, f"{path}/end"))
+    S.run_available(out, f"{path}/out", f"{path}/checkpoint")
+    S.end_of_data(events, f"{path}/end")
+    S.run_available(out, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
 @query("stream_events", "select event_type, count(*) as n, count(distinct user_id) as users from events group by 1")
@@ -47,16 +54,16 @@ def stream_events(spark, sf):
     return finished(spark, out, "records").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"))
 
 
-@query("stream_counts", pe(f"""select cast(floor(ts_s/3600)*3600 as bigint) as window_start, cast(floor(ts_s/3600)*3600+3600 as bigint) as window_end, event_type, count(*) as n
-  from pe group by 1,2,3 having floor(ts_s/3600)*3600+3600 <= {MARK}""".replace("having floor(ts_s/3600)*3600+3600", "having max(floor(ts_s/3600)*3600+3600)")))
+@query("stream_counts", pe("""select cast(floor(ts_s/3600)*3600 as bigint) as window_start, cast(floor(ts_s/3600)*3600+3600 as bigint) as window_end, event_type, count(*) as n
+  from pe group by 1,2,3"""))
 def stream_counts(spark, sf):
-    return finished(spark, S.stream_window_counts(event_stream(spark, sf)), "counts")
+    return closed(spark, sf, S.stream_window_counts, "counts")
 
 
-@query("stream_sliding", pe(f"""select w as window_start, w+3600 as window_end, event_type, count(*) as n from (select *, unnest([cast(floor(ts_s/1800)*1800 as bigint), cast(floor(ts_s/1800)*1800-1800 as bigint)]) as w from pe)
-  group by 1,2,3 having max(w)+3600 <= {MARK}"""))
+@query("stream_sliding", pe("""select w as window_start, w+3600 as window_end, event_type, count(*) as n from (select *, unnest([cast(floor(ts_s/1800)*1800 as bigint), cast(floor(ts_s/1800)*1800-1800 as bigint)]) as w from pe)
+  group by 1,2,3"""))
 def stream_sliding(spark, sf):
-    return finished(spark, S.stream_window_counts(event_stream(spark, sf), "1 hour", "30 minutes"), "sliding")
+    return closed(spark, sf, lambda events: S.stream_window_counts(events, "1 hour", "30 minutes"), "sliding")
 
 
 @query("stream_dedupe", pe("select distinct src_key, dst_key, event_type from pe"))
@@ -66,12 +73,12 @@ def stream_dedupe(spark, sf):
     return finished(spark, out.select("src_key", "dst_key", "event_type"), "dedupe")
 
 
-@query("stream_sessions", pe(f"""select src_key, min(us) as session_start, max(us)+1800000000 as session_end, count(*) as n, max(score) as max_score from (
+@query("stream_sessions", pe("""select src_key, min(us) as session_start, max(us)+1800000000 as session_end, count(*) as n, max(score) as max_score from (
    select *, sum(brk) over (partition by src_key order by us) as s from (select *, case when us - lag(us) over (partition by src_key order by us) < 1800000000 then 0 else 1 end as brk
      from (select src_key, score, epoch_us(e.ts) as us from pe join events e using (event_id))))
-  group by src_key, s having max(us)/1e6+1800 <= {MARK}"""))
+  group by src_key, s"""))
 def stream_sessions(spark, sf):
-    return finished(spark, S.stream_sessions(event_stream(spark, sf)), "sessions")
+    return closed(spark, sf, S.stream_sessions, "sessions")
 
 
 @query("stream_alerts", pe("select event_id, event_type, round(score-q,6) as excess from pe join (select event_type, quantile_cont(score,0.99) as q from pe group by 1) using (event_type) where score>=q"))

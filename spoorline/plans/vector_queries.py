@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
+from spoorline.functions.draws import draw_sql
 from spoorline.operators import metrics as M
 from spoorline.operators import neighbours as N
 from spoorline.operators import propagate as P
@@ -193,9 +194,9 @@ def residual(spark, sf):
     return entries(nodes(spark, sf).select("entity_key", P.residual(h, V.matvec(C, h)).alias("vec")), "entity_key")
 
 
-@query("sample_neighbors", pe("select dst_key, least(count(*), 10) as n from pe group by 1"))
+@query("sample_neighbors", pe(f"select dst_key, event_id from pe qualify row_number() over (partition by dst_key order by {draw_sql(42, 'event_id')}, event_id) <= 10"))
 def sample_neighbors(spark, sf):
-    return P.sample_neighbors(prov_events(spark, sf), 10).groupBy("dst_key").agg(F.count(F.lit(1)).alias("n"))
+    return P.sample_neighbors(prov_events(spark, sf), 10).select("dst_key", "event_id")
 
 
 _L2 = f"""{MEAN}, l1 as materialized (select entity_key, {_SAGE} as o from n),
@@ -270,10 +271,13 @@ def reconstruction_loss(spark, sf):
     return losses.select(*[r6(c).alias(c) for c in losses.columns])
 
 
-@query("pca_reconstruction")
+@query("pca_reconstruction", "select vec_id, 0.0::double as whole, true as shrinks from embeddings")
 def pca_reconstruction(spark, sf):
-    held = S.pca_reconstruct(prov_vectors(spark, sf), "vec", 8)
-    return S.reconstruction_error(held, "vec", "rebuilt").select("vec_id", r6("score").alias("score"))
+    """With all directions a vector is rebuilt exactly, and more directions never rebuild it worse."""
+    vectors = prov_vectors(spark, sf).select("vec_id", "vec")
+    errors = {k: S.reconstruction_error(S.pca_reconstruct(vectors, "vec", k), "vec", "rebuilt").select("vec_id", F.col("score").alias(f"e{k}")) for k in (8, 32, SIZE)}
+    both = errors[8].join(errors[32], "vec_id").join(errors[SIZE], "vec_id")
+    return both.select("vec_id", (F.round(f"e{SIZE}", 5) + 0.0).alias("whole"), ((F.col("e8") >= F.col("e32") - 1e-9) & (F.col("e32") >= F.col(f"e{SIZE}") - 1e-9)).alias("shrinks"))
 
 
 @query("centroid_distance", pe(f"select vec_id, round(list_distance(vec,c),6) as score from vv, (select [{each('avg(vec[#])')}] as c from vv where label=0)", VV))
@@ -369,15 +373,17 @@ def temporal_contrast(spark, sf):
     return N.temporal_contrast(windowed_vectors(spark, sf)).select("entity_key", "window_id", r6("loss").alias("loss"))
 
 
-@query("text_embeddings")
+@query("text_embeddings", "select doc_id, 8::bigint as size, true as finite from documents")
 def text_embeddings(spark, sf):
+    """Shape and finiteness of the vectors; a trained value has no SQL form."""
     from pyspark.ml.functions import vector_to_array
 
     from spoorline.operators.features import text_embeddings as embed
     from spoorline.plans.fixtures import table
 
-    out_df = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1, minCount=1)
-    return out_df.select("doc_id", vector_to_array("w2v").alias("vec"))
+    trained = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1).select("doc_id", vector_to_array("w2v").alias("vec"))
+    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return trained.select("doc_id", F.size("vec").cast("long").alias("size"), finite.alias("finite"))
 
 
 @query("graph_to_metrics", pe("""select tn, fp, fn, tp, round(coalesce(tp/nullif(tp+fp,0),0),6) as precision, round(coalesce(tp/nullif(tp+fn,0),0),6) as recall, round(p95,6) as p95, round(auroc,6) as auroc

@@ -10,18 +10,37 @@ from spoorline.operators import cdm
 from spoorline.operators.records import parse
 
 def stream_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Records ``(file, pos, raw, v)`` of line-delimited files as they arrive; bad lines are skipped."""
-    lines = spark.readStream.options(**options).text(path)
-    body = F.regexp_replace(F.trim("value"), r",$", "")
-    placed = lines.select(
-        F.col("_metadata.file_path").alias("file"),
-        # a stream has no row numbers; records are ordered by the age of their file
-        F.unix_millis("_metadata.file_modification_time").alias("pos"),
-        body.alias("raw"),
-    )
+    """Records ``(file, pos, raw, v)`` of line-delimited files as they arrive; bad lines are skipped.
+
+    ``file`` starts with the file's modification time, so records sort by the age of their file, then by their place
+    in it: (file, pos) is unique and ascending. Streams know no row numbers, so a file is read as a whole: files are
+    the pieces of a rotated log, each one task's work.
+    """
+    files = spark.readStream.options(**options, wholetext="true").text(path)
+    age = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0")
+    lines = files.select(F.concat_ws(" ", age, F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    body = F.regexp_replace(F.trim("line"), r",$", "")
+    placed = lines.select("file", F.col("pos").cast("long").alias("pos"), body.alias("raw"))
     return parse(placed.where(~F.col("raw").isin("", "[", "]")))
 
 
+END_SECONDS = 4102444800.0  # a time after all data: the first second of the year 2100
+
+
+def with_end(events: DataFrame, folder: str) -> DataFrame:
+    """The stream with the rows that ``end_of_data`` will put into ``folder``."""
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
+def end_of_data(events: DataFrame, folder: str) -> None:
+    """Puts one row far behind all times, so that the next run moves the watermark past every open window."""
+    spark = events.sparkSession
+    empty = [F.lit(END_SECONDS if f.name == "ts_s" else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*empty).write.mode("append").parquet(folder)
+
+
 def with_event_time(events: DataFrame, delay: str) -> DataFrame:
     """``ts`` from the epoch seconds, with a watermark."""
     return events.withColumn("ts", F.timestamp_micros(F.round(F.col("ts_s") * 1e6).cast("long"))).withWatermark("ts", delay)
