@@ -26,7 +26,12 @@ def infer_type(d: str = "datum") -> Column:
 
 
 def unwrap(records: DataFrame) -> DataFrame:
-    """Adds ``rec`` (the record) and ``record_type``: the wrapper's class, or inferred for a bare record."""
+    """Adds ``rec`` (the record) and ``record_type``: the wrapper's class, or inferred for a bare record.
+
+    Records that are unwrapped already stay as they are, so a stored unwrapped table serves all readers.
+    """
+    if "rec" in records.columns:
+        return records
     fields = F.try_variant_get("v", "$.datum", "map<string,variant>")
     opened = once(records, datum=get("v", "datum", kind="variant"), fields=fields).where(F.col("datum").isNotNull())
     key = F.try_element_at(F.filter(F.map_keys("fields"), lambda k: k.startswith(CDM_PREFIX)), F.lit(1))

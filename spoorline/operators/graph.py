@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.operators.ranking import first_per_group, global_rank, group_rank
@@ -46,8 +46,9 @@ def build_nodes(events: DataFrame, per: Sequence[str] = ()) -> DataFrame:
 def edge_type_dict(edges: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Dense id per event type in order of first appearance."""
     first = edges.groupBy(*per, "event_type").agg(F.min(F.struct("ts_s", "event_id")).alias("__first"))
-    ranked = group_rank(first, per, ["__first"], "edge_type_id") if per else global_rank(first, ["__first"], "edge_type_id")
-    return ranked.select(*per, "event_type", "edge_type_id")
+    # a graph's types are a short vocabulary, one row each
+    number = (F.row_number().over(Window.partitionBy(*per).orderBy("__first")) - 1).cast("long")
+    return first.withColumn("edge_type_id", number).select(*per, "event_type", "edge_type_id")
 
 
 def sort_by_time(events: DataFrame) -> DataFrame:

@@ -14,11 +14,22 @@ from spoorline.session import cut
 EVENT_COLUMNS = ["file", "pos", "event_id", "event_type", "src_key", "dst_key", "ts_s", "attributes", "status"]
 
 # format name → (events with both keys and a status, entity records); users may add their own
+def _cdm(records: DataFrame, _) -> tuple[DataFrame, DataFrame]:
+    """The text is read and parsed once: the unwrapped records are stored, events and entities read them."""
+    opened = cut(cdm.unwrap(records).select("file", "pos", "rec", "record_type"))
+    entities = cut(cdm.entities(opened))
+    return cdm.resolve_entities(cdm.events(opened), entities), entities.select("entity_key", "entity_type", "attributes", "file", "pos")
+
+
+def _stored(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    events = cut(events)
+    return events, event_entities(events)
+
+
 FORMATS = {
-    "cdm": lambda r, _: (cdm.resolve_entities(cdm.events(r), cdm.entities(r)), cdm.entities(r).select(
-        "entity_key", "entity_type", "attributes", "file", "pos")),
-    "ecs": lambda r, _: (ecs.events(r), event_entities(ecs.events(r))),
-    "custom": lambda r, schema: (custom_events(r, **schema), event_entities(custom_events(r, **schema))),
+    "cdm": _cdm,
+    "ecs": lambda r, _: _stored(ecs.events(r)),
+    "custom": lambda r, schema: _stored(custom_events(r, **schema)),
 }
 
 
