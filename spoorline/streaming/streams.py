@@ -16,7 +16,7 @@ def stream_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
     in it: (file, pos) is unique and ascending. Streams know no row numbers, so a file is read as a whole: files are
     the pieces of a rotated log, each one task's work.
     """
-    files = spark.readStream.options(**options, wholetext="true").text(path)
+    files = spark.readStream.options(**options).text(path, wholetext=True)
     age = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0")
     lines = files.select(F.concat_ws(" ", age, F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     body = F.regexp_replace(F.trim("line"), r",$", "")
