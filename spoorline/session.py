@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> None:
-    """Turns on the splitting of skewed joins in a session made elsewhere."""
+    """Turns on the splitting of skewed joins in a session made elsewhere, and lets Python workers find this package."""
     if spark.conf.get(SKEW, "false") != "true":
         spark.conf.set(SKEW, "true")
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
 def shared_root(spark: SparkSession) -> str:
