@@ -3,7 +3,7 @@
 If two sets reach the similarity t, their first |x| - ceil(t|x|) + 1 tokens in *any* common order of all tokens share
 one token. Each order here puts the tokens whose salted hash falls in one share of the hash range first, the rarest
 ahead, and all others after them by hash. One scan under the first order drops every document whose whole prefix
-occurs nowhere else. Under each order the rest is chained by shared prefix tokens, and the filters are intersected:
+occurs nowhere else (all others are marked in a bitmap of bounded size). Under each order the rest is chained by shared prefix tokens, and the filters are intersected:
 documents stay candidates of each other only if they are chained under *every* order. Linked documents are never
 separated, and no pair is listed. Each surviving class is verified exactly, in pairs of bounded blocks; a
 block pair returns a spanning forest of its links.
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from spoorline.llm.textops import Words, flat, list_values, long_lists, mix64, pieces, shingles
 from spoorline.operators.graphalgo import connected_components
-from spoorline.session import cut
+from spoorline.session import cut, stage
 
 SALTS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 512
+MAX_ACTIVE_BITS = 27  # 16 MB; above it more texts pass to the exact filters, none fewer
 # names of token nodes lie above all set ids
 TOKEN_NODE = 1 << 62
 
@@ -75,9 +76,24 @@ def _first_order(k: int, num: int, den: int):
     return run
 
 
-def _all_orders(k: int, num: int, den: int):
+def _active_bits(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the low bits of text keys, of a bounded size; a text that shares its bit with another passes too."""
+    n = keys.count()
+    bits = min(MAX_ACTIVE_BITS, max(10, (16 * n).bit_length()))
+    at = F.col("__key").bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(__key & 63 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _all_orders(k: int, num: int, den: int, active):
     def run(batches):
         for batch in batches:
+            key = batch.column("__key").to_numpy().view(np.uint64)
+            at = key & np.uint64(64 * len(active.value) - 1)
+            batch = batch.filter(pa.array((active.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
             n, hi, lo, tokens, posts = [], [], [], [], [[] for _ in SALTS]
             for s in _token_sets(batch.column("__text"), k):
                 a, b = _prints(s)
@@ -191,39 +207,47 @@ def _links(sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Groups of documents linked by ``den * |x & y| >= num * |x | y|`` over distinct k-word shingles.
 
-    Returns ``(id_column, n_shingles, component_id, group, text_key)``, one row per row of ``docs`` (repeated rows stay), with
-    the smallest id reachable by links, the row's own included. ``group`` names the linked rows also where ids are null;
-    it is null for rows without candidates. ``text_key`` is a hash of the text. A text of fewer than k words is one shingle; a null or blank
-    text has none and links with nothing. Rows without an id take part but name no group unless all its ids are null.
+    Returns ``(id_column, n_shingles, component_id, group, text_key)``, one row per row of ``docs`` (repeated rows
+    stay), with the smallest id reachable by links, the row's own included. ``group`` names the linked rows also where ids are null;
+    it is null for rows without candidates. ``text_key`` is a hash of the text. A text of fewer than k words is one
+    shingle; a null or blank text has none and links with nothing. Rows without an id take part but name no group unless all its ids are null.
     Ids are integers; other columns of ``docs`` are ignored, whatever their names. An empty table gives no rows.
     """
+    with stage(docs.sparkSession) as scope:
+        return scope.keep(_groups(docs, k, num, den, id_column, text_column))
+
+
+def _groups(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
     source = docs.select(
         F.col(id_column).cast("long").alias("__id"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"),
     ).withColumn("__key", F.xxhash64("__text"))
-    scanned = cut(
-        source.mapInArrow(_first_order(k, num, den), "__id long, __key long, n long, hi long, lo long, post array<long>")
-        .withColumn("uid", F.monotonically_increasing_id())
-    )
-    lone = (
-        scanned.select("uid", F.explode("post").alias("tok")).groupBy("tok")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).where("c = 1")
-        .groupBy("uid").agg(F.count(F.lit(1)).alias("lone"))
-    )
-    active = cut(
-        scanned.where("n > 0").select("uid", "__key", "n").join(lone, "uid", "left")
-        .where(F.coalesce("lone", F.lit(0)) < _prefix(F.col("n"), num, den)).select("__key").distinct()
-    )
+    with stage(docs.sparkSession) as scan:
+        scanned = cut(
+            source.mapInArrow(_first_order(k, num, den), "__id long, __key long, n long, hi long, lo long, post array<long>")
+            .withColumn("uid", F.monotonically_increasing_id())
+        )
+        lone = (
+            scanned.select("uid", F.explode("post").alias("tok")).groupBy("tok")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).where("c = 1")
+            .groupBy("uid").agg(F.count(F.lit(1)).alias("lone"))
+        )
+        active = cut(
+            scanned.where("n > 0").select("uid", "__key", "n").join(lone, "uid", "left")
+            .where(F.coalesce("lone", F.lit(0)) < _prefix(F.col("n"), num, den)).select("__key").distinct()
+        )
+        bits = _active_bits(active)
+        plain = scan.keep(scanned.drop("post", "uid"))
     posts = ", ".join(f"post{i} array<long>" for i in range(len(SALTS)))
     sets = cut(
-        source.join(active, "__key", "left_semi").select("__text")
-        .mapInArrow(_all_orders(k, num, den), f"n long, hi long, lo long, tokens array<long>, {posts}")
-        .dropDuplicates(["hi", "lo", "n"]).withColumn("sid", F.monotonically_increasing_id())
+        source.mapInArrow(_all_orders(k, num, den, docs.sparkSession.sparkContext.broadcast(bits)), f"n long, hi long, lo long, tokens array<long>, {posts}")
+        .where("n > 0").dropDuplicates(["hi", "lo", "n"]).withColumn("sid", F.monotonically_increasing_id())
     )
-    classes = cut(_classes(sets, num, den))
-    groups = connected_components(cut(_links(sets, classes, num, den)))
+    with stage(docs.sparkSession) as chain:
+        links = chain.keep(_links(sets, cut(_classes(sets, num, den)), num, den))
+    groups = connected_components(links)
     root = F.coalesce("component", "sid").alias("root")
     named = cut(sets.select("hi", "lo", "n", "sid").join(groups.withColumnRenamed("node", "sid"), "sid", "left").select("hi", "lo", "n", root))
-    rows = cut(scanned.select("__id", "__key", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left").select("__id", "__key", "n", "root"))
+    rows = cut(plain.join(named, ["hi", "lo", "n"], "left").select("__id", "__key", "n", "root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("__id").alias("least"))
     found = rows.where("root is null").withColumn("component_id", F.col("__id")).unionByName(
         rows.where("root is not null").join(least, "root").withColumn("component_id", F.col("least")).drop("least"))
