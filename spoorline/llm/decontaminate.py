@@ -27,6 +27,7 @@ from spoorline.llm.textops import LOWER, Words, flat, pieces
 RADIUS, SHINGLE, SIMILARITY = 7, 5, 0.8
 PART_WORDS = 200_000
 SHIFTS = (0, -1, 1, -2, 2)
+SHARED_WORDS = 0.5  # of an item's words; similar shingles need more
 FALSE_START = 0.5  # similarity at the implied place from which its neighbours are tried too
 
 ALNUM = np.zeros(256, bool)
@@ -68,15 +69,15 @@ def step(size: int) -> int:
 
 def prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """64-bit SimHash of the windows of ``size`` words at the positions ``at``; ``sums``: running bit counts."""
-    ones = sums[at + size] - sums[at]
+    ones = sums.take(at + size, axis=0) - sums.take(at, axis=0)
     return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running counts of every hash bit, modulo 2**16, which is enough for differences."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    """Running counts of every hash bit, modulo 2**16, which is enough for differences; summed along contiguous rows."""
+    bits = np.ascontiguousarray(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).T)
     out = np.zeros((len(hashes) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
+    out[1:] = np.cumsum(bits, axis=1, dtype=np.int16).T
     return out
 
 
@@ -149,6 +150,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.shingles = [shingle_counts(h) for h in self.words]
+        self.distinct = [set(h.tolist()) for h in self.words]
         # a shingle of several items counts less
         spread: dict[int, int] = {}
         for own in self.shingles:
@@ -185,6 +187,9 @@ class Index:
 
     def _verify(self, words: Words, t: int, item: int, start: int, into: dict) -> None:
         first, last, n = int(words.first[t]), int(words.first[t + 1]), len(self.words[item])
+        around = words.hash[max(first, start + min(SHIFTS)) : min(last, start + n + max(SHIFTS))]
+        if len(self.distinct[item].intersection(around.tolist())) < SHARED_WORDS * len(self.distinct[item]):
+            return
         for i, shift in enumerate(SHIFTS):
             a, b = max(first, start + shift), min(last, start + shift + n)
             score = similarity(self.shingles[item], shingle_counts(words.hash[a:b]), self.weight)
