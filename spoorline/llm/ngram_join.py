@@ -45,8 +45,8 @@ def _posted(tokens: np.ndarray, salt: int, bound: int, need: int) -> np.ndarray:
 
 
 def _bound(num: int, den: int) -> int:
-    """Share of the hash range ranked by frequency: two and a half prefixes."""
-    return int(min(1.0, 2.5 * (den - num) / den) * 2**63)
+    """Share of the hash range ranked by frequency: one and three quarter prefixes."""
+    return int(min(1.0, 1.75 * (den - num) / den) * 2**63)
 
 
 def _token_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -88,22 +88,32 @@ def _active_bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _all_orders(k: int, num: int, den: int, active):
+def _active_sets(k: int, active):
     def run(batches):
         for batch in batches:
             key = batch.column("__key").to_numpy().view(np.uint64)
             at = key & np.uint64(64 * len(active.value) - 1)
             batch = batch.filter(pa.array((active.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
-            n, hi, lo, tokens, posts = [], [], [], [], [[] for _ in SALTS]
+            n, hi, lo, tokens = [], [], [], []
             for s in _token_sets(batch.column("__text"), k):
                 a, b = _prints(s)
                 n.append(len(s)), hi.append(a), lo.append(b), tokens.append(s)
-                for salt, into in zip(SALTS, posts):
-                    into.append(_posted(s, salt, _bound(num, den), prefix_length(len(s), num, den)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), long_lists(tokens), *map(long_lists, posts)],
-                ["n", "hi", "lo", "tokens", *[f"post{i}" for i in range(len(SALTS))]],
-            )
+                [pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), long_lists(tokens)], ["n", "hi", "lo", "tokens"])
+
+    return run
+
+
+def _all_orders(num: int, den: int):
+    """Per set and order the posted tokens."""
+
+    def run(batches):
+        for batch in batches:
+            values, offsets = list_values(batch.column("tokens"))
+            sets = [values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+            for i, salt in enumerate(SALTS):
+                posts = [_posted(s, salt, _bound(num, den), prefix_length(len(s), num, den)) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(np.full(len(sets), i, np.int32)), long_lists(posts)], ["sid", "n", "o", "post"])
 
     return run
 
@@ -114,8 +124,8 @@ def _classes(sets: DataFrame, num: int, den: int) -> DataFrame:
     The graphs of all orders are closed in one go, as disjoint parts of one graph.
     """
     orders = len(SALTS)
-    posts = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.col(f"post{i}").alias("post")) for i in range(orders)])).alias("p")
-    each = sets.select("sid", "n", posts).select("sid", "n", "p.o", F.size("p.post").alias("m"), F.explode("p.post").alias("tok"))
+    posted = sets.select("sid", "n", "tokens").mapInArrow(_all_orders(num, den), "sid long, n long, o int, post array<long>")
+    each = posted.select("sid", "n", "o", F.size("post").alias("m"), F.explode("post").alias("tok"))
     shared = each.groupBy("o", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # tokens of one poster come first in the order and connect nothing; they only use up places of the prefix
     per = Window.partitionBy("sid", "o")
@@ -237,9 +247,8 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_co
         )
         bits = _active_bits(active)
         plain = scan.keep(scanned.drop("post", "uid"))
-    posts = ", ".join(f"post{i} array<long>" for i in range(len(SALTS)))
     sets = cut(
-        source.mapInArrow(_all_orders(k, num, den, docs.sparkSession.sparkContext.broadcast(bits)), f"n long, hi long, lo long, tokens array<long>, {posts}")
+        source.mapInArrow(_active_sets(k, docs.sparkSession.sparkContext.broadcast(bits)), "n long, hi long, lo long, tokens array<long>")
         .where("n > 0").dropDuplicates(["hi", "lo", "n"]).withColumn("sid", F.monotonically_increasing_id())
     )
     with stage(docs.sparkSession) as chain:
