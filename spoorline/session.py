@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # hub entities: split a skewed join even where that costs one more exchange
 SKEW = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -35,7 +36,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> None:
-    """Turns on the splitting of skewed joins in a session made elsewhere, and lets Python workers find this package."""
+    """Turns on the splitting of skewed joins in a session made elsewhere, and lets Python workers find this package.
+
+    Batches for Python workers get fewer rows than Spark's default, as a row may be a whole document.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if spark.conf.get(SKEW, "false") != "true":
         spark.conf.set(SKEW, "true")
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
