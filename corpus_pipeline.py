@@ -20,6 +20,7 @@ LEAST_SHARE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those unlike every learned language; a null lang is filled in."""
+    configure(spark)
     with stage(spark):
         model = langid.learn(docs.where(crc_part(F.col("doc_id"), 4) != 2))
     found = langid.identify(docs, model, COLUMNS).where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE))
@@ -31,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id and text count as one; a group without any id keeps the row of the smallest text hash.
     """
+    configure(spark)
     with stage(spark) as scope:
         # only members of groups leave; they are named by id and text
         grouped = jaccard_groups(docs, 5, 80, 100).where("group is not null")
@@ -50,11 +52,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    configure(spark)
     return decontaminate.drop_holders(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; documents stay."""
+    configure(spark)
     with stage(spark):
         model = secret_scan.learn(docs)
     found = secret_scan.scan(docs, model, COLUMNS)
@@ -66,6 +70,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    configure(spark)
     return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

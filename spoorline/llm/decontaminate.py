@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textops import LOWER, Words, flat, pieces
+from spoorline.llm.tables import carried
+from spoorline.llm.textops import LOWER, Words, flat, pieces, texts_of
 
 RADIUS, SHINGLE, SIMILARITY = 7, 5, 0.8
 PART_WORDS = 200_000
@@ -204,7 +205,7 @@ def _scan(shared):
         index: Index = shared.value
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
         for batch in batches:
-            data, offsets = flat(batch.column("__text"))
+            data, offsets = flat(texts_of(batch))
             found = []
             for i, j in pieces(offsets):
                 for own in index.matches(BareWords(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):
@@ -231,7 +232,7 @@ def find_items(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
     similarity of 0.8 or more, at their best places. Equal items are found side by side. A null or empty text holds
     none, an empty benchmark finds none. Words are compared without case and outer punctuation. Only ``text`` is read.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
+    rows = carried(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     schema = f"row {kind}, found array<struct<item_id:bigint,similarity:double,first_word:bigint,n_words:bigint>>"
     context = docs.sparkSession.sparkContext
@@ -245,7 +246,7 @@ def drop_holders(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFram
     left = docs.select(*keep)
     kind = left.schema.simpleString()
     for part in benchmark_parts(items):
-        rows = left.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
+        rows = carried(left, keep)
         found = rows.mapInArrow(_scan(context.broadcast(part)), f"row {kind}, found array<struct<item_id:bigint,similarity:double,first_word:bigint,n_words:bigint>>")
         left = found.where(F.size("found") == 0).select("row.*")
     return left

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textops import LOWER, flat, pieces
+from spoorline.llm.tables import carried
+from spoorline.llm.textops import LOWER, flat, pieces, texts_of
 from spoorline.session import cut
 
 POSITION_BITS = 20
@@ -128,7 +129,7 @@ def _predict(shared):
         f: Filter = shared.value
         slices = _smallest(f)
         for batch in batches:
-            text = batch.column("__text")
+            text = texts_of(batch)
             data, offsets = flat(text)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             counts, sizes = [], []
@@ -171,6 +172,6 @@ def identify(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
     one without letters is ``und`` with score 0; so is every text if nothing was learned. Ties go to the language with
     more training text. Only ``text`` is looked at, so clashing names and repeated rows do not matter.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("__text"))
+    rows = carried(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, lang_pred string, score double, share double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spoorline.llm.textops import flat, pieces
 
 SHARD_TOKENS = 8_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 # printable ASCII without the apostrophe, and the letters of Latin-1: composed already, lower-cased alike everywhere
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")

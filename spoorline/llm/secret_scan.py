@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textops import flat
+from spoorline.llm.tables import carried
+from spoorline.llm.textops import flat, texts_of
 from spoorline.session import cut
 
 KINDS = ("assign", "access", "hex")
@@ -227,7 +228,7 @@ def _judge(shared):
     def run(batches):
         m: Model = shared.value
         for batch in batches:
-            base, others = find(batch.column("__text"))
+            base, others = find(texts_of(batch))
             fixed = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b, _ in spans] for spans in base]
             added = []
             for tokens in others:
@@ -244,7 +245,7 @@ def scan(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ``base`` holds the fixed formats by start, then kind; ``added`` the candidates that the automata take, kinds
     ``like_<kind>``. A null or empty text has none. Repeated rows are scanned one by one, other columns are ignored.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("__text"))
+    rows = carried(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
     span = "array<struct<start:bigint,kind:string,end:bigint>>"
     return rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, base {span}, added {span}").select("row.*", "base", "added")

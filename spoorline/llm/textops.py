@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -45,6 +45,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def texts_of(batch) -> pa.Array:
+    """The batch's texts, from the carried row where it holds them, so that no text travels twice; null is empty."""
+    column = batch.column("__text") if "__text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+    return pc.fill_null(column, "") if column.null_count else column
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
