@@ -47,6 +47,9 @@ def configure(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    # workers live on between stages: large arrays go back to the system when they are freed
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "2097152"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
 
 
 def shared_root(spark: SparkSession) -> str:
