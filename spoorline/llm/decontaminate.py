@@ -4,8 +4,11 @@ An item of n words is fingerprinted at every offset by windows of the largest la
 windows of the same sizes at a step that no item can slip through: some sampled window of an occurrence lies at an
 indexed offset. Fingerprints have four blocks of 16 bits; if two fingerprints differ in at most seven bits, some block
 differs in at most one, and every block value within one bit of an indexed one is indexed, so no pair within the radius
-is missed. Each hit implies where the item would lie in the document; there the weighted 5-word shingles of item and
-document decide exactly.
+is missed. Each hit implies where the item would lie in the document; there the 5-word shingles of item and document
+decide exactly. A shingle of n different texts of the whole benchmark weighs 1/n there, and shingles that only the
+document has weigh as much as the item's missing ones on average. The plain similarity counts as well if the document
+holds a shingle that no other text of the benchmark has, or the item has none of its own: so near copies of items that
+share a template are found, and the other items of the template are not.
 
 The benchmark is the stated query set: it is split by hash into parts of a bounded number of words, and every part is
 held against all documents in a scan without shuffle.
@@ -13,6 +16,7 @@ held against all documents in a scan without shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from spoorline.llm.tables import carried
 from spoorline.llm.textops import LOWER, Words, flat, pieces, texts_of
+from spoorline.session import cut
 
 RADIUS, SHINGLE, SIMILARITY = 7, 5, 0.8
 PART_WORDS = 200_000
@@ -133,31 +138,48 @@ def shingle_counts(hashes: np.ndarray) -> dict[int, int]:
 
 
 def similarity(item: dict[int, int], other: dict[int, int], weight: dict[int, float]) -> float:
-    """Weighted Jaccard similarity of two shingle multisets; shingles without a weight have 1."""
-    inner = outer = 0.0
+    """Jaccard similarity of two shingle multisets: the weighted one, or the plain one if it is higher and counts.
+
+    An item's shingles without a weight have 1; foreign ones without a weight have the mean of the item's missing ones.
+    """
+    inner = missing = foreign = 0.0
+    shared = n_missing = n_foreign = unknown = own = 0
     for key in item.keys() | other.keys():
-        a, b, w = item.get(key, 0), other.get(key, 0), weight.get(key, 1.0)
-        inner += w * min(a, b)
-        outer += w * max(a, b)
-    return inner / outer if outer else 0.0
+        a, b, w = item.get(key, 0), other.get(key, 0), weight.get(key)
+        both = min(a, b)
+        shared += both
+        n_foreign += b - both
+        if a:
+            own = max(own, 0 if w else 2 if b else 1)
+            inner += both * (w or 1.0)
+            n_missing += a - both
+            missing += (a - both) * (w or 1.0)
+        if w or a:
+            foreign += (b - both) * (w or 1.0)
+        else:
+            unknown += b
+    usual = missing / n_missing if n_missing else inner / shared if shared else 1.0
+    outer = inner + missing + foreign + unknown * usual
+    weighted = inner / outer if outer else 0.0
+    # own: 0 the item has no shingle of its own, 1 none of them is met, 2 some are
+    plain = shared / (shared + n_missing + n_foreign) if own != 1 and shared else 0.0
+    return max(weighted, plain)
 
 
 class Index:
-    """Everything a task needs to find the items of one part of the benchmark."""
+    """Everything a task needs to find the items of one part of the benchmark.
+
+    ``spread``: in how many different texts of the whole benchmark a shingle is, for those in more than one.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], spread: dict[int, int]):
         texts = pa.array([t for _, t in items], pa.string())
         words = BareWords(*flat(texts))
         self.ids = [i for i, _ in items]
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.shingles = [shingle_counts(h) for h in self.words]
         self.distinct = [set(h.tolist()) for h in self.words]
-        # a shingle of several items counts less
-        spread: dict[int, int] = {}
-        for own in self.shingles:
-            for key in own:
-                spread[key] = spread.get(key, 0) + 1
-        self.weight = {key: 1 / n for key, n in spread.items() if n > 1}
+        self.weight = {key: 1 / n for key, n in spread.items()}
         groups: dict[int, list] = {}
         for i, h in enumerate(self.words):
             if len(h):
@@ -215,22 +237,45 @@ def _scan(shared):
     return run
 
 
+def _item_shingles(batches):
+    """Per text its distinct shingles and a digest of its words."""
+    for batch in batches:
+        words = BareWords(*flat(batch.column("text")))
+        own = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+        keys = [np.array(list(shingle_counts(h)), np.uint64).view(np.int64) for h in own]
+        digests = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in own]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["part", "digest", "keys"])
+
+
 def benchmark_parts(items: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's parts, each of about ``PART_WORDS`` words; blank and null items are left out."""
+    """Indexes of the benchmark's parts, each of about ``PART_WORDS`` words; blank and null items are left out.
+
+    Shingles are counted over the texts of all parts.
+    """
     known = items.where("item_id is not null and text is not null").select("item_id", "text")
     size = known.agg(F.sum(F.size(F.split("text", "\\s+"))).alias("n")).first()["n"] or 0
     parts = int(size // PART_WORDS) + 1
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    held = dealt.select("part", "text").mapInArrow(_item_shingles, "part long, digest binary, keys array<long>")
+    held = held.select("part", "digest", F.explode("keys").alias("key"))
+    spread = held.groupBy("key").agg(F.count_distinct("digest").alias("n")).where("n > 1")
+    if parts > 1:
+        held, spread = cut(held.select("part", "key").distinct()), cut(spread)
     for p in range(parts):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+        rows = dealt.where(F.col("part") == p).orderBy("item_id", "text").collect()
+        own = spread if parts == 1 else spread.join(held.where(F.col("part") == p), "key", "left_semi")
+        found = own.select("key", "n").toArrow()
+        counts = dict(zip(found["key"].to_numpy().view(np.uint64).tolist(), found["n"].to_pylist()))
+        yield Index([(r["item_id"], r["text"]) for r in rows], counts)
 
 
 def find_items(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
     """``(*keep, found)`` for every row of ``docs`` and part of the benchmark; mostly one part, so one row per row.
 
     ``found`` lists ``struct<item_id, similarity, first_word, n_words>`` of the items that lie in the text with a
-    similarity of 0.8 or more, at their best places. Equal items are found side by side. A null or empty text holds
-    none, an empty benchmark finds none. Words are compared without case and outer punctuation. Only ``text`` is read.
+    similarity of 0.8 or more (see ``similarity``), at their best places. Equal items are found side by side. A null or
+    empty text holds none, an empty benchmark finds none. Words are compared without case and outer punctuation. Only
+    ``text`` is read.
     """
     rows = carried(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()

@@ -203,6 +203,30 @@ def test_decontamination_equals_comparing_all_windows(spark):
     assert decontaminate.find_items(documents(spark, docs), spark.createDataFrame([], "item_id long, text string"), ["doc_id"]).where("size(found) > 0").count() == 0
 
 
+def test_decontamination_finds_near_copies_of_repeated_and_template_items(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda mark, n: ["%s%d" % (mark, rng.randrange(10**6)) for _ in range(n)]
+    near = lambda words, at: " ".join(text("lead", 20) + words[:at] + ["changed"] + words[at + 1 :] + text("tail", 20))
+    once, twice, five = text("a", 60), text("b", 60), text("c", 60)
+    start, end = text("d", 24), text("e", 24)
+    siblings = [start + text("f", 12) + end for _ in range(5)]
+    items = [(1, once), (2, twice), (3, twice), *[(4 + i, five) for i in range(5)], *[(10 + i, s) for i, s in enumerate(siblings)]]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = [(0, near(once, 30)), (1, near(twice, 30)), (2, near(five, 30)), (3, near(siblings[0], 8)), (4, near(siblings[1], 30)), (5, " ".join(start + text("g", 12) + end))]
+    want = {0: [1], 1: [2, 3], 2: [4, 5, 6, 7, 8], 3: [10], 4: [11], 5: []}
+
+    def found():
+        out = {}
+        for r in decontaminate.find_items(documents(spark, docs), table, ["doc_id"]).collect():
+            out.setdefault(r["doc_id"], []).extend((f["item_id"], round(f["similarity"], 9)) for f in r["found"])
+        return {d: sorted(x) for d, x in out.items()}
+
+    whole = found()
+    assert {d: [i for i, _ in x] for d, x in whole.items()} == want
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 200)
+    assert found() == whole
+
+
 def test_secret_scan_digests_and_redaction(spark):
     rng = random.Random(5)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
