@@ -39,8 +39,8 @@ def tokenizer_path() -> str:
 @query
 def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_part(F.col("doc_id"), 5) == 1)
-    model, words = suffix_tree.learn(docs.where(~F.col("held_out")).select("text"))
-    return suffix_tree.score(docs, model, words, ["doc_id", "held_out"])
+    model, joined = suffix_tree.learn(docs.where(~F.col("held_out")).select("text"))
+    return suffix_tree.score(docs, model, joined, ["doc_id", "held_out"])
 
 
 @query

@@ -8,14 +8,16 @@ a byte is predicted by the longest state that ends the text read so far. The pro
 and the mark behind it, mixed with the smoothed word count, which remembers whole words better than any short context;
 the end token has its smoothed count.
 
-All counts cover all training rows. What is held in a task is bounded: the ``MAX_STATES`` states of the largest gain and
-the counts of the ``MAX_WORDS`` most frequent words. All other words meet their counts in a join.
+All counts cover all training rows, and no state is left out. What is held in a task is bounded: the ``MAX_STATES``
+states of the largest gain, the counts of the ``MAX_WORDS`` most frequent words, and a Bloom filter of the other states.
+All other words meet their counts in a join; a byte whose context the filter knows meets the other states in one, too.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ PENALTY = 3.0
 END = 10  # a line end never lies inside a word
 END_WORD = 0x0E4D_0E4D
 STATE = np.uint64(1 << 60)
+FILTER_BITS = 24  # of the Bloom filter; a context has two places
 MERGE_KEYS = 4_000_000
 
 U = np.uint64
@@ -177,6 +180,15 @@ class Model:
     states: np.ndarray
     state_logs: np.ndarray
     depth: int
+    far: np.ndarray | None = None  # Bloom filter of the states that are not sent to tasks
+
+
+@dataclass
+class Joined:
+    """What is met in joins: the counts of all words, and the states that are not sent to tasks, if there are any."""
+
+    words: DataFrame
+    far: DataFrame | None
 
 
 def _tag(level: np.ndarray) -> np.ndarray:
@@ -211,7 +223,10 @@ def smooth(level: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def tree(grams: DataFrame, depth: int = DEPTH, max_states: int = MAX_STATES, penalty: float = PENALTY) -> DataFrame:
-    """Retained ``(level, key, n)`` from counts ``(key, n)`` of ``depth + 1`` bytes: all entries of all states."""
+    """``(level, key, n, sent)`` from counts ``(key, n)`` of ``depth + 1`` bytes: all entries of all states.
+
+    ``sent`` marks the entries of the ``max_states`` states of the largest gain and of their suffixes.
+    """
     levels = F.explode(F.array(*[
         F.struct(F.lit(d).alias("level"), F.col("key").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("key")) for d in range(depth + 1)
     ]))
@@ -227,17 +242,88 @@ def tree(grams: DataFrame, depth: int = DEPTH, max_states: int = MAX_STATES, pen
         with_context.where("level > 0").withColumn("low", F.col("key").bitwiseAND(mask)).join(down, ["level", "low"])
         .groupBy("level", "context").agg(gain.alias("gain")).where("gain > 0")
     )
-    best = better.orderBy(F.desc("gain"), "level", "context").limit(max_states)
+    better = cut(better)
     # suffixes of a state: the last 0..level bytes of its context
     suffixes = F.explode(F.expr("transform(sequence(0, level), d -> struct(d as level, context & (shiftleft(1L, 8 * d) - 1) as context))"))
-    states = best.select(suffixes.alias("s")).select("s.level", "s.context").distinct()
+    closed = lambda some: some.select(suffixes.alias("s")).select("s.level", "s.context").distinct()
     root = grams.sparkSession.createDataFrame([(0, 0)], "level int, context long")
-    states = states.unionByName(root).distinct()
-    return counted.withColumn("context", F.shiftright("key", 8)).join(F.broadcast(states), ["level", "context"], "left_semi").select("level", "key", "n")
+    states = F.broadcast(closed(better.orderBy(F.desc("gain"), "level", "context").limit(max_states)).unionByName(root).distinct())
+    each = counted.withColumn("context", F.shiftright("key", 8))
+    out = each.join(states, ["level", "context"], "left_semi").withColumn("sent", F.lit(True))
+    if better.count() > max_states:
+        far = closed(better).join(states, ["level", "context"], "left_anti")
+        out = out.unionByName(each.join(far, ["level", "context"], "left_semi").withColumn("sent", F.lit(False)))
+    return out.select("level", "key", "n", "sent")
+
+
+def far_states(kept: DataFrame, depth: int) -> DataFrame:
+    """``(tag, log)`` of all entries and states that are not sent, tagged and smoothed as in ``smooth``."""
+    parts, previous = [], None
+    for d in range(depth + 1):
+        own = kept.where(F.col("level") == d).select("key", "n", "sent", F.shiftright("key", 8).alias("context"))
+        own = own.join(own.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), "context")
+        if previous is None:
+            own = own.withColumn("lower", F.lit(1 / 256))
+        else:
+            own = own.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(previous.select(F.col("key").alias("low"), F.col("p").alias("lower")), "low")
+        previous = cut(own.select("key", "context", "sent", "total", "kinds", ((F.col("n") + F.col("kinds") * F.col("lower")) / (F.col("total") + F.col("kinds"))).alias("p")))
+        far = previous.where("not sent")
+        parts.append(far.select(F.col("key").bitwiseOR(F.lit(1 << (8 * d + 8))).alias("tag"), F.log10("p").alias("log")))
+        weight = F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))
+        parts.append(far.select(F.col("context").bitwiseOR(F.lit(1 << (8 * d) | int(STATE))).alias("tag"), weight.alias("log")).distinct())
+    return cut(reduce(DataFrame.unionByName, parts))
+
+
+def _places(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of tagged contexts in the filter."""
+    return (tags * U(0x9E3779B97F4A7C15)) >> U(64 - FILTER_BITS), (tags * U(0xC2B2AE3D27D4EB4F)) >> U(64 - FILTER_BITS)
+
+
+def _filter_bits(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(batch.column("tag").to_numpy().view(np.uint64))).astype(np.int32))], ["bit"])
+
+
+def far_filter(far: DataFrame) -> np.ndarray:
+    """Bloom filter of the states in ``far``, a bit per place."""
+    bits = far.where(F.col("tag") >= F.lit(int(STATE))).select("tag").mapInArrow(_filter_bits, "bit int").distinct().toArrow()["bit"].to_numpy()
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[bits] = True
+    return np.packbits(out, bitorder="little")
+
+
+def far_bytes(keys: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+    """Mask of the keys of which some context may be a state that is not sent."""
+    out = np.zeros(len(keys), bool)
+    for d in range(1, depth + 1):
+        tags = (keys >> U(8)) & U((1 << (8 * d)) - 1) | U(1 << (8 * d)) | STATE
+        ok = np.ones(len(keys), bool)
+        for at in _places(tags):
+            ok &= (known[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
+        out |= ok
+    return out
+
 
+def far_logs(keys: DataFrame, far: DataFrame, depth: int) -> DataFrame:
+    """``(byte, whole, log)`` of the distinct ``byte`` in ``keys`` that meet a state of ``far``.
 
-def learn(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
-    """The model from all rows of ``texts`` (a null text is empty), and the table of all word counts."""
+    ``log`` stands for the sent tree's log10 probability if ``whole``, else it is added to that.
+    """
+    tags = []
+    for d in range(1, depth + 1):
+        for state in (False, True):
+            bare = F.shiftright("byte", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)) if state else F.col("byte").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1))
+            mark = 1 << (8 * d) | int(STATE) if state else 1 << (8 * d + 8)
+            tags.append(F.struct(bare.bitwiseOR(F.lit(mark)).alias("tag"), F.lit(d).alias("level"), F.lit(state).alias("state")))
+    each = keys.select("byte").distinct().select("byte", F.explode(F.array(*tags)).alias("t")).select("byte", "t.*")
+    entry, state = F.struct("level", "log"), F.when(F.col("state"), F.struct("level", "log"))
+    met = each.join(far, "tag").groupBy("byte").agg(F.max(F.when(~F.col("state"), entry)).alias("top"), F.collect_list(state).alias("states"))
+    above = F.expr("aggregate(filter(states, s -> top is null or s.level > top.level), 0D, (a, s) -> a + s.log)")
+    return met.select("byte", F.col("top").isNotNull().alias("whole"), (above + F.coalesce("top.log", F.lit(0.0))).alias("log"))
+
+
+def learn(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, Joined]:
+    """The model from all rows of ``texts`` (a null text is empty), and the tables of what it does not hold."""
     counted = cut(
         texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(depth), "kind byte, key long, n long")
         .groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -249,9 +335,12 @@ def learn(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
     fits = np.flatnonzero(np.cumsum(per_count["words"].to_numpy()) <= MAX_WORDS)
     least = int(per_count["n"].to_numpy()[fits[-1]]) if len(fits) else 1 << 62
     top = words.where((F.col("n") >= least) | (F.col("key") == END_WORD)).toArrow()
-    kept = tree(grams, depth).toArrow()
-    tables = smooth(kept["level"].to_numpy(), kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy())
-    return Model(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), size["n"], size["v"], *tables, depth), words
+    kept = cut(tree(grams, depth, MAX_STATES))
+    sent = kept.where("sent").toArrow()
+    tables = smooth(sent["level"].to_numpy(), sent["key"].to_numpy().view(np.uint64), sent["n"].to_numpy())
+    far = None if kept.where("not sent").isEmpty() else far_states(kept, depth)
+    model = Model(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), size["n"], size["v"], *tables, depth, None if far is None else far_filter(far))
+    return model, Joined(words, far)
 
 
 def tree_logs(entries: Table, states: Table, keys: np.ndarray, depth: int) -> np.ndarray:
@@ -284,14 +373,15 @@ def _score(shared, job: str):
         end_count = known.get(np.array([END_WORD], np.uint64))[1][0]
         for batch in batches:
             data, offsets = flat(batch.column("__text"))
-            tokens, base, seen, scores, rare, rare_logs = [], [], [], [], [], []
+            tokens, base, seen, scores, rare, rare_logs, far = [], [], [], [], [], [], []
             for i, j in pieces(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 words = Words(data[offsets[i] : offsets[j]], own)
                 a, b = words.first[:-1], words.first[1:]
                 hit, counts = known.get(words.hash)
+                by_tree, far_word, *far_byte = word_logs(*stream(words, own, m.depth), b - a, entries, states, m.depth, m.far)
+                hit[far_word] = False  # such a word meets its count and its bytes' other states in joins
                 by_count = np.where(hit, (counts + 0.5) / bottom, 1.0)
-                by_tree = word_logs(*stream(words, own, m.depth), b - a, entries, states, m.depth)
                 logs = np.where(hit, np.log10(by_count), 0.0)
                 mixed = np.where(hit, np.log10(WORD_SHARE * by_count + (1 - WORD_SHARE) * 10**by_tree), 0.0)
                 hits = np.r_[0, np.cumsum(hit)]
@@ -304,13 +394,19 @@ def _score(shared, job: str):
                 edges = np.searchsorted(miss, words.first)
                 rare.append((words.hash[miss], np.diff(edges)))
                 rare_logs.append(by_tree[miss])
+                text = np.searchsorted(words.first, far_word, side="right") - 1
+                far.append((np.searchsorted(miss, far_word) - edges[text], *far_byte, np.bincount(text, minlength=j - i)))
             sizes = np.concatenate([n for _, n in rare])
             at = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            place, byte, log, sizes = (np.concatenate(x) for x in zip(*far))
+            far_at = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(base)), pa.array(np.concatenate(seen)), pa.array(np.concatenate(scores)),
                  pa.ListArray.from_arrays(at, pa.array(np.concatenate([h for h, _ in rare]).view(np.int64))),
-                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare_logs).astype(np.float32)))],
-                ["row", "n_tokens", "base", "seen", "score", "rare", "rare_logs"])
+                 pa.ListArray.from_arrays(at, pa.array(np.concatenate(rare_logs).astype(np.float32))),
+                 pa.ListArray.from_arrays(far_at, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(far_at, pa.array(byte.view(np.int64))),
+                 pa.ListArray.from_arrays(far_at, pa.array(log.astype(np.float32)))],
+                ["row", "n_tokens", "base", "seen", "score", "rare", "rare_logs", "far", "far_bytes", "far_logs"])
 
     return run
 
@@ -320,19 +416,29 @@ def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return np.array([values[x:y].sum() for x, y in zip(first.tolist(), last.tolist())])
 
 
-def word_logs(keys: np.ndarray, begin: np.ndarray, last: np.ndarray, counts: np.ndarray, entries: Table, states: Table, depth: int) -> np.ndarray:
-    """The tree's log10 probability of every word with the mark behind it; ``counts`` are the words of each text."""
+def word_logs(
+    keys: np.ndarray, begin: np.ndarray, last: np.ndarray, counts: np.ndarray, entries: Table, states: Table, depth: int, far: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sent tree's log10 probability of every word with the mark behind it; ``counts`` are the words of each text.
+
+    Also the bytes that may meet a state in the filter ``far``: the word, the key and the log10 probability of each.
+    """
     own = _own(keys, begin, last)
     keys = keys[own]
     byte = keys & U(255)
     ends = np.flatnonzero((byte == U(32)) | (byte == U(END)))
-    sums = np.add.reduceat(tree_logs(entries, states, keys, depth), np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(0)
+    logs = tree_logs(entries, states, keys, depth)
+    sums = np.add.reduceat(logs, np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(0)
     # a text without words is its end mark alone
     lone = np.cumsum(np.maximum(counts, 1))[counts == 0] - 1
-    return np.delete(sums, lone)
+    at = np.flatnonzero(far_bytes(keys, far, depth)) if far is not None else np.zeros(0, np.int64)
+    word = np.searchsorted(ends, at)
+    real = ~np.isin(word, lone)
+    at, word = at[real], word[real]
+    return np.delete(sums, lone), word - np.searchsorted(lone, word), keys[at], logs[at]
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[Column]) -> DataFrame:
+def score(docs: DataFrame, model: Model, joined: Joined, keep: list[Column]) -> DataFrame:
     """``(*keep, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     ``score`` is the model's log10 probability of the text's tokens, ``base_score`` that of smoothed word counts alone; a null
@@ -343,15 +449,19 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[Column]) -
     kind = rows.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = cut(
-        rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"row {kind}, n_tokens long, base double, seen long, score double, rare array<long>, rare_logs array<float>")
+        rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"row {kind}, n_tokens long, base double, seen long, score double, rare array<long>, rare_logs array<float>, far array<int>, far_bytes array<long>, far_logs array<float>")
         .withColumn("uid", F.monotonically_increasing_id())
     )
     bottom = model.train_tokens + 0.5 * (model.vocabulary + 1)
-    rare = first.select("uid", F.explode(F.arrays_zip("rare", "rare_logs")).alias("r")).select("uid", F.col("r.rare").alias("key"), F.col("r.rare_logs").alias("log"))
+    rare = first.select("uid", F.posexplode(F.arrays_zip("rare", "rare_logs")).alias("at", "r")).select("uid", "at", F.col("r.rare").alias("key"), F.col("r.rare_logs").cast("double").alias("log"))
+    if joined.far is not None:
+        met = first.select("uid", F.explode(F.arrays_zip("far", "far_bytes", "far_logs")).alias("r")).select("uid", F.col("r.far").alias("at"), F.col("r.far_bytes").alias("byte"), F.col("r.far_logs").alias("was"))
+        change = met.join(far_logs(met, joined.far, model.depth), "byte").groupBy("uid", "at").agg(F.sum(F.col("log") - F.when(F.col("whole"), F.col("was")).otherwise(0)).alias("change"))
+        rare = rare.join(change, ["uid", "at"], "left").withColumn("log", F.col("log") + F.coalesce("change", F.lit(0.0)))
     c, by_count = F.coalesce("n", F.lit(0)), (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(bottom))
-    mixed = F.log10(WORD_SHARE * by_count + (1 - WORD_SHARE) * F.pow(F.lit(10.0), F.col("log").cast("double")))
-    sums = rare.join(words, "key", "left").groupBy("uid").agg(
+    mixed = F.log10(WORD_SHARE * by_count + (1 - WORD_SHARE) * F.pow(F.lit(10.0), F.col("log")))
+    sums = rare.join(joined.words, "key", "left").groupBy("uid").agg(
         F.sum(F.log10(by_count)).alias("rest"), F.sum(mixed).alias("rest_score"), F.sum(F.when(c > 0, 1).otherwise(0)).alias("more"))
-    return first.drop("rare", "rare_logs").join(sums, "uid", "left").select(
+    return first.drop("rare", "rare_logs", "far", "far_bytes", "far_logs").join(sums, "uid", "left").select(
         "row.*", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"))

@@ -166,6 +166,22 @@ def test_suffix_tree_base_is_exact_and_the_score_beats_it(spark, monkeypatch):
     assert blank[1000]["base_score"] == 0.0 and blank[1000]["train_tokens"] == 0 and blank[1000]["n_known"] == 0
 
 
+def test_suffix_tree_scores_do_not_depend_on_the_states_that_are_sent(spark, monkeypatch):
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdet") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(stems) for _ in range(80))) for i in range(80)] + [(1000, None), (1001, ""), (1002, "zzz abc " + stems[0])]
+    docs = documents(spark, rows)
+    train = docs.where("doc_id % 5 <> 1").select("text")
+    model, joined = suffix_tree.learn(train)
+    scores = lambda m, j: {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, m, j, ["doc_id"]).collect()}
+    want, n_states = scores(model, joined), len(model.states)
+    assert joined.far is None and n_states > 100
+    monkeypatch.setattr(suffix_tree, "MAX_STATES", 8)
+    model, joined = suffix_tree.learn(train)
+    assert len(model.states) < n_states // 2
+    assert scores(model, joined) == pytest.approx(want, abs=1e-3)
+
+
 def test_decontamination_equals_comparing_all_windows(spark):
     rng = random.Random(4)
     vocabulary = ["v%d" % i for i in range(300)] + ["the", "of"] * 40
