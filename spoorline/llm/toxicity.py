@@ -13,6 +13,7 @@ logistic model of a text's highest margin, its number of high words and its leng
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from spoorline.llm.textops import Spans, flat, pieces
 from spoorline.session import cut
 
-# bounds of the labelled sample and of the training set; the corpus itself is scored whole
+# bounds of the sample and of the training set that the machine is fitted to; words are counted over all labelled texts
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 MAX_POSITIVE, MAX_NEGATIVE, HARD_NEGATIVE, LANDMARKS = 4000, 20_000, 2000, 512
-ROUNDS, MAX_KEYS = 3, 4000
+ROUNDS = 3
+FLUSH = 200_000  # keys that a task holds
 # a key must be this many times commoner in toxic texts, and add texts that lack their three words
 COMMONER, TIMES, MIN_TEXTS = 20, 3, 3
 HIGH = 0.5  # margin of a high word
@@ -171,21 +173,53 @@ def keys_of(word: str) -> set[str]:
     return {word} | {"p" + word[:k] for k in range(4, 9) if len(word) > k}
 
 
-def _known_words(batches):
-    """Per labelled text its distinct words, as text of shifted symbols, and their keys."""
+def _text_keys(column):
+    """Per text the keys of its words of three letters or more."""
+    data, offsets = flat(column)
+    known: dict[bytes, set[str]] = {}
+    for i, j in pieces(offsets):
+        symbols, ends, first = word_pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        raw = (symbols + np.uint8(64)).tobytes()
+        begin = np.r_[0, ends].tolist()
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            keys: set[str] = set()
+            for word in {raw[begin[k] : begin[k + 1]] for k in range(a, b) if begin[k + 1] - begin[k] > 4}:
+                if word not in known:
+                    known[word] = keys_of(word.decode("ascii"))
+                keys |= known[word]
+            yield keys
+
+
+def _key_counts(batches):
+    """Per key the numbers of toxic and of clean texts that have it, summed over the texts of a task."""
+    held = Counter(), Counter()
+
+    def out():
+        parts = [(list(c), list(c.values())) for c in held]
+        for c in held:
+            c.clear()
+        zeros = [[0] * len(k) for k, _ in parts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts[0][0] + parts[1][0], pa.string()), pa.array(zeros[0] + parts[1][1], pa.int64()), pa.array(parts[0][1] + zeros[1], pa.int64())], ["key", "t", "c"])
+
     for batch in batches:
-        data, offsets = flat(batch.column("text"))
-        lists, keys = [], []
-        for i, j in pieces(offsets):
-            symbols, ends, first = word_pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            raw = (symbols + np.uint8(64)).tobytes()
-            begin = np.r_[0, ends]
-            for a, b in zip(first[:-1], first[1:]):
-                words = sorted({raw[begin[k] : begin[k + 1]].decode("ascii") for k in range(a, b) if begin[k + 1] - begin[k] > 4})
-                lists.append(words)
-                keys.append(sorted({key for w in words for key in keys_of(w)}))
-        texts = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("toxic"), pa.array(lists, texts), pa.array(keys, texts)], ["doc", "toxic", "words", "keys"])
+        for toxic, keys in zip(batch.column("toxic").to_pylist(), _text_keys(batch.column("text"))):
+            held[toxic].update(keys)
+            if len(held[0]) + len(held[1]) > FLUSH:
+                yield from out()
+    yield from out()
+
+
+def _doc_keys(shared):
+    """Per text its keys that are among the marked ones."""
+
+    def run(batches):
+        marked = shared.value
+        for batch in batches:
+            found = [sorted(keys & marked) for keys in _text_keys(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.string()))], ["doc", "keys"])
+
+    return run
 
 
 def _symbols(word: str) -> bytes:
@@ -239,12 +273,16 @@ def _score(shared):
     return run
 
 
-def cover(pairs: dict[str, set], least: float, times: int = TIMES) -> list[str]:
-    """Keys that cover the texts greedily, each at least ``least`` texts that lack their ``times`` keys.
+def stem(key: str) -> str:
+    return key.strip("p").rstrip("_")
+
+
+def cover(pairs: dict[str, set], least: float, times: int = TIMES, lack: dict | None = None) -> list[str]:
+    """Keys that cover the texts greedily, each at least ``least`` texts that lack their ``times`` (or ``lack``) keys.
 
     Of keys of which one begins the other, the first counts.
     """
-    lack = {text: times for texts in pairs.values() for text in texts}
+    lack = {text: times for texts in pairs.values() for text in texts} if lack is None else lack
     gain = {key: len(texts) for key, texts in pairs.items()}
     out, bare = [], []
     while gain:
@@ -256,16 +294,40 @@ def cover(pairs: dict[str, set], least: float, times: int = TIMES) -> list[str]:
         del gain[key]
         if real < least:
             continue
-        stem = key.strip("p").rstrip("_")
-        if any(stem.startswith(other) or other.startswith(stem) for other in bare):
+        own = stem(key)
+        if any(own.startswith(other) or other.startswith(own) for other in bare):
             continue
         out.append(key)
-        bare.append(stem)
+        bare.append(own)
         for text in pairs[key]:
             lack[text] -= 1
     return out
 
 
+def cover_all(held: DataFrame) -> list[str]:
+    """``cover`` of any number of texts ``(doc, keys)``, at ``MIN_TEXTS``: bounded samples of the texts that still lack keys, in rounds.
+
+    A round in which no key of the sample suffices takes the key that most of all lacking texts have; the last round has
+    no key with enough of them.
+    """
+    seeds: list[str] = []
+    while True:
+        chosen = F.array(*[F.lit(k) for k in seeds]).cast("array<string>")
+        left = held.withColumn("lack", TIMES - F.size(F.array_intersect("keys", chosen))).where("lack > 0")
+        bare = F.array(*[F.lit(stem(k)) for k in seeds]).cast("array<string>")
+        own = lambda k: F.rtrim(F.ltrim(k, F.lit("p")), F.lit("_"))
+        free = left.withColumn("keys", F.filter("keys", lambda k: ~F.exists(bare, lambda s: F.startswith(own(k), s) | F.startswith(s, own(k))))).where(F.size("keys") > 0)
+        best = free.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), F.desc("key")).first()
+        if best is None:
+            return seeds
+        sample = free.orderBy(F.xxhash64("doc"), "doc").limit(MAX_TOXIC).collect()
+        pairs: dict[str, set] = {}
+        for r in sample:
+            for key in r["keys"]:
+                pairs.setdefault(key, set()).add(r["doc"])
+        seeds += cover(pairs, MIN_TEXTS, lack={r["doc"]: r["lack"] for r in sample}) or [best["key"]]
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps; a small ridge keeps separable samples finite, not on the last weight."""
     w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, 0.02), 1e-4]
@@ -281,34 +343,32 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from labelled texts: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic), both already cut to training rows.
 
-    The sample holds at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean texts, chosen by hash of the id. Only bounded
-    numbers of words and keys reach the driver, and four numbers per sampled text.
+    Words and keys are counted over all labelled texts. A key that is far commoner in toxic ones counts at every size if
+    it has ``MIN_TEXTS`` of them and more than chance gives to one of all keys; such keys reach the driver. The machine is fitted to at most ``MAX_POSITIVE`` words
+    that have the keys, its logistic model to at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean texts, chosen by hash
+    of the id; four numbers per sampled text reach the driver.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = None
-    for value, limit in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # an id that occurs twice counts as two texts
-    texts = cut(sample.select(F.monotonically_increasing_id().alias("doc"), "toxic", "text"))
-    words = cut(texts.mapInArrow(_known_words, "doc long, toxic int, words array<string>, keys array<string>"))
-    sizes = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = cut(docs.where("text is not null").select("doc_id", "text").join(known, "doc_id").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "toxic", "text"))
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     unlearned = Model(np.zeros(1 << 15, np.float32), 0.0, np.array([0, 0, 0, np.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.0]))
     if not n1 or not n0:
         return unlearned
-    tally = [F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")]
     commoner = F.col("c") * COMMONER * n1 <= F.col("t") * n0
-    each = words.select("doc", "toxic", F.explode("keys").alias("key"))
-    marked = cut(each.groupBy("key").agg(*tally).where((F.col("t") >= MIN_TEXTS) & commoner).orderBy(F.desc("t"), "key").limit(MAX_KEYS).select("key"))
-    # at most MAX_KEYS keys, each with at most MAX_TOXIC texts
-    held = each.where("toxic = 1").join(F.broadcast(marked), "key").groupBy("key").agg(F.collect_set("doc").alias("docs")).collect()
-    seeds = cover({r["key"]: set(r["docs"]) for r in held}, max(MIN_TEXTS, n1 / 100))
+    counted = cut(labelled.select("toxic", "text").mapInArrow(_key_counts, "key string, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    # a bound of the chance that as many of a key's texts are toxic as are, against the number of keys that are tried
+    t, c, all_, share = F.col("t"), F.col("c"), F.col("t") + F.col("c"), n1 / (n1 + n0)
+    bound = t * F.log(t / all_ / share) + F.when(c > 0, c * F.log(c / all_ / (1 - share))).otherwise(0.0)
+    tried = counted.where(all_ >= MIN_TEXTS).count()
+    marked = {r["key"] for r in counted.where((t >= MIN_TEXTS) & commoner & (bound >= np.log(max(tried, 1)))).select("key").collect()}
+    held = labelled.where("toxic = 1").select("doc", "text").mapInArrow(_doc_keys(spark.sparkContext.broadcast(marked)), "doc long, keys array<string>")
+    seeds = cover_all(cut(held.where(F.size("keys") > 0)))
     if not seeds:
         return unlearned
-    counts = cut(words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(*tally))
+    counts = counted.where(~F.startswith("key", F.lit("p"))).withColumnRenamed("key", "word")
     starts = F.array(F.col("word"), *[F.when(F.length("word") > k, F.concat(F.lit("p"), F.substring("word", 1, k))) for k in range(4, 9)])
     holding = counts.where((F.col("t") > 0) & commoner & F.arrays_overlap(starts, F.array(*[F.lit(k) for k in seeds])))
     positive = [r["word"] for r in holding.orderBy(F.desc("t"), "word").limit(MAX_POSITIVE).collect()]
@@ -324,6 +384,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         if turn + 1 < ROUNDS:
             scored = clean.select("word").mapInArrow(_word_margins(spark.sparkContext.broadcast(model)), "word string, margin double")
             negative += [r["word"] for r in scored.where("margin > -0.9").orderBy(F.desc("margin"), "word").limit(HARD_NEGATIVE).collect()]
+    chosen = None
+    for value, limit in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
+        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    texts = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")
     found = texts.select("toxic", "text").mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "toxic int, a double, b double, c double, d double").toArrow()
     x = np.column_stack([found[c].to_numpy() for c in "abcd"])
     return Model(weights, bias, logistic(x, found["toxic"].to_numpy().astype(float)))

@@ -348,6 +348,23 @@ def test_toxicity_learns_from_texts_and_finds_broken_up_words(spark):
     assert len({r["score"] for r in toxicity.score(docs, blind, ["doc_id"]).collect()}) == 1
 
 
+def test_toxicity_covers_a_rare_insult_at_every_size(spark, monkeypatch):
+    common = ["_IDIOT_", "_MORON_", "_SCUMBAG_"]
+    rows = [(i, common) for i in range(1000)] + [(1000 + i, ["_WEASEL_", "_IDIOT_"]) for i in range(5)]
+    held = spark.createDataFrame(rows, "doc long, keys array<string>")
+    assert set(toxicity.cover_all(held)) == {*common, "_WEASEL_"}
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 50)
+    assert set(toxicity.cover_all(held)) == {*common, "_WEASEL_"}
+    rng = random.Random(8)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    plain = lambda: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(30))
+    texts = [(i, plain() + (" You idiot" if i < 1500 else "")) for i in range(3500)] + [(5000 + i, plain() + " zyxquv") for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i < 1500 or i >= 5000)) for i, _ in texts], "doc_id long, toxic int")
+    docs = documents(spark, texts + [(6000, plain() + " zyxquv"), (6001, plain())])
+    scores = {r["row"]["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels), ["doc_id"]).collect()}
+    assert scores[6000] >= 0.3 > scores[6001]
+
+
 def test_transcripts_recover_roles_over_chunks(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
