@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import chat, decontaminate, html_text, langid, packing, secret_scan, suffix_tree, toxicity
+from spoorline.llm import chat, decontaminate, fim, html_text, langid, packing, secret_scan, suffix_tree, toxicity, warc
 from spoorline.llm.embed_dedup import embedding_groups
 from spoorline.llm.ngram_join import jaccard_groups
 from spoorline.llm.tables import crc_part, table
-from spoorline.session import configure, frozen, stage
+from spoorline.session import configure, cut, frozen, scratch_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,52 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.canonical_turns(chat.recover_lines(bare, model)).select("conv_id", "first_pos", "role", "n_lines", "rendered")
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.rearrange(table(spark, sf_dir, "documents"), ["doc_id"], seed=7)
+    return out.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives, then finds each capture by its address in the index and reads it back."""
+    pages, root = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    index = warc.build_index(warc.write(pages, root, "page_id", "url", "html"), root)
+    hits = warc.lookup(spark, index, pages.select("page_id", "url").distinct(), ["page_id"], id_column="page_id")
+    payload = F.col("payload")
+    read = cut(warc.fetch(hits, root).select(
+        "row.page_id", "kind", "name", "digest", "refers_to", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest")))
+    return warc.resolve(read, "payload_bytes", "payload_digest").select(
+        "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(read.schema["page_id"].dataType).alias("refers_to"))
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (
+  select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as l,
+    cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+c as (
+  select *, len(l) as n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) as a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+s as (
+  select *, coalesce(array_to_string(l[1:a], ''), '') as p, coalesce(array_to_string(l[a + 1:b], ''), '') as m, coalesce(array_to_string(l[b + 1:], ''), '') as r from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || r || '<M>' || m else '<S>' || r || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from s
+"""
+
+ORACLES["op13_warc"] = """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+f as (select html, min(page_id) as first from p where n >= 100 group by html)
+select p.page_id, p.n as payload_bytes, sha256(p.html) as payload_digest,
+  case when f.first <> p.page_id then 'revisit' else 'response' end as record_type, case when f.first <> p.page_id then f.first end as refers_to
+from p left join f on f.html = p.html
+"""
+
 ORACLES["op7_ngram_join"] = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
