@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import chat, decontaminate, fim, html_text, langid, packing, secret_scan, suffix_tree, toxicity, warc
+from spoorline.llm import chat, decontaminate, divergence, fim, html_text, langid, packing, secret_scan, suffix_tree, toxicity, warc
 from spoorline.llm.embed_dedup import embedding_groups
 from spoorline.llm.ngram_join import jaccard_groups
 from spoorline.llm.tables import crc_part, table
@@ -107,6 +107,11 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.canonical_turns(chat.recover_lines(bare, model)).select("conv_id", "first_pos", "role", "n_lines", "rendered")
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.rearrange(table(spark, sf_dir, "documents"), ["doc_id"], seed=7)
@@ -128,6 +133,34 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(read.schema["page_id"].dataType).alias("refers_to"))
 
 
+ORACLES["op11_source_divergence"] = r"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents),
+w as (select row, lang, source, unnest(t) as term from d),
+kept as (select lang, term, count(*)::hugeint as n from w group by 1, 2 having count(distinct row) >= 3),
+langs as (select lang, count(*) as v, sum(n)::hugeint as total from kept group by 1),
+groups as (select distinct lang, source from d),
+own as (select w.lang, w.source, w.term, count(*)::hugeint as n from w join kept using (lang, term) group by 1, 2, 3),
+size as (select lang, source, sum(n)::hugeint as total from own group by 1, 2),
+p as (
+  select g.lang, g.source, k.term, coalesce(o.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(o.n, 0) + 1) // (coalesce(s.total, 0) + l.v) as p
+  from groups g join kept k using (lang) join langs l using (lang) left join size s using (lang, source) left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+q as (select k.lang, k.term, 1 + 1000000000::hugeint * (k.n + 1) // (l.total + l.v) as q from kept k join langs l using (lang)),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+term as (
+  select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p join q using (lang, term) where n > 0 and p > q),
+ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from pair union all select * from term))
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
 ORACLES["op12_fill_in_middle"] = r"""
 with d as (
   select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
