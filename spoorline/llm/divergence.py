@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,12 @@ SHIFTS = (0, 64 - FILTER_BITS)  # two places of a hash
 TERM = np.zeros(256, dtype=bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
 
-CHUNK = "langs array<string>, sources array<string>, group_lang array<int>, terms array<binary>, term array<int>, doc array<int>, n array<int>, doc_group array<int>"
+FLUSH_ROWS = 500_000  # of counts that a task holds before it hands them on
+
+# arrays of a chunk, as little-endian integers: bytes per term, pairs (term, document) per term, of each pair the document
+# and the occurrences, of each document its (lang, source) group, of each group its language
+CHUNK = "langs array<string>, sources array<string>, letters binary, lengths binary, held binary, doc binary, n binary, doc_group binary, group_lang binary"
+COUNTS = "lang string, source string, prefix binary, docs long, n long"
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,28 +51,56 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def _lists(values: list[pa.Array]) -> list[pa.Array]:
-    return [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+def _blob(values: np.ndarray, kind: str = "<u4") -> bytes:
+    return values.astype(kind).tobytes()
+
+
+def _kind(most: int) -> str:
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def _chunk(data: np.ndarray, offsets: np.ndarray, langs: pa.Array, sources: pa.Array) -> pa.RecordBatch:
     """The distinct terms of some documents, and per (term, document) the number of occurrences."""
     start, end = spans(data, offsets)
-    lengths = end - start
     places = np.zeros(len(start) + 1, np.int32)
-    np.cumsum(lengths, out=places[1:])
+    np.cumsum(end - start, out=places[1:])
     letters = LOWER[data][TERM[data]]  # terms side by side
     words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
     n_docs = len(offsets) - 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     keys, counts = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_docs + doc, return_counts=True)
     lang, source = langs.dictionary_encode(), sources.dictionary_encode()
-    pair, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(sources) + source.indices.to_numpy(), return_inverse=True)
-    own_lang, own_source = pair // len(sources), pair % len(sources)
-    values = [
-        lang.dictionary, source.dictionary.take(pa.array(own_source)), pa.array(own_lang.astype(np.int32)), words.dictionary,
-        pa.array((keys // n_docs).astype(np.int32)), pa.array((keys % n_docs).astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(group.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(_lists(values), [f.split(" ")[0] for f in CHUNK.split(", ")])
+    pair, group = np.unique(lang.indices.to_numpy().astype(np.int64) * n_docs + source.indices.to_numpy(), return_inverse=True)
+    letters, ends = flat(words.dictionary)
+    held = np.bincount(keys // n_docs, minlength=len(words.dictionary))
+    row = [
+        lang.dictionary.to_pylist(), source.dictionary.take(pa.array(pair % n_docs)).to_pylist(), letters.tobytes(), _blob(np.diff(ends)), _blob(held),
+        _blob(keys % n_docs, _kind(n_docs)), _blob(counts, _kind(int(counts.max(initial=0)))), _blob(group), _blob(pair // n_docs)]
+    kinds = [pa.list_(pa.string())] * 2 + [pa.binary()] * 7
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [f.split(" ")[0] for f in CHUNK.split(", ")])
+
+
+class Chunk:
+    """A stored chunk, read back."""
+
+    def __init__(self, row: dict):
+        numbers = lambda name, kind="<u4": np.frombuffer(row[name], kind).astype(np.int64)
+        self.langs, self.sources = row["langs"], row["sources"]
+        self.length, held, self.doc_group, self.group_lang = (numbers(c) for c in ("lengths", "held", "doc_group", "group_lang"))
+        self.doc = numbers("doc", _kind(len(self.doc_group)))
+        self.n = numbers("n", "<u2" if len(row["n"]) == 2 * len(self.doc) else "<u4")
+        self.term = np.repeat(np.arange(len(held)), held)
+        ends = np.zeros(len(held) + 1, np.int32)
+        np.cumsum(self.length, out=ends[1:])
+        self.terms = pa.BinaryArray.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends), pa.py_buffer(row["letters"])])
+        self.doc_lang = self.group_lang[self.doc_group]
+
+    def prefixes(self, level: int, used: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct prefixes of the used terms and each term's number among them."""
+        heads = pc.binary_slice(self.terms.take(pa.array(used)), 0, level).dictionary_encode()
+        number = np.zeros(len(self.terms), np.int64)
+        number[used] = heads.indices.to_numpy(zero_copy_only=False)
+        return heads.dictionary, number
 
 
 def _chunks(chunk_bytes: int):
@@ -107,10 +141,10 @@ class Filter:
         return live
 
 
-def _hashes(lang: str, prefixes: list[bytes]) -> np.ndarray:
+def _hashes(langs: list[str], codes: np.ndarray, prefixes: list[bytes]) -> np.ndarray:
     """As Spark's ``xxhash64(lang, prefix)``."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in prefixes), np.uint64, len(prefixes))
+    seeds = [xxhash.xxh64_intdigest(lang.encode(), 42) for lang in langs]
+    return np.fromiter((xxhash.xxh64_intdigest(p, seeds[c]) for c, p in zip(codes.tolist(), prefixes)), np.uint64, len(prefixes))
 
 
 def live_filter(prefixes: DataFrame) -> Filter:
@@ -124,51 +158,73 @@ def live_filter(prefixes: DataFrame) -> Filter:
     return Filter(words)
 
 
+def _seen(keys: np.ndarray, size: int) -> np.ndarray:
+    marks = np.zeros(size, dtype=bool)
+    marks[keys] = True
+    return np.flatnonzero(marks)
+
+
+def _counts(chunk: Chunk, level: int, live) -> Iterator[tuple]:
+    """``(lang, source, prefix, docs, n)`` columns of one chunk: complete terms by source, longer ones without."""
+    term, doc, n, langs = chunk.term, chunk.doc, chunk.n, len(chunk.langs)
+    if live is not None:
+        done = level // 2
+        on = chunk.length[term] >= done
+        term, doc, n = term[on], doc[on], n[on]
+        heads, number = chunk.prefixes(done, _seen(term, len(chunk.terms)))
+        key = number[term] * langs + chunk.doc_lang[doc]
+        asked = _seen(key, len(heads) * langs)
+        passed = np.zeros(len(heads) * langs, dtype=bool)
+        passed[asked] = live(_hashes(chunk.langs, asked % langs, heads.take(pa.array(asked // langs)).to_pylist()))
+        on = passed[key]
+        term, doc, n = term[on], doc[on], n[on]
+    ready = chunk.length[term] < level
+    groups = len(chunk.group_lang)
+    key = term[ready] * groups + chunk.doc_group[doc[ready]]
+    keys, back = np.unique(key, return_inverse=True)
+    group = keys % groups
+    yield chunk.group_lang[group], group, chunk.terms.take(pa.array(keys // groups)), np.bincount(back, minlength=len(keys)), np.bincount(back, weights=n[ready], minlength=len(keys))
+    term, doc = term[~ready], doc[~ready]
+    heads, number = chunk.prefixes(level, _seen(term, len(chunk.terms)))
+    both = np.unique(number[term] * len(chunk.doc_lang) + doc)
+    keys, docs = np.unique(both // len(chunk.doc_lang) * langs + chunk.doc_lang[both % len(chunk.doc_lang)], return_counts=True)
+    yield keys % langs, None, heads.take(pa.array(keys // langs)), docs, np.zeros(len(keys))
+
+
 def _level(level: int, shared):
-    """Counts of one chunk at one level: complete terms per source, longer ones by their prefix."""
-
-    def count(chunk: dict) -> Iterator[tuple]:
-        terms = chunk["terms"]
-        lengths = np.fromiter(map(len, terms), np.int64, len(terms))
-        done = 0 if shared is None else level // 2
-        open_terms = lengths >= done
-        doc_lang = chunk["group_lang"][chunk["doc_group"]]
-        pair_lang = doc_lang[chunk["doc"]]
-        n_docs = len(doc_lang)
-        for code, lang in enumerate(chunk["langs"]):
-            used = (pair_lang == code) & open_terms[chunk["term"]]
-            if shared is not None:
-                mine = np.unique(chunk["term"][used])
-                live = np.zeros(len(terms), dtype=bool)
-                live[mine] = shared.value(_hashes(lang, [terms[t][:done] for t in mine.tolist()]))
-                used &= live[chunk["term"]]
-            term, doc, n = chunk["term"][used], chunk["doc"][used], chunk["n"][used]
-            ready = lengths[term] < level
-            # complete: one row per (term, source)
-            groups = len(chunk["group_lang"])
-            keys, back = np.unique(term[ready] * groups + chunk["doc_group"][doc[ready]], return_inverse=True)
-            docs, total = np.bincount(back, minlength=len(keys)), np.bincount(back, weights=n[ready], minlength=len(keys))
-            yield lang, True, [chunk["sources"][g] for g in (keys % groups).tolist()], [terms[t] for t in (keys // groups).tolist()], docs, total
-            # to be extended: distinct documents per prefix
-            longer = np.unique(term[~ready])
-            heads = pa.array([terms[t][:level] for t in longer.tolist()], pa.binary()).dictionary_encode()
-            number = np.zeros(len(terms), np.int64)
-            number[longer] = heads.indices.to_numpy(zero_copy_only=False)
-            both = np.unique(number[term[~ready]] * n_docs + doc[~ready])
-            docs = np.bincount(both // n_docs, minlength=len(heads.dictionary))
-            yield lang, False, [None] * len(docs), heads.dictionary.to_pylist(), docs, np.zeros(len(docs))
+    """Counts of a task's chunks at one level, added up as long as they are few."""
 
     def run(batches):
+        names: dict[str | None, int] = {None: 0}
+        held, size = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "source", "prefix"]).aggregate([("docs", "sum"), ("n", "sum")])
+
+        def out(table: pa.Table):
+            known = pa.array(list(names), pa.string())
+            for part in table.combine_chunks().to_batches(100_000):
+                columns = [known.take(part.column("lang")), known.take(part.column("source")), part.column("prefix"), part.column("docs_sum"), part.column("n_sum")]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "prefix", "docs", "n"])
+
+        code = lambda values: np.array([names.setdefault(v, len(names)) for v in values], np.int32)
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk = {name: batch.column(name)[row].values for name in batch.schema.names}
-                chunk = {k: v.to_pylist() if k in ("langs", "sources", "terms") else v.to_numpy().astype(np.int64) for k, v in chunk.items()}
-                for lang, complete, sources, prefixes, docs, n in count(chunk):
-                    if prefixes:
-                        size = len(prefixes)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * size), pa.array(sources, pa.string()), pa.array([complete] * size), pa.array(prefixes, pa.binary()), pa.array(docs.astype(np.int64)), pa.array(n.astype(np.int64))],
-                            ["lang", "source", "complete", "prefix", "docs", "n"])
+                chunk = Chunk({name: batch.column(name)[row].as_py() for name in batch.schema.names})
+                langs, sources = code(chunk.langs), code(chunk.sources)
+                for lang, source, prefix, docs, n in _counts(chunk, level, shared and shared.value):
+                    source = np.zeros(len(lang), np.int32) if source is None else sources[source]
+                    held.append(pa.table([langs[lang], source, prefix, docs.astype(np.int64), n.astype(np.int64)], ["lang", "source", "prefix", "docs", "n"]))
+                    size += len(lang)
+                if size >= 2 * FLUSH_ROWS:
+                    table = added()
+                    if len(table) >= FLUSH_ROWS:
+                        yield from out(table)
+                        held, size = [], 0
+                    else:
+                        held, size = [table.rename_columns({"docs_sum": "docs", "n_sum": "n"})], len(table)
+        if size:
+            yield from out(added())
 
     return run
 
@@ -177,26 +233,26 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-COUNTS = "lang string, source string, complete boolean, prefix binary, docs long, n long"
-
-
 def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
-    """``(lang, source, term, n)``: occurrences of the terms that at least ``least_docs`` documents of the language hold."""
+    """``(lang, source, term, n, whole, first)``: occurrences, in a source and in the language, of the terms that at
+    least ``least_docs`` documents of the language hold; ``first`` marks one source per term."""
     sc = docs.sparkSession.sparkContext
     chunks = cut(_cleaned(docs).mapInArrow(_chunks(CHUNK_BYTES), CHUNK))
     level, shared, complete = FIRST_LEVEL, None, None
     while True:
         counted = cut(
-            chunks.mapInArrow(_level(level, shared), COUNTS).groupBy("lang", "source", "complete", "prefix")
+            chunks.mapInArrow(_level(level, shared), COUNTS).groupBy("lang", "source", "prefix")
             .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-        own = counted.where("complete").select("lang", "source", F.col("prefix").cast("string").alias("term"), "docs", "n")
+        own = counted.where("source is not null").select("lang", "source", F.col("prefix").cast("string").alias("term"), "docs", "n")
         complete = own if complete is None else complete.unionByName(own)
-        live = counted.where(~F.col("complete") & (F.col("docs") >= least_docs))
+        live = counted.where(F.col("source").isNull() & (F.col("docs") >= least_docs))
         if live.isEmpty():
             break
         shared, level = sc.broadcast(live_filter(live)), 2 * level
-    kept = complete.groupBy("lang", "term").agg(F.sum("docs").alias("held")).where(F.col("held") >= least_docs)
-    return complete.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
+    term = Window.partitionBy("lang", "term")
+    added = complete.withColumns({
+        "held": F.sum("docs").over(term), "whole": F.sum("n").over(term), "first": F.row_number().over(term.orderBy("source")) == 1})
+    return added.where(F.col("held") >= least_docs).select("lang", "source", "term", "n", "whole", "first")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -214,6 +270,12 @@ def _gap(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def _total(value: Column) -> Column:
+    """Exact sum of longs, by halves, which stay in machine words."""
+    high, low = F.sum(F.shiftright(value, 32)), F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (high.cast("decimal(27,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(27,0)")).cast("decimal(38,0)").alias("value")
+
+
 def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: how far each source of a language is from the others, and by which terms.
 
@@ -230,33 +292,32 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     """
     counts = cut(kept_counts(docs, least_docs))
     groups = _cleaned(docs).select("lang", "source").distinct()
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    langs = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("total"))
+    langs = counts.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("terms"), F.sum("n").alias("total"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    sizes = groups.join(sums, ["lang", "source"], "left").join(langs.select("lang", "terms"), "lang", "left")
-    sizes = sizes.select("lang", "source", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    sizes = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").select(
+        "lang", "source", F.monotonically_increasing_id().alias("g"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("own", "terms", "total")])
     sizes = cut(sizes.withColumn("p0", _share(F.lit(0), F.col("own"), F.col("terms"))))
-    shares = cut(counts.join(sizes, ["lang", "source"]).select("lang", "source", "term", "p0", _share(F.col("n"), F.col("own"), F.col("terms")).alias("p")))
+    shares = cut(counts.join(sizes, ["lang", "source"]).select(
+        "lang", "source", "g", "term", "p0", _share(F.col("n"), F.col("own"), F.col("terms")).alias("p"), _share(F.col("whole"), F.col("total"), F.col("terms")).alias("q")))
 
-    usual = whole.join(langs, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = shares.join(usual, ["lang", "term"]).where("p > q").select(
+    terms = shares.where("p > q").select(
         "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
     p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
-    total = lambda c: F.sum(c.cast("decimal(38,0)")).alias("value")
-    other = lambda df, *names: df.select("lang", F.col("source").alias("item"), *names)
-    apart = F.col("source") != F.col("item")
-    both = shares.join(other(shares, "term", p.alias("q"), p0.alias("q0")), ["lang", "term"]).where(apart).groupBy("lang", "source", "item").agg(
-        total(_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)))
-    bars = shares.groupBy("lang", "source", "p0", "p").agg(F.count(F.lit(1)).alias("m"))
-    wide = F.col("m").cast("decimal(20,0)")
-    mine = bars.join(other(sizes, p0.alias("q0")), "lang").where(apart).groupBy("lang", "source", "item").agg(total(wide * (_gap(p, q0) - _gap(p0, q0))))
-    theirs = other(bars, "m", p.alias("q"), p0.alias("q0")).join(sizes.select("lang", "source", "p0"), "lang").where(apart).groupBy("lang", "source", "item").agg(
-        total(wide * (_gap(p0, q) - _gap(p0, q0))))
-    neither = sizes.join(other(sizes, p0.alias("q0")), "lang").where(apart).select(
-        "lang", "source", "item", F.coalesce((F.col("terms").cast("decimal(20,0)") * _gap(p0, q0)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("value"))
-    pairs = neither.unionByName(both).unionByName(mine).unionByName(theirs).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
+    apart = F.col("g") != F.col("h")
+    other = lambda df, *names: df.select(F.col("g").alias("h"), *names)
+    both = shares.select("lang", "term", "g", "p", "p0").join(other(shares, "lang", "term", p.alias("q"), p0.alias("q0")), ["lang", "term"]).where(apart)
+    both = both.groupBy("g", "h").agg(_total(_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0)))
+    bars = shares.groupBy("lang", "g", "p0", "p").agg(F.count(F.lit(1)).alias("m"))
+    many = F.col("m").cast("decimal(20,0)")
+    mine = bars.join(other(sizes, "lang", p0.alias("q0")), "lang").where(apart).groupBy("g", "h").agg(F.sum((many * (_gap(p, q0) - _gap(p0, q0))).cast("decimal(38,0)")).alias("value"))
+    theirs = other(bars, "lang", "m", p.alias("q"), p0.alias("q0")).join(sizes.select("lang", "g", "p0"), "lang").where(apart).groupBy("g", "h").agg(
+        F.sum((many * (_gap(p0, q) - _gap(p0, q0))).cast("decimal(38,0)")).alias("value"))
+    neither = sizes.join(other(sizes, "lang", p0.alias("q0")), "lang").where(apart).select(
+        "g", "h", F.coalesce((F.col("terms").cast("decimal(20,0)") * _gap(p0, q0)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("value"))
+    pairs = neither.unionByName(both).unionByName(mine).unionByName(theirs).groupBy("g", "h").agg(F.sum("value").cast("long").alias("value"))
+    pairs = pairs.join(sizes.select("g", "lang", "source"), "g").join(sizes.select(F.col("g").alias("h"), F.col("source").alias("item")), "h")
     pairs = pairs.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
