@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spoorline.operators import graphalgo
 from spoorline.operators.features import degrees
 from spoorline.operators.graph import entity_type
+from spoorline.operators.paths import best_paths, path_score
 from spoorline.operators.ranking import first_per_group, global_rank
 from spoorline.session import cut
 
@@ -153,16 +154,10 @@ def key_nodes(scored: DataFrame, n: int = 15, places: int | None = None) -> Data
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("__i")
 
 
-def path_score(scores: Column) -> Column:
-    """(0.7 · max + 0.3 · mean edge score) / log2(nodes + 1)."""
-    mean = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x) / F.size(scores)
-    return (0.7 * F.array_max(scores) + 0.3 * mean) / F.log2(F.size(scores) + 2)
-
-
 def attack_paths(edges: DataFrame, keys: DataFrame, cutoff: int = 6, per_pair: int = 3, min_score: float = 0.0, places: int | None = None) -> DataFrame:
     """Best simple paths between ordered key nodes with their score (``places`` rounds before comparing)."""
-    scored = graphalgo.simple_paths(edges, keys, cutoff).withColumn("score", path_score(F.col("scores")))
-    return graphalgo.best_per_pair(scored.where(F.col("score") >= min_score), per_pair, places).withColumn("length", F.size("path"))
+    best = best_paths(edges, keys, cutoff, per_pair, places)
+    return best.where(F.col("score") >= min_score).withColumn("length", F.size("path"))
 
 
 def top_paths(paths: DataFrame, k: int = 10, places: int | None = None) -> DataFrame:
