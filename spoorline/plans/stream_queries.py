@@ -10,6 +10,7 @@ from spoorline.plans.fixtures import prov_events, table
 from spoorline.plans.record_queries import _K, _P, _FILE_ID, _NET_ID, _PROC_ID, raw_cdm_entities, raw_cdm_events
 from spoorline.plans.registry import pe, query, r6
 from spoorline.session import scratch_path
+from spoorline.streaming import resolve
 from spoorline.streaming import streams as S
 from spoorline.functions.times import ntz_micros
 
@@ -98,5 +99,5 @@ def stream_resolve(spark, sf):
     raw_cdm_events(spark, sf).select("raw").write.text(f"{root}/in")
     raw_cdm_entities(spark, sf).select("raw").write.mode("append").text(f"{root}/in")
     records = S.stream_events(spark, f"{root}/in", maxFilesPerTrigger="4")
-    S.stream_resolve(records, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table/events").select("event_id", "src_key", "dst_key")
+    resolve.stream_resolve(records, f"{root}/table", f"{root}/checkpoint")
+    return resolve.resolved(spark, f"{root}/table").select("event_id", "src_key", "dst_key")

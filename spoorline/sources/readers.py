@@ -124,6 +124,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(held)
+
+
 def limit_files(files: DataFrame, n: int) -> DataFrame:
     """The first ``n`` files by path."""
     return files.orderBy("path").limit(n)

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from spoorline.operators import cdm
 from spoorline.operators.records import parse
+from spoorline.session import configure
+
+
+def _numbered(batches):
+    """Places of lines: where their block starts, and their number in it."""
+    block, n = None, 0
+    for batch in batches:
+        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
+        places = []
+        for at in zip(files, starts):
+            block, n = (block, n + 1) if at == block else (at, 0)
+            places.append(at[1] + n)
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(places, pa.int64()), batch.column("raw")], ["file", "pos", "raw"])
+
 
 def stream_events(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Records ``(file, pos, raw, v)`` of line-delimited files as they arrive; bad lines are skipped.
 
-    ``file`` starts with the file's modification time, so records sort by the age of their file, then by their place
-    in it: (file, pos) is unique and ascending. Streams know no row numbers, so a file is read as a whole: files are
-    the pieces of a rotated log, each one task's work.
+    Files are split into blocks of ``spark.sql.files.maxPartitionBytes``, and a line belongs to the block it starts in.
+    A line takes at least one byte, so block start plus its number in the block is unique and ascending in its file.
+    ``file`` starts with the file's modification time, so records sort by the age of their file, then by their place.
     """
-    files = spark.readStream.options(**options).text(path, wholetext=True)
+    configure(spark)
+    lines = spark.readStream.options(**{"lineSep": "\n", **options}).text(path)
     age = F.lpad(F.unix_millis("_metadata.file_modification_time").cast("string"), 15, "0")
-    lines = files.select(F.concat_ws(" ", age, F.col("_metadata.file_path")).alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    body = F.regexp_replace(F.trim("line"), r",$", "")
-    placed = lines.select("file", F.col("pos").cast("long").alias("pos"), body.alias("raw"))
-    return parse(placed.where(~F.col("raw").isin("", "[", "]")))
+    body = F.regexp_replace(F.trim("value"), r",$", "")
+    named = lines.select(F.concat_ws(" ", age, F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"), body.alias("raw"))
+    return parse(named.where(~F.col("raw").isin("", "[", "]")).mapInArrow(_numbered, "file string, pos long, raw string"))
 
 
 END_SECONDS = 4102444800.0  # a time after all data: the first second of the year 2100
@@ -83,31 +96,3 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
         .trigger(availableNow=True).start(path)
     )
     query.awaitTermination()
-
-
-def stream_resolve(records: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Audit records resolved against all entities seen so far, per micro-batch.
-
-    A batch first writes its entities, then resolves its events and the ones left open by earlier batches; every
-    batch writes its own folder, so a repeated batch replaces itself.
-    """
-    spark = records.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            cdm.entities(batch).write.mode("overwrite").parquet(f"{table}/entities/batch={batch_id}")
-            found = cdm.events(batch)
-            if batch_id > 0:
-                open_events = spark.read.parquet(f"{table}/open/batch={batch_id - 1}")
-                found = found.unionByName(open_events)
-            resolved = cdm.resolve_entities(found, spark.read.parquet(f"{table}/entities"))
-            columns = [*found.columns, "src_key", "dst_key"]
-            resolved.where("status = 'parsed'").select(columns).write.mode("overwrite").parquet(f"{table}/events/batch={batch_id}")
-            resolved.where("status <> 'parsed'").select(found.columns).write.mode("overwrite").parquet(f"{table}/open/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return (
-        records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

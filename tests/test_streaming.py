@@ -1,7 +1,9 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
+from spoorline.streaming import resolve
 from spoorline.streaming import streams as S
 
 SCHEMA = "event_id long, src_key string, dst_key string, event_type string, ts_s double, score double"
@@ -44,19 +46,82 @@ def test_alerts(spark, tmp_path):
     assert [(r.event_id, r.excess) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [(0, 4.0)]
 
 
-def test_open_events_resolve_in_a_later_batch(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
+class Audit:
+    """Audit files that are put into a folder one after the other, and the stream over them."""
 
-    def put(name, *records):
-        (source / name).write_text("\n".join(json.dumps({"datum": {P + k: r}}) for k, r in records))
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+        (folder / "in").mkdir()
 
-    def run():
-        S.stream_resolve(S.stream_events(spark, str(source)), str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
-        return {r.event_id: (r.src_key, r.dst_key) for r in spark.read.parquet(str(tmp_path / "t" / "events")).collect()}
+    def put(self, name, *records):
+        (self.folder / "in" / name).write_text("\n".join(json.dumps({"datum": {P + k: r}}) for k, r in records))
 
-    ref = lambda u: {P + "UUID": u}
-    put("1.json", ("Subject", {"uuid": "s", "cid": 1}), ("Event", {"uuid": "e", "type": "EVENT_READ", "timestampNanos": 1, "subject": ref("s"), "predicateObject": ref("f")}))
-    assert run() == {}
-    put("2.json", ("FileObject", {"uuid": "f", "baseObject": {"properties": {"path": "/x"}}}))
-    assert run() == {"e": ("process:pid_1_s", "file:/x")}
+    def run(self, **more):
+        resolve.stream_resolve(S.stream_events(self.spark, str(self.folder / "in")), str(self.folder / "t"), str(self.folder / "ck"), parts=2, **more)
+        rows = resolve.resolved(self.spark, str(self.folder / "t")).collect()
+        assert len({r.event_id for r in rows}) == len(rows)
+        return {r.event_id: (r.src_key, r.dst_key) for r in rows}
+
+    def rejected(self):
+        return sorted((r.event_id, r.missing_uuid) for r in resolve.rejected(self.spark, str(self.folder / "t")).collect())
+
+
+def ref(uuid):
+    return {P + "UUID": uuid}
+
+
+def event(name, src, dst):
+    return "Event", {"uuid": name, "type": "EVENT_READ", "timestampNanos": 1, "subject": src and ref(src), "predicateObject": dst and ref(dst)}
+
+
+def subject(uuid, cid):
+    return "Subject", {"uuid": uuid, "cid": cid}
+
+
+def file(uuid, path):
+    return "FileObject", {"uuid": uuid, "baseObject": {"properties": {"path": path}}}
+
+
+def test_open_events_resolve_after_a_restart(spark, tmp_path):
+    audit = Audit(spark, tmp_path)
+    audit.put("1.json", subject("s", 1), event("e", "s", "f"), event("g", "t", "f"))
+    assert audit.run() == {}
+    audit.put("2.json", file("f", "/x"), event("h", "s", "f"))
+    assert audit.run() == {"e": ("process:pid_1_s", "file:/x"), "h": ("process:pid_1_s", "file:/x")}
+    # an earlier batch is not read again, and what it named stays; the newest record names later events
+    audit.put("3.json", file("f", "/y"), subject("t", 2), event("i", "t", "f"))
+    assert audit.run() == {"e": ("process:pid_1_s", "file:/x"), "h": ("process:pid_1_s", "file:/x"), "g": ("process:pid_2_t", "file:/y"), "i": ("process:pid_2_t", "file:/y")}
+    assert audit.rejected() == []
+
+
+def test_events_that_wait_too_long_are_rejected(spark, tmp_path):
+    audit = Audit(spark, tmp_path)
+    audit.put("1.json", subject("s", 1), event("a", "none", "f"), event("b", "s", "g"), event("c", "s", None))
+    assert audit.run(wait=0) == {}
+    time.sleep(0.1)
+    audit.put("2.json", subject("other", 1))
+    audit.run(wait=0)
+    audit.put("3.json", file("g", "/late"))
+    audit.run(wait=0)
+    assert audit.rejected() == [("a", "none"), ("b", "g"), ("c", None)]
+    audit.put("4.json", event("d", "s", "g"))
+    assert audit.run(wait=0) == {"d": ("process:pid_1_s", "file:/late")}
+
+
+def test_a_file_of_many_blocks_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"n": i, "pad": "é" * (i % 50)}) + ("," if i % 3 else "") for i in range(5000)]
+    (tmp_path / "in" / "big.json").write_text("[\n" + "\n".join(lines) + "\n\n{broken\n]\n")
+    (tmp_path / "in" / "small.json").write_text('{"n": -1}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        tasks = F.spark_partition_id().alias("task")
+        out = S.stream_events(spark, str(tmp_path / "in")).select("file", "pos", F.try_variant_get("v", "$.n", "long").alias("n"), tasks)
+        S.run_available(out, str(tmp_path / "o"), str(tmp_path / "ck"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = spark.read.parquet(str(tmp_path / "o")).orderBy("file", "pos").collect()
+    big = [r for r in rows if "big" in r.file]
+    assert [r.n for r in big] == list(range(5000)) and len({r.pos for r in big}) == 5000
+    assert len({r.task for r in big}) > 10 and len(rows) == 5001
