@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.operators.features import random_features
-from spoorline.operators.records import once, parse, strictly
+from spoorline.operators.records import parse
+from spoorline.sources import arrays
 
 _ROW = (1 << 33) - 1
 
@@ -49,25 +50,9 @@ def read_ndjson(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return clean_lines(lines)
 
 
-def array_records(documents: DataFrame) -> DataFrame:
-    """Records of ``(file, value)`` documents that each hold one JSON array or one object and nothing else."""
-    wrapped, whole = strictly(F.col("value"))
-    held = once(documents.select("file", F.trim("value").alias("value")), __w=wrapped).where(whole(F.col("__w")))
-    listed = F.try_variant_get("__w", "$[0]", "array<variant>")
-    elements = F.when(F.col("value").startswith("["), listed).otherwise(F.array(F.try_variant_get("__w", "$[0]", "variant")))
-    return (
-        held.select("file", F.posexplode(elements).alias("pos", "v"))
-        .select("file", F.col("pos").cast("long").alias("pos"), F.to_json("v").alias("raw"), "v").where(F.col("raw").startswith("{"))
-    )
-
-
 def read_json_array(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files that each hold one JSON array or one object; every element is parsed on its own.
-
-    A file is one task's work as its text has no safe split; large exports belong in line-delimited form.
-    """
-    documents = spark.read.text(paths, wholetext=True)
-    return array_records(documents.select(F.col("_metadata.file_path").alias("file"), "value"))
+    """Files that each hold one JSON array or one object; large ones are read by many tasks (``arrays.elements``)."""
+    return arrays.elements(spark, paths)
 
 
 def avro_on_class_path() -> bool:
