@@ -30,14 +30,26 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+# a JSON string, or one of the number words that JSON does not know but log writers use
+_WORDS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(?<![A-Za-z0-9_])-?(?:NaN|Infinity)(?![A-Za-z0-9_])'
+
+
+def finite(raw: Column) -> Column:
+    """The text with the words ``NaN`` and ``Infinity`` outside strings as ``null``."""
+    marked = F.regexp_replace(raw, _WORDS, "$1\u0001")
+    named = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("null"))
+    return F.when(raw.rlike("NaN|Infinity") & ~raw.contains("\u0001"), named).otherwise(raw)
+
+
 def strictly(raw: Column) -> tuple[Column, Column]:
     """The text wrapped and parsed, and a test of the result that holds only if all of the text is one JSON value.
 
     The parser accepts text that merely starts with a value. Closed between a bracket and a number of its own, only a
-    whole value leaves exactly two elements, the second being that number.
+    whole value leaves exactly two elements, the second being that number. Of a repeated key the last value counts
+    (``session.configure``); numbers that are not finite become null.
     """
     own = F.xxhash64(raw)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), own.cast("string"), F.lit("]")))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), finite(raw), F.lit(","), own.cast("string"), F.lit("]")))
     return wrapped, lambda w: (F.try_variant_get(w, "$[1]", "bigint") == own) & F.try_variant_get(w, "$[2]", "variant").isNull()
 
 

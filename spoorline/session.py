@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # hub entities: split a skewed join even where that costs one more exchange
 SKEW = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"  # of a JSON object: the last one counts
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -25,6 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config(SKEW, "true")
+        .config(REPEATED_KEYS, "true")
     )
     if master:
         builder = builder.master(master)
@@ -38,12 +40,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def configure(spark: SparkSession) -> None:
     """Turns on the splitting of skewed joins in a session made elsewhere, and lets Python workers find this package.
 
-    Batches for Python workers get fewer rows than Spark's default, as a row may be a whole document.
+    Records with repeated keys are read. Batches for Python workers get fewer rows than Spark's default, as a row may be a whole document.
     """
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
-    if spark.conf.get(SKEW, "false") != "true":
-        spark.conf.set(SKEW, "true")
+    for key in (SKEW, REPEATED_KEYS):
+        if spark.conf.get(key, "false") != "true":
+            spark.conf.set(key, "true")
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))

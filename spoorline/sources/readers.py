@@ -120,17 +120,26 @@ def limit_files(files: DataFrame, n: int) -> DataFrame:
 
 
 def json_kinds(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """``lines``, ``whole`` or ``none`` per file: the first line of records decides, then the file as one document."""
+    """``lines``, ``whole`` or ``none`` per file.
+
+    A file is read by lines if the first line that may be a record is one. Otherwise it may be one document; else it is
+    read by lines if any line is a record, as logs that were cut while being written begin in the middle of one.
+    """
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))).alias("pos"),
     )
-    first = lines.where(~F.col("value").isin("", "[", "]", ",")).groupBy("file").agg(F.min_by("value", "pos").alias("raw"))
-    listed = [r["file"] for r in lines.select("file").distinct().collect()]  # one row per file, as the paths were given
-    by_line = {r["file"] for r in parse(first.withColumn("raw", F.regexp_replace("raw", r",$", ""))).select("file").collect()}
-    rest = [f for f in listed if f not in by_line]
-    whole = {r["file"] for r in read_json_array(spark, rest).select("file").distinct().collect()} if rest else set()
-    return {f: "lines" if f in by_line else "whole" if f in whole else "none" for f in listed}
+    marked = lines.where(~F.col("value").isin("", "[", "]", ",")).groupBy("file").agg(F.min_by("value", "pos").alias("raw"))
+    first = parse(marked.withColumn("raw", F.regexp_replace("raw", r",$", ""))).select("file", F.lit(True).alias("leads"))
+    # one row per file, as the paths were given
+    kinds = {r["file"]: "lines" if r["leads"] else "none" for r in lines.select("file").distinct().join(first, "file", "left").collect()}
+    rest = [f for f, kind in kinds.items() if kind == "none"]
+    if rest:
+        kinds.update({r["file"]: "whole" for r in read_json_array(spark, rest).select("file").distinct().collect()})
+    rest = [f for f, kind in kinds.items() if kind == "none"]
+    if rest:
+        kinds.update({r["file"]: "lines" for r in read_ndjson(spark, rest).select("file").distinct().collect()})
+    return kinds
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame | None, dict[str, int]]:
