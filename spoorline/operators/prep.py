@@ -217,42 +217,32 @@ def validate(events: DataFrame, nodes: DataFrame) -> DataFrame:
 def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:
     """``n`` different random non-edges per edge: same source, a node that the source never touches, not itself.
 
-    Where a source has fewer than ``n`` such nodes all of them are returned. A source that touches at most half of
-    the nodes draws until it has enough, every draw being free with a chance of a half at least; for the others the
-    free nodes are fewer than their edges, so they are listed and picked from.
+    Where a source has fewer than ``n`` such nodes all of them are returned. A source's free nodes are numbered without
+    being listed: an edge draws ``n`` of these numbers, one from each of ``n`` equal parts, and number k belongs to the
+    node whose code is k plus the taken codes that have at most k free ones below them. These are counted for all draws
+    at once by a running sum over draws and taken codes in one order, which spreads a source of any size.
     """
     codes = cut(global_rank(nodes.select(F.col("entity_key").alias("dst_key")).distinct(), ["dst_key"], "code"))
     total = codes.count()
-    wanted = edges.select("event_id", "src_key")
     # what a source must not draw: its targets and itself
-    taken = cut(
+    taken = (
         edges.select("src_key", "dst_key").unionByName(edges.select("src_key", F.col("src_key").alias("dst_key"))).distinct()
         .join(codes, "dst_key").select("src_key", "code")
     )
-    held = cut(taken.groupBy("src_key").agg(F.count(F.lit(1)).alias("held")))
-    dense = held.where(2 * F.col("held") > total)
-    free = (
-        dense.select("src_key", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)).cast("long"))).alias("code"))
-        .join(taken, ["src_key", "code"], "left_anti")
-    )
-    listed = group_rank(free, ["src_key"], ["code"], "r")
-    slots = F.explode(F.sequence(F.lit(0), F.least(F.lit(n).cast("long"), total - F.col("held")) - 1)).alias("slot")
-    start = F.pmod(F.xxhash64("event_id", F.lit(seed)), total - F.col("held"))
-    picked = (
-        wanted.join(dense.where(F.col("held") < total), "src_key").select("event_id", "src_key", "held", start.alias("start"), slots)
-        .withColumn("r", F.pmod(F.col("start") + F.col("slot"), total - F.col("held"))).join(listed, ["src_key", "r"]).select("event_id", "src_key", "code")
-    )
-    sparse = wanted.join(held.where(2 * F.col("held") <= total), "src_key").select(
-        "event_id", "src_key", F.explode(F.sequence(F.lit(1), F.least(F.lit(n).cast("long"), total - F.col("held")))).alias("slot"))
-    done, open_, turn = picked, cut(sparse), 0
-    while not open_.isEmpty():
-        drawn = open_.withColumn("code", F.pmod(F.xxhash64("event_id", "slot", F.lit(turn), F.lit(seed)), F.lit(total)))
-        fresh = drawn.join(taken, ["src_key", "code"], "left_anti").join(done.select("event_id", "code"), ["event_id", "code"], "left_anti")
-        # two slots of an edge that drew the same node: the first has it
-        got = cut(fresh.groupBy("event_id", "src_key", "code").agg(F.min("slot").alias("slot")))
-        done = done.unionByName(got.select("event_id", "src_key", "code"))
-        open_, turn = cut(open_.join(got.select("event_id", "slot"), ["event_id", "slot"], "left_anti")), turn + 1
-    return done.join(codes, "code").select("event_id", "src_key", "dst_key")
+    placed = cut(group_rank(taken, ["src_key"], ["code"], "i").select("src_key", (F.col("code") - F.col("i")).alias("at"), "code"))
+    held = cut(placed.groupBy("src_key").agg((F.lit(total) - F.count(F.lit(1))).alias("free")))
+    free = F.col("free")
+    parts = F.least(F.lit(n).cast("long"), free)
+    slots = edges.join(held.where("free > 0"), "src_key").select(
+        "event_id", "src_key", "free", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("slot"))
+    low, high = F.expr("slot * free div parts"), F.expr("(slot + 1) * free div parts")
+    drawn = slots.select("event_id", "src_key", "slot", (low + F.pmod(F.xxhash64("event_id", "slot", F.lit(seed)), high - low)).alias("at"))
+    marks = placed.select("src_key", "at", F.lit(0).alias("kind"), "code", F.lit(1).cast("long").alias("one")).unionByName(
+        drawn.select("src_key", "at", F.lit(1).alias("kind"), F.col("slot").alias("code"), F.lit(0).cast("long").alias("one"), "event_id"), allowMissingColumns=True)
+    counted = cut(running_sums(marks, ["src_key", "at", "kind", "code", "event_id"], {"below": "one"}))
+    before = cut(counted.groupBy("src_key").agg((F.max("below") - F.sum("one")).alias("before")))
+    picked = counted.where("kind = 1").join(before, "src_key").select("event_id", "src_key", (F.col("at") + F.col("below") - F.col("before")).alias("code"))
+    return picked.join(codes, "code").select("event_id", "src_key", "dst_key")
 
 
 def label_subset(df: DataFrame, ratio: float, seed: int = 42, key: str = "event_id") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,13 +140,24 @@ def semi_supervised_loss(df: DataFrame, reconstruction: str = "score", class_los
     return df.agg((F.avg(reconstruction) + F.coalesce(labelled, F.lit(0.0))).alias("loss"))
 
 
-def score_with_model(edges: DataFrame, fn: Callable, columns: Sequence[str], schema: str) -> DataFrame:
-    """A user model over Arrow batches of edge rows: ``fn(pandas batch) -> pandas batch`` of ``schema``.
+def score_with_model(edges: DataFrame, fn: Callable, columns: Sequence[str], schema: str, window: Sequence[str] = ()) -> DataFrame:
+    """Scores by a user's model, of ``schema``.
 
-    Batches are bounded by the Arrow batch size, so a window of any size streams through.
+    Without ``window`` the model sees rows one by one: ``fn(pandas batch) -> pandas batch``. With the columns that name
+    a window or graph it is called once for each, ``fn(key, iterator of Arrow batches) -> iterator of Arrow batches``:
+    all batches of a window come one after the other, so it may look at the whole graph, count before it scores, or
+    stream a window larger than memory. Windows are one task's work, as their model wants them; null keys are a window.
     """
-    def run(batches):
-        for batch in batches:
-            yield fn(batch)
+    if not window:
+        def run(batches):
+            for batch in batches:
+                yield fn(batch)
 
-    return edges.select(*columns).mapInPandas(run, schema)
+        return edges.select(*columns).mapInPandas(run, schema)
+
+    def whole(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(tuple(k.as_py() for k in key), batches)
+
+    # Spark reads the kind of function from the types themselves, not from their names
+    whole.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return edges.select(*{c: None for c in (*window, *columns)}).groupBy(*window).applyInArrow(whole, schema)

@@ -359,6 +359,26 @@ def score_with_model(spark, sf):
     return S.score_with_model(prov_events(spark, sf), model, ["event_id", "score", "label"], "event_id long, score double")
 
 
+@query("score_windows", pe("""select event_id, n as nodes, e as edges from (select *, cast(floor(ts_s/3600) as bigint) as w from pe)
+  join (select w, count(distinct v) as n from (select cast(floor(ts_s/3600) as bigint) as w, unnest([src_key, dst_key]) as v from pe) group by 1) using (w)
+  join (select cast(floor(ts_s/3600) as bigint) as w, count(*) as e from pe group by 1) using (w)"""))
+def score_windows(spark, sf):
+    """A model that needs whole windows: nodes and edges of each event's hour."""
+    def model(key, batches):
+        import pyarrow as pa
+
+        held, nodes = [], set()
+        for batch in batches:
+            nodes.update(batch.column("src_key").to_pylist(), batch.column("dst_key").to_pylist())
+            held.append(batch.column("event_id"))
+        edges = sum(map(len, held))
+        for ids in held:
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(nodes)] * len(ids)), pa.array([edges] * len(ids))], ["event_id", "nodes", "edges"])
+
+    hours = prov_events(spark, sf).withColumn("hour", F.floor(F.col("ts_s") / 3600))
+    return S.score_with_model(hours, model, ["event_id", "src_key", "dst_key"], "event_id long, nodes long, edges long", ["hour"])
+
+
 @query("knn_anomaly", """with u as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as vec from embeddings),
   d as (select a.vec_id, 1-list_dot_product(a.vec,b.vec)/(sqrt(list_dot_product(a.vec,a.vec))*sqrt(list_dot_product(b.vec,b.vec))) as d from u a, u b where b.label=0)
   select vec_id, round(avg(d),6) as score from (select * from d qualify row_number() over (partition by vec_id order by d)<=20) group by 1""")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spoorline.functions import vectors as V
@@ -102,3 +103,29 @@ def test_pluggable_model_streams_batches(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 0.5)
     out = S.score_with_model(df, lambda b: b[["id"]].assign(score=b["x"] + 1), ["id", "x"], "id long, score double")
     assert out.agg(F.sum("score")).first()[0] == 100 + 0.5 * 4950
+
+
+def test_a_model_sees_whole_windows_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = [(i, i % 3 if i % 5 else None, f"n{i % 11}", f"n{(i * 7) % 13}") for i in range(200)]
+    edges = spark.createDataFrame(rows, "event_id long, window_id int, src_key string, dst_key string")
+
+    def count_nodes(key, batches):
+        nodes, held, sizes = set(), [], []
+        for batch in batches:
+            sizes.append(batch.num_rows)
+            nodes.update(batch.column("src_key").to_pylist(), batch.column("dst_key").to_pylist())
+            held.append(batch.column("event_id"))
+        for ids in held:
+            yield pa.RecordBatch.from_arrays([ids, pa.array([float(len(nodes))] * len(ids)), pa.array([max(sizes)] * len(ids), pa.int64())], ["event_id", "score", "size"])
+
+    try:
+        got = S.score_with_model(edges, count_nodes, ["event_id", "src_key", "dst_key"], "event_id long, score double, size long", ["window_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for _, w, s, d in rows:
+        want.setdefault(w, set()).update((s, d))
+    assert {r.event_id: r.score for r in got} == {i: float(len(want[w])) for i, w, _, _ in rows}
+    assert max(r["size"] for r in got) <= 7
