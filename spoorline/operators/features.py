@@ -217,17 +217,48 @@ def text_features(df: DataFrame, column: str, key: str, dim: int = 256) -> DataF
     return found.join(seen, "i").select(key, "i", (F.col("__n") * idf).alias("x"))
 
 
-def text_embeddings(df: DataFrame, column: str, dim: int = 16, seed: int = 42, out: str = "w2v", **params) -> DataFrame:
-    """Word2Vec vector: mean of the word vectors of the whole text; every word counts, training runs in several tasks.
+def _signs(word: str, dim: int, seed: int) -> list[Column]:
+    """A word's random index vector of -1 and 1: one hexadecimal digit of an md5 per entry, 32 to a hash."""
+    hashes = [F.md5(F.concat_ws("|", F.col(word), F.lit(str(seed)), F.lit(str(i)))) for i in range((dim + 31) // 32)]
+    return [F.when(F.substring(hashes[i // 32], i % 32 + 1, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0)) for i in range(dim)]
 
-    The vocabulary is held by the driver, as Spark's trainer does; large corpora set ``minCount``.
-    """
-    from pyspark.ml.feature import Word2Vec
 
-    tokens = text_tokens(df, column, "__tokens")
-    settings = {"numPartitions": 8, "minCount": 1} | params
-    model = Word2Vec(inputCol="__tokens", outputCol=out, vectorSize=dim, seed=seed, **settings).fit(tokens)
-    return model.transform(tokens).drop("__tokens")
+def word_vectors(df: DataFrame, column: str, dim: int = 16, window: int = 2, seed: int = 42) -> DataFrame:
+    """``(word, vec)``: unit vectors by random indexing over all texts.
+
+    A word's vector adds up the index vectors of the words within ``window`` places of it, each weighed by how often
+    they meet over the root of how often the other word meets any. This is a random projection of the whole table of
+    co-occurrences, so words of like contexts lie close, and neither the table nor the vocabulary is held anywhere.
+    """
+    tokens = text_tokens(df.select(column), column, "__t").select("__t", F.size("__t").alias("__n"))
+    beside = [
+        F.arrays_zip(F.slice("__t", 1, F.greatest(F.col("__n") - o, F.lit(0))).alias("a"), F.slice("__t", o + 1, F.greatest(F.col("__n") - o, F.lit(0))).alias("b"))
+        for o in range(1, window + 1)
+    ]
+    met = tokens.select(F.explode(F.concat(*beside)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    met = cut(met)
+    both = met.select(F.col("a").alias("word"), F.col("b").alias("other"), "n").unionByName(met.select(F.col("b").alias("word"), F.col("a").alias("other"), "n"))
+    # the context words' side: one row per word
+    weights = both.groupBy("other").agg(F.sum("n").alias("all")).select(
+        "other", (1.0 / F.sqrt(F.col("all").cast("double"))).alias("weight"), F.array(*_signs("other", dim, seed)).alias("sign"))
+    pulls = both.join(weights, "other").withColumn("pull", F.col("n") * F.col("weight"))
+    sums = pulls.groupBy("word").agg(*[F.sum(F.col("pull") * F.col("sign")[i]).alias(f"x{i}") for i in range(dim)])
+    vec = F.array(*[F.col(f"x{i}") for i in range(dim)])
+    raw = sums.select("word", vec.alias("vec")).withColumn("len", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)))
+    return raw.select("word", F.transform("vec", lambda x: F.when(F.col("len") > 1e-12, x / F.col("len")).otherwise(F.lit(0.0))).alias("vec"))
+
+
+def text_embeddings(df: DataFrame, column: str, key: str, dim: int = 16, window: int = 2, seed: int = 42, out: str = "vec") -> DataFrame:
+    """``(key, out)``: mean of the word vectors over all words of the text, repeated ones as often as they occur.
+
+    Null and empty texts and texts of a lone unknown word get the zero vector. Texts of one key count as one text.
+    """
+    vectors = cut(word_vectors(df, column, dim, window, seed))
+    words = text_tokens(df.select(key, column), column, "__t").select(key, F.explode("__t").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = words.join(vectors, "word").groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("vec")[i]).alias(f"x{i}") for i in range(dim)])
+    mean = F.array(*[F.col(f"x{i}") / F.col("n") for i in range(dim)])
+    zero = F.array(*[F.lit(0.0)] * dim)
+    return df.select(key).distinct().join(sums.select(key, mean.alias(out)), key, "left").withColumn(out, F.coalesce(out, zero))
 
 
 def mask_features(df: DataFrame, key: str, vec: str, rate: float, seed: int = 42) -> DataFrame:

@@ -222,14 +222,14 @@ def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int =
     node whose code is k plus the taken codes that have at most k free ones below them. These are counted for all draws
     at once by a running sum over draws and taken codes in one order, which spreads a source of any size.
     """
-    codes = cut(global_rank(nodes.select(F.col("entity_key").alias("dst_key")).distinct(), ["dst_key"], "code"))
+    codes = global_rank(nodes.select(F.col("entity_key").alias("dst_key")).distinct(), ["dst_key"], "code")
     total = codes.count()
     # what a source must not draw: its targets and itself
     taken = (
         edges.select("src_key", "dst_key").unionByName(edges.select("src_key", F.col("src_key").alias("dst_key"))).distinct()
         .join(codes, "dst_key").select("src_key", "code")
     )
-    placed = cut(group_rank(taken, ["src_key"], ["code"], "i").select("src_key", (F.col("code") - F.col("i")).alias("at"), "code"))
+    placed = group_rank(taken, ["src_key"], ["code"], "i").select("src_key", (F.col("code") - F.col("i")).alias("at"), "code")
     held = cut(placed.groupBy("src_key").agg((F.lit(total) - F.count(F.lit(1))).alias("free")))
     free = F.col("free")
     parts = F.least(F.lit(n).cast("long"), free)
@@ -239,7 +239,7 @@ def negative_samples(edges: DataFrame, nodes: DataFrame, n: int = 1, seed: int =
     drawn = slots.select("event_id", "src_key", "slot", (low + F.pmod(F.xxhash64("event_id", "slot", F.lit(seed)), high - low)).alias("at"))
     marks = placed.select("src_key", "at", F.lit(0).alias("kind"), "code", F.lit(1).cast("long").alias("one")).unionByName(
         drawn.select("src_key", "at", F.lit(1).alias("kind"), F.col("slot").alias("code"), F.lit(0).cast("long").alias("one"), "event_id"), allowMissingColumns=True)
-    counted = cut(running_sums(marks, ["src_key", "at", "kind", "code", "event_id"], {"below": "one"}))
+    counted = running_sums(marks, ["src_key", "at", "kind", "code", "event_id"], {"below": "one"})
     before = cut(counted.groupBy("src_key").agg((F.max("below") - F.sum("one")).alias("before")))
     picked = counted.where("kind = 1").join(before, "src_key").select("event_id", "src_key", (F.col("at") + F.col("below") - F.col("before")).alias("code"))
     return picked.join(codes, "code").select("event_id", "src_key", "dst_key")

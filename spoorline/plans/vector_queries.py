@@ -393,17 +393,26 @@ def temporal_contrast(spark, sf):
     return N.temporal_contrast(windowed_vectors(spark, sf)).select("entity_key", "window_id", r6("loss").alias("loss"))
 
 
-@query("text_embeddings", "select doc_id, 8::bigint as size, true as finite from documents")
+_DIM = 8
+_TEXT_VECTORS = f"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') as t from documents),
+  p as (select unnest(list_zip(t[1:len(t)-1], t[2:])) as p from t union all select unnest(list_zip(t[1:len(t)-2], t[3:])) from t where len(t) > 2),
+  m as materialized (select p[1] as a, p[2] as b, count(*) as n from p where p[1] is not null and p[2] is not null group by 1, 2),
+  s as materialized (select a as word, b as other, n from m union all select b, a, n from m),
+  w as materialized (select other, 1.0 / sqrt(sum(n)::double) as weight, md5(other || '|42|0') as h from s group by 1),
+  v as materialized (select word, {", ".join(f"sum(n * weight * case when substr(h, {i + 1}, 1) < '8' then -1.0::double else 1.0::double end) as x{i}" for i in range(_DIM))} from s join w using (other) group by 1),
+  u as materialized (select word, sqrt({" + ".join(f"x{i}*x{i}" for i in range(_DIM))}) as len, [{", ".join(f"x{i}" for i in range(_DIM))}] as x from v),
+  c as (select doc_id, unnest(t) as word from t),
+  d as (select doc_id, {", ".join(f"sum(case when len > 1e-12 then x[{i + 1}] / len else 0 end) / count(*) as y{i}" for i in range(_DIM))} from c join u using (word) group by 1)
+  select doc_id, {", ".join(f"round(coalesce(y{i}, 0), 5) + 0 as y{i}" for i in range(_DIM))} from documents left join d using (doc_id)"""
+
+
+@query("text_embeddings", _TEXT_VECTORS)
 def text_embeddings(spark, sf):
-    """Shape and finiteness of the vectors; a trained value has no SQL form."""
-    from pyspark.ml.functions import vector_to_array
-
     from spoorline.operators.features import text_embeddings as embed
     from spoorline.plans.fixtures import table
 
-    trained = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", 8, maxIter=1).select("doc_id", vector_to_array("w2v").alias("vec"))
-    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
-    return trained.select("doc_id", F.size("vec").cast("long").alias("size"), finite.alias("finite"))
+    out = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id", _DIM)
+    return out.select("doc_id", *[(F.round(F.col("vec")[i], 5) + F.lit(0.0)).alias(f"y{i}") for i in range(_DIM)])
 
 
 @query("graph_to_metrics", pe("""select tn, fp, fn, tp, round(coalesce(tp/nullif(tp+fp,0),0),6) as precision, round(coalesce(tp/nullif(tp+fn,0),0),6) as recall, round(p95,6) as p95, round(auroc,6) as auroc

@@ -129,3 +129,17 @@ def test_a_model_sees_whole_windows_in_small_batches(spark):
         want.setdefault(w, set()).update((s, d))
     assert {r.event_id: r.score for r in got} == {i: float(len(want[w])) for i, w, _, _ in rows}
     assert max(r["size"] for r in got) <= 7
+
+
+def test_words_of_equal_contexts_lie_closer(spark):
+    animals = [f"the {a} {v} on the mat today" for a in ("cat", "dog") for v in ("sat", "slept", "ate")]
+    traffic = [f"a {c} {v} down some road quickly" for c in ("car", "bus") for v in ("drove", "raced", "rolled")]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(animals + traffic)] + [(100, None), (101, ""), (102, "lonely"), (103, "Dog"), (104, "cat!")], "id int, text string")
+    vec = {r.word: np.array(r.vec) for r in X.word_vectors(texts, "text", 64).collect()}
+    assert vec["cat"] @ vec["dog"] > 0.95 and vec["car"] @ vec["bus"] > 0.95
+    assert abs(vec["cat"] @ vec["car"]) < 0.6 and all(abs(v @ v - 1) < 1e-9 for v in vec.values())
+    out = {r.id: np.array(r.vec) for r in X.text_embeddings(texts, "text", "id", 64).collect()}
+    assert len(out) == texts.count() and all(not out[i].any() for i in (100, 101, 102))
+    assert np.allclose(out[103], vec["dog"]) and np.allclose(out[104], vec["cat"])
+    assert out[0] @ out[3] > out[0] @ out[7]
+    assert X.text_embeddings(texts.limit(0), "text", "id", 4).count() == 0
