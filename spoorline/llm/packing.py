@@ -41,15 +41,15 @@ def _byte_names() -> dict[int, str]:
 class WordIds:
     """Token ids of white-space separated words, remembered per word.
 
-    The vocabulary's rules never join text across white space, so a text's ids are its words' ids. Plain words skip
-    the tokenizer's normaliser, whose cost exceeds that of the merges, and go to its merge model part by part.
+    The vocabulary's rules never join text across white space and its special tokens hold none, so a text's ids are its
+    words' ids. Plain words skip the tokenizer's normaliser, whose cost exceeds that of the merges, and go to its merge
+    model part by part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.names = self.tokenizer.model, _byte_names()
         self.clear()
 
@@ -58,7 +58,8 @@ class WordIds:
         self.start, self.ids = array("q", [0]), array("I")
 
     def encode(self, word: str) -> list[int]:
-        if not PLAIN.fullmatch(word):
+        # special tokens are found in the text as it is, also inside a word
+        if "<|" in word or not PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         out = []
         for part in PARTS.findall(word.lower()):

@@ -220,3 +220,25 @@ def test_the_filter_never_loses_a_prefix(spark):
         passed = divergence.live_filter(spark.createDataFrame(rows, "lang string, prefix binary"))
     assert passed(divergence._hashes(["en", "de"], np.array([0] * 200 + [1]), [p for _, p in rows])).all()
     assert not passed(divergence._hashes(["en", "de"], np.array([1]), [rows[0][1]])).any()
+
+
+# packing: special tokens of the vocabulary in the text
+
+
+def test_special_tokens_in_texts_are_what_the_tokenizer_makes_of_them(spark):
+    from tokenizers import Tokenizer
+
+    from spoorline.llm import packing
+    from spoorline.llm.queries import tokenizer_path
+
+    texts = [
+        "a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y z", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "<|end of text|>", "a<|endoftext|", "<| plain |>",
+        "word<|startoftext|>'s don't", "\n<|endoftext|>\n", "é<|endoftext|>漢", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = Tokenizer.from_file(tokenizer_path())
+    got = {}
+    for r in packing.pack(docs, tokenizer_path()).collect():
+        got.setdefault(r["doc_id"], {})[r["start"]] = np.frombuffer(r["ids"], "<u4").tolist()
+    for i, text in enumerate(texts):
+        assert sum((got[i][k] for k in sorted(got[i])), []) == whole.encode(text or "", add_special_tokens=False).ids + [1], text
+    assert sum((got[0][k] for k in sorted(got[0])), []) == [320, 49407, 321, 1]
