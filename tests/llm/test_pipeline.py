@@ -1,11 +1,13 @@
 """The pipeline's stages on a small corpus, each against what was planted."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spoorline.session import shared_root
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,9 +62,13 @@ def test_stages_keep_clean_documents_and_drop_what_they_should(spark, corpus, tm
     assert set(ids(docs)) == set(clean + [106, 107])
 
 
-def test_run_equals_the_stages(spark, corpus):
+def test_run_equals_the_stages_and_leaves_no_tables(spark, corpus):
+    folder = Path(shared_root(spark).removeprefix("file:")) / "spoorline"
+    before = set(folder.iterdir()) if folder.exists() else set()
     out = corpus_pipeline.run(spark, corpus)
     assert set(ids(out)) == set(range(60)) | {106, 107}
+    assert set(folder.iterdir()) == before
+    assert out.where("length(ids) <> 4 * length or crc32(ids) <> ids_crc32").count() == 0
 
 
 def test_empty_corpus(spark, corpus):
