@@ -11,7 +11,7 @@ from spoorline.llm import decontaminate, langid, packing, secret_scan
 from spoorline.llm.ngram_join import jaccard_groups
 from spoorline.llm.queries import tokenizer_path
 from spoorline.llm.tables import crc_part, table
-from spoorline.session import configure, cut, stage
+from spoorline.session import configure, cut, frozen, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # a text is rejected if no learned language holds this share of its n-grams
@@ -69,9 +69,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens, with their ids as little-endian 32-bit integers and the crc32 of these."""
     configure(spark)
-    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
@@ -87,8 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared folder for the next."""
+    """All stages over ``documents``; what a stage keeps is written to the shared folder for the next and goes at the end."""
     configure(spark)
     *steps, last = [fn for _, fn in STAGES]
-    kept = reduce(lambda docs, fn: cut(fn(spark, docs, sf_dir)), steps, table(spark, sf_dir, "documents"))
-    return last(spark, kept, sf_dir)
+    with stage(spark):
+        kept = reduce(lambda docs, fn: cut(fn(spark, docs, sf_dir)), steps, table(spark, sf_dir, "documents"))
+        return frozen(last(spark, kept, sf_dir))

@@ -56,10 +56,15 @@ def configure(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    On a cluster a warehouse on the local disk is no such folder and is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+        if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

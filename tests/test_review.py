@@ -130,3 +130,18 @@ def test_streams_close_their_windows_and_order_their_records(spark, tmp_path):
     S.end_of_data(live, str(tmp_path / "end"))
     S.run_available(out, str(tmp_path / "counts"), str(tmp_path / "c2"))
     assert sorted((r["window_start"], r["n"]) for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [(0, 2), (3600, 1), (7200, 1)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = setCheckpointDir = lambda self, *path: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {"spark.sql.warehouse.dir": "file:/data/warehouse"}
+
+    with pytest.raises(RuntimeError):
+        shared_root(Session)
+    Session.conf = {"spark.sql.warehouse.dir": "hdfs://host/warehouse"}
+    assert shared_root(Session) == "hdfs://host/warehouse/_stages"
