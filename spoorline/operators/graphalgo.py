@@ -6,10 +6,13 @@ a lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorline.session import cut
+from spoorline.operators.ranking import global_rank
+from spoorline.session import bucketed, cut, stage
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src_key", dst: str = "dst_key") -> DataFrame:
@@ -44,80 +47,137 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     )
 
 
+PLAN_ROUNDS = 5
+# so few edges are one task's work in every round; buckets would only be more tasks
+SMALL_EDGES = 1_000_000
+
+
+def _received(edges: DataFrame, hot: DataFrame | None, ranks: DataFrame) -> DataFrame:
+    """What every edge brings to its ``dst_key``; hot sources' edges lie anywhere and meet their few ranks by broadcast."""
+    give = F.col("y") * F.col("share") + F.col("floor")
+    sent = edges.join(ranks, "src_key").select(F.col("dst_key").alias("src_key"), give.alias("y"))
+    if hot is None:
+        return sent
+    few = ranks.join(F.broadcast(hot.select("src_key").distinct()), "src_key", "left_semi")
+    return sent.unionByName(hot.join(F.broadcast(few), "src_key").select(F.col("dst_key").alias("src_key"), give.alias("y")))
+
+
 def pagerank(
-    edges: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_rounds: int = 100, check_every: int = 5
+    edges: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_rounds: int = 100, check_every: int = 5,
+    hot_share: float = 0.001, hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """PageRank over distinct ``(src_key, dst_key)`` pairs; sums to 1 with the mass of dangling nodes spread evenly.
 
     Spreading dangling mass evenly is a uniform term, so the iteration runs without it and the result is scaled
     to 1 at the end: same fixed point, no global sum inside the rounds.
+
+    More than ``SMALL_EDGES`` edges are stored once in sorted buckets of their source and are not exchanged again: a round's sums leave their
+    exchange with the layout of the buckets, so the next round joins in place, and its one exchange carries partial sums
+    per target. Sources with more than ``hot_rows`` edges and ``hot_share`` of all edges, fewer than 1 / ``hot_share``,
+    are kept apart, spread evenly; only their ranks are broadcast. Edges whose ends are not in ``nodes`` count for their source's share only.
     """
-    pairs = edges.select("src_key", "dst_key").distinct()
-    out = pairs.groupBy("src_key").agg((F.lit(float(damping)) / F.count(F.lit(1))).alias("share"))
-    weighted = cut(pairs.join(out, "src_key"))
-    everyone = cut(nodes.select(F.col("entity_key").alias("node")).distinct())
-    base = 1.0 - damping
-    ranks = everyone.withColumn("y", F.lit(base))
-    done, rounds = False, 0
-    while not done and rounds < max_rounds:
-        before = ranks
-        for _ in range(min(check_every, max_rounds - rounds)):
-            received = (
-                weighted.join(ranks, F.col("src_key") == F.col("node"))
-                .groupBy("dst_key").agg(F.sum(F.col("share") * F.col("y")).alias("r"))
-            )
-            ranks = everyone.join(received, F.col("node") == F.col("dst_key"), "left").select(
-                "node", (F.lit(base) + F.coalesce("r", F.lit(0.0))).alias("y")
-            )
-            rounds += 1
-        ranks = cut(ranks)
-        change = ranks.join(before.withColumnRenamed("y", "old"), "node").agg(
-            (F.sum(F.abs(F.col("y") - F.col("old"))) / F.sum("y")).alias("c")
-        ).first()["c"]
-        done = change is None or change < tol
+    spark = edges.sparkSession
+    with stage(spark) as scope:
+        pairs = cut(edges.select("src_key", "dst_key").distinct())
+        degree = pairs.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"))
+        total = pairs.count()
+        split = degree.select("src_key", (F.lit(float(damping)) / F.col("n")).alias("share"), ((F.col("n") > hot_share * total) & (F.col("n") > hot_rows)).alias("hot"))
+        split = cut(split)
+        everyone = cut(nodes.select(F.col("entity_key").alias("src_key")).distinct())
+        # a rank outside the nodes is never read nor returned
+        known = pairs.join(everyone.withColumnRenamed("src_key", "dst_key"), "dst_key", "left_semi")
+        # every node has a row to itself that brings no rank but the floor
+        floor = F.lit(1.0 - damping).alias("floor")
+        alone = everyone.select("src_key", F.col("src_key").alias("dst_key"), F.lit(0.0).alias("share"), floor)
+        shared = lambda sources: known.join(sources, "src_key").select("src_key", "dst_key", "share", F.lit(0.0).alias("floor"))
+        hot = None
+        few = split.where("hot").drop("hot")
+        if not few.isEmpty():
+            hot = cut(shared(F.broadcast(few)))
+        rows = shared(split.where("not hot").drop("hot")).unionByName(alone)
+        stored = bucketed(rows, "src_key") if total > SMALL_EDGES else cut(rows.coalesce(1))
+        ranks, done, rounds = everyone.withColumn("y", F.lit(1.0 - damping)), False, 0
+        while not done and rounds < max_rounds:
+            before, written = ranks, rounds
+            for _ in range(min(check_every, max_rounds - rounds)):
+                ranks = _received(stored, hot, ranks).groupBy("src_key").agg(F.sum("y").alias("y"))
+                rounds += 1
+                # a plan of few rounds; with hot sources a round reads the ranks twice
+                if hot is not None or rounds % PLAN_ROUNDS == 0:
+                    ranks, written = cut(ranks), rounds
+            if written != rounds:
+                ranks, written = cut(ranks), rounds
+            change = ranks.join(before.withColumnRenamed("y", "old"), "src_key").agg(
+                (F.sum(F.abs(F.col("y") - F.col("old"))) / F.sum("y")).alias("c")
+            ).first()["c"]
+            done = change is None or change < tol
+        ranks = scope.keep(ranks)
     total = ranks.agg(F.sum("y")).scalar()
-    return ranks.select(F.col("node").alias("entity_key"), (F.col("y") / total).alias("pagerank"))
+    return ranks.select(F.col("src_key").alias("entity_key"), (F.col("y") / total).alias("pagerank"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Normalised betweenness on the undirected simple graph, by level-wise path counting from all sources at once.
+def betweenness(edges: DataFrame, nodes: DataFrame, sources_at_once: int = 10_000) -> DataFrame:
+    """Normalised betweenness on the undirected simple graph, by level-wise path counting; exact.
 
-    Work and state grow with nodes × edges: meant for attack graphs, whose size the seed and fan limits bound.
+    ``sources_at_once`` sources are followed at a time: the state is at most nodes times that number of rows, and a block
+    of sources takes two rounds per level of its widest search; its tables go when it ends. A neighbour of a level lies in
+    that level, the one before or the next, so a search looks back two levels, however deep it is.
     """
-    pair = F.array(F.struct(F.col("src_key").alias("v"), F.col("dst_key").alias("w")), F.struct(F.col("dst_key").alias("v"), F.col("src_key").alias("w")))
-    links = cut(
-        edges.where(F.col("src_key") != F.col("dst_key")).select(F.explode(pair).alias("e")).select("e.v", "e.w").distinct()
-    )
-    everyone = nodes.select("entity_key").distinct()
-    frontier = cut(everyone.select(F.col("entity_key").alias("s"), F.col("entity_key").alias("v"), F.lit(1.0).alias("sigma")))
-    n = frontier.count()
-    levels, seen = [frontier], frontier.select("s", "v")
-    adjacency = links
+    spark = edges.sparkSession
+    with stage(spark) as scope:
+        pair = F.array(F.struct(F.col("src_key").alias("v"), F.col("dst_key").alias("w")), F.struct(F.col("dst_key").alias("v"), F.col("src_key").alias("w")))
+        links = cut(
+            edges.where(F.col("src_key") != F.col("dst_key")).select(F.explode(pair).alias("e")).select("e.v", "e.w").distinct()
+        )
+        everyone = cut(nodes.select("entity_key").distinct())
+        n = everyone.count()
+        blocks = [everyone] if n <= sources_at_once else _blocks(everyone, n, sources_at_once)
+        sums = []
+        for sources in blocks:
+            with stage(spark) as block:
+                found = _dependencies(links, sources)
+                if found is not None:
+                    sums.append(block.keep(found))
+        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        if not sums:
+            return scope.keep(everyone.withColumn("betweenness", F.lit(0.0)))
+        total = reduce(DataFrame.unionByName, sums).groupBy(F.col("v").alias("entity_key")).agg((F.sum("delta") * scale).alias("betweenness"))
+        return scope.keep(everyone.join(total, "entity_key", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0))))
+
+
+def _blocks(everyone: DataFrame, n: int, size: int) -> list[DataFrame]:
+    numbered = cut(global_rank(everyone, ["entity_key"], "number"))
+    return [numbered.where((F.col("number") >= i) & (F.col("number") < i + size)).select("entity_key") for i in range(0, n, size)]
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """``(v, delta)``: the dependencies of all ``sources`` on ``v``, summed; None if no source has a neighbour."""
+    level = cut(sources.select(F.col("entity_key").alias("s"), F.col("entity_key").alias("v"), F.lit(1.0).alias("sigma")))
+    levels = [level]
     while True:
-        nxt = cut(
-            frontier.join(adjacency, "v").groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))
-            .withColumnRenamed("w", "v").join(seen, ["s", "v"], "left_anti")
+        back = reduce(DataFrame.unionByName, [x.select("s", "v") for x in levels[-2:]])
+        level = cut(
+            levels[-1].join(links, "v").groupBy("s", "w").agg(F.sum("sigma").alias("sigma"))
+            .withColumnRenamed("w", "v").join(back, ["s", "v"], "left_anti")
         )
-        if nxt.isEmpty():
+        if level.isEmpty():
             break
-        levels.append(nxt)
-        seen, frontier = seen.unionByName(nxt.select("s", "v")), nxt
+        levels.append(level)
     total = None
     delta = levels[-1].withColumn("delta", F.lit(0.0))
     for i in range(len(levels) - 1, 0, -1):
         delta = cut(delta)
-        total = delta.select("v", "delta") if total is None else total.unionByName(delta.select("v", "delta"))
+        part = delta.groupBy("v").agg(F.sum("delta").alias("delta"))
+        total = part if total is None else total.unionByName(part)
+        if i == 1:
+            break  # what flows on to the sources themselves does not count
         share = delta.select("s", F.col("v").alias("w"), ((1.0 + F.col("delta")) / F.col("sigma")).alias("share"))
         received = (
-            share.join(adjacency, "w").join(levels[i - 1], ["s", "v"])
+            share.join(links, "w").join(levels[i - 1], ["s", "v"])
             .groupBy("s", "v").agg(F.sum(F.col("share") * F.col("sigma")).alias("delta"))
         )
         delta = levels[i - 1].join(received, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if total is None:
-        return everyone.withColumn("betweenness", F.lit(0.0))
-    sums = total.groupBy(F.col("v").alias("entity_key")).agg((F.sum("delta") * scale).alias("betweenness"))
-    return everyone.join(sums, "entity_key", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    return None if total is None else total.groupBy("v").agg(F.sum("delta").alias("delta"))
 
 
 def simple_paths(edges: DataFrame, key_nodes: DataFrame, cutoff: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from spoorline.operators import attack as K
 from spoorline.operators import graph as G
 from spoorline.operators import graphalgo as A
 from spoorline.operators.features import clustering_coefficient, degrees
+from spoorline.session import bucketed, stage
 
 
 def nodes_of(edges):
@@ -46,6 +47,31 @@ def test_pagerank_against_power_iteration(events):
     assert [got[v] for v in names] == pytest.approx(list(x), abs=1e-9)
 
 
+def test_pagerank_rounds_do_not_exchange_the_edges(spark, events):
+    edges, _ = random_edges(events, 40, 300, 4)
+    weighted = edges.select("src_key", "dst_key").distinct().withColumns({"share": A.F.lit(0.1), "floor": A.F.lit(0.0)})
+    with stage(spark):
+        stored, ranks = bucketed(weighted, "src_key"), nodes_of(edges).select(A.F.col("entity_key").alias("src_key"), A.F.lit(1.0).alias("y"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = A._received(stored, None, ranks)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(src_key") <= 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("spoorline_buckets")]
+
+
+def test_pagerank_with_hot_sources(events, monkeypatch):
+    monkeypatch.setattr(A, "SMALL_EDGES", 0)
+    rows = [("hub", f"n{i}", i) for i in range(60)] + [(f"n{i}", "hub", i) for i in range(0, 60, 7)] + [("n1", "n2", 1)]
+    edges = events(rows)
+    plain, hot = (
+        {r.entity_key: r.pagerank for r in A.pagerank(edges, nodes_of(edges), tol=1e-6, hot_share=0.1, hot_rows=rows).collect()} for rows in (10**6, 5)
+    )
+    assert plain.keys() == hot.keys() and all(hot[v] == pytest.approx(plain[v], abs=1e-9) for v in plain)
+    assert sum(hot.values()) == pytest.approx(1)
+
+
 def brute_betweenness(pairs):
     adj = {}
     for s, d in pairs:
@@ -88,6 +114,9 @@ def test_betweenness_against_brute_force(events):
     want = brute_betweenness(pairs)
     assert got.keys() == want.keys()
     assert all(got[v] == pytest.approx(want[v]) for v in want)
+    # sources in blocks of five
+    parts = {r.entity_key: r.betweenness for r in A.betweenness(edges, nodes_of(edges), 8).collect()}
+    assert parts == {v: pytest.approx(x) for v, x in want.items()}
 
 
 def test_simple_paths_against_brute_force(spark, events):
