@@ -74,6 +74,15 @@ def stream_dedupe(spark, sf):
     return finished(spark, out.select("src_key", "dst_key", "event_type"), "dedupe")
 
 
+@query("stream_dedupe_windows", pe("select distinct cast(floor(ts_s/3600)*3600 as bigint) as window_start, src_key, dst_key, event_type from pe"))
+def stream_dedupe_windows(spark, sf):
+    def build(events):
+        first = S.stream_dedupe_windows(events, ["src_key", "dst_key", "event_type"])
+        return first.where("event_id is not null").select(F.unix_seconds("window.start").alias("window_start"), "src_key", "dst_key", "event_type")
+
+    return closed(spark, sf, build, "dedupe-windows")
+
+
 @query("stream_sessions", pe("""select src_key, min(us) as session_start, max(us)+1800000000 as session_end, count(*) as n, max(score) as max_score from (
    select *, sum(brk) over (partition by src_key order by us) as s from (select *, case when us - lag(us) over (partition by src_key order by us) < 1800000000 then 0 else 1 end as brk
      from (select src_key, score, epoch_us(e.ts) as us from pe join events e using (event_id))))

@@ -73,6 +73,15 @@ def stream_dedupe(events: DataFrame, keys: list[str], delay: str = "1 hour") ->
     return with_event_time(events, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_dedupe_windows(events: DataFrame, keys: list[str], size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """One event per key and epoch-aligned window of event time, sent when it is first seen.
+
+    The state of a window leaves once the watermark has passed its end, so it holds the keys of the open windows only,
+    however long the stream runs; events later than that are dropped. Null keys are equal to each other.
+    """
+    return with_event_time(events, delay).withColumn("window", F.window("ts", size)).dropDuplicates([*keys, "window"])
+
+
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Activity sessions per source entity."""
     return (

@@ -39,6 +39,30 @@ def test_dedupe_and_sessions(spark, tmp_path):
     assert got == {("a", 0): (1810, 2), ("a", 4000): (5800, 1)}
 
 
+def test_dedupe_windows_forget_closed_windows(spark, tmp_path):
+    first = [row(0, 0), row(1, 10), row(2, 3700), row(3, 20, "z")]
+    stream = feed(spark, tmp_path / "in", [first])
+    out, folder, check = S.stream_dedupe_windows(stream, ["src_key"]), str(tmp_path / "d"), str(tmp_path / "ck")
+
+    def run():
+        query = (
+            out.select("event_id", "src_key", "ts_s").writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", check).trigger(availableNow=True).start(folder)
+        )
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        return state["numRowsTotal"]
+
+    run()
+    seen = lambda: sorted((r.src_key, r.ts_s // 3600) for r in spark.read.parquet(folder).collect())
+    # keys of open windows are known after a restart, closed windows leave the state, and their late events are dropped
+    feed(spark, tmp_path / "in", [[row(4, 3800), row(5, 50000)]])
+    assert run() == 1
+    feed(spark, tmp_path / "in", [[row(6, 30), row(7, 50010)]])
+    assert run() == 1
+    assert seen() == sorted([("a", 0), ("z", 0), ("a", 1), ("a", 13)])
+
+
 def test_alerts(spark, tmp_path):
     stream = feed(spark, tmp_path / "in", [[(0, "a", "b", "t", 0.0, 5.0), (1, "a", "b", "t", 0.0, 0.5), (2, "a", "b", "u", 0.0, 9.0)]])
     baseline = spark.createDataFrame([("t", 1.0)], "event_type string, threshold double")
