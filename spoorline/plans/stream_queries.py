@@ -74,11 +74,11 @@ def stream_dedupe(spark, sf):
     return finished(spark, out.select("src_key", "dst_key", "event_type"), "dedupe")
 
 
-@query("stream_dedupe_windows", pe("select distinct cast(floor(ts_s/3600)*3600 as bigint) as window_start, src_key, dst_key, event_type from pe"))
+@query("stream_dedupe_windows", pe("select distinct cast(floor(ts_s/3600)*3600 as bigint) as window_start, dst_key, event_type from pe"))
 def stream_dedupe_windows(spark, sf):
     def build(events):
-        first = S.stream_dedupe_windows(events, ["src_key", "dst_key", "event_type"])
-        return first.where("event_id is not null").select(F.unix_seconds("window.start").alias("window_start"), "src_key", "dst_key", "event_type")
+        first = S.stream_dedupe_windows(events, ["dst_key", "event_type"])
+        return first.where("event_id is not null").select(F.unix_seconds("window.start").alias("window_start"), "dst_key", "event_type")
 
     return closed(spark, sf, build, "dedupe-windows")
 
