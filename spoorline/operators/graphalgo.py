@@ -52,10 +52,15 @@ PLAN_ROUNDS = 5
 SMALL_EDGES = 1_000_000
 
 
-def _received(edges: DataFrame, hot: DataFrame | None, ranks: DataFrame) -> DataFrame:
+def _unsent(df: DataFrame, large: bool) -> DataFrame:
+    """Keeps a join's sides from the driver: stored keys are small by their files' size and many times that as a broadcast."""
+    return df.hint("merge") if large else df
+
+
+def _received(edges: DataFrame, hot: DataFrame | None, ranks: DataFrame, large: bool = False) -> DataFrame:
     """What every edge brings to its ``dst_key``; hot sources' edges lie anywhere and meet their few ranks by broadcast."""
     give = F.col("y") * F.col("share") + F.col("floor")
-    sent = edges.join(ranks, "src_key").select(F.col("dst_key").alias("src_key"), give.alias("y"))
+    sent = edges.join(_unsent(ranks, large), "src_key").select(F.col("dst_key").alias("src_key"), give.alias("y"))
     if hot is None:
         return sent
     few = ranks.join(F.broadcast(hot.select("src_key").distinct()), "src_key", "left_semi")
@@ -74,18 +79,19 @@ def pagerank(
     More than ``SMALL_EDGES`` edges are stored once in sorted buckets of their source and are not exchanged again: a round's sums leave their
     exchange with the layout of the buckets, so the next round joins in place, and its one exchange carries partial sums
     per target. Sources with more than ``hot_rows`` edges and ``hot_share`` of all edges, fewer than 1 / ``hot_share``,
-    are kept apart, spread evenly; only their ranks are broadcast. Edges whose ends are not in ``nodes`` count for their source's share only.
+    are kept apart, spread evenly; only their ranks are broadcast, and neither the other ranks nor the edges reach the driver. Edges whose ends are not in ``nodes`` count for their source's share only.
     """
     spark = edges.sparkSession
     with stage(spark) as scope:
         pairs = cut(edges.select("src_key", "dst_key").distinct())
         degree = pairs.groupBy("src_key").agg(F.count(F.lit(1)).alias("n"))
         total = pairs.count()
+        large = total > SMALL_EDGES
         split = degree.select("src_key", (F.lit(float(damping)) / F.col("n")).alias("share"), ((F.col("n") > hot_share * total) & (F.col("n") > hot_rows)).alias("hot"))
         split = cut(split)
         everyone = cut(nodes.select(F.col("entity_key").alias("src_key")).distinct())
         # a rank outside the nodes is never read nor returned
-        known = pairs.join(everyone.withColumnRenamed("src_key", "dst_key"), "dst_key", "left_semi")
+        known = pairs.join(_unsent(everyone.withColumnRenamed("src_key", "dst_key"), large), "dst_key", "left_semi")
         # every node has a row to itself that brings no rank but the floor
         floor = F.lit(1.0 - damping).alias("floor")
         alone = everyone.select("src_key", F.col("src_key").alias("dst_key"), F.lit(0.0).alias("share"), floor)
@@ -94,20 +100,20 @@ def pagerank(
         few = split.where("hot").drop("hot")
         if not few.isEmpty():
             hot = cut(shared(F.broadcast(few)))
-        rows = shared(split.where("not hot").drop("hot")).unionByName(alone)
-        stored = bucketed(rows, "src_key") if total > SMALL_EDGES else cut(rows.coalesce(1))
+        rows = shared(_unsent(split.where("not hot").drop("hot"), large)).unionByName(alone)
+        stored = bucketed(rows, "src_key") if large else cut(rows.coalesce(1))
         ranks, done, rounds = everyone.withColumn("y", F.lit(1.0 - damping)), False, 0
         while not done and rounds < max_rounds:
             before, written = ranks, rounds
             for _ in range(min(check_every, max_rounds - rounds)):
-                ranks = _received(stored, hot, ranks).groupBy("src_key").agg(F.sum("y").alias("y"))
+                ranks = _received(stored, hot, ranks, large).groupBy("src_key").agg(F.sum("y").alias("y"))
                 rounds += 1
                 # a plan of few rounds; with hot sources a round reads the ranks twice
                 if hot is not None or rounds % PLAN_ROUNDS == 0:
                     ranks, written = cut(ranks), rounds
             if written != rounds:
                 ranks, written = cut(ranks), rounds
-            change = ranks.join(before.withColumnRenamed("y", "old"), "src_key").agg(
+            change = ranks.join(_unsent(before.withColumnRenamed("y", "old"), large), "src_key").agg(
                 (F.sum(F.abs(F.col("y") - F.col("old"))) / F.sum("y")).alias("c")
             ).first()["c"]
             done = change is None or change < tol

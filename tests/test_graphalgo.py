@@ -72,6 +72,15 @@ def test_pagerank_with_hot_sources(events, monkeypatch):
     assert sum(hot.values()) == pytest.approx(1)
 
 
+def test_pagerank_of_many_edges_broadcasts_neither_edges_nor_ranks(events, monkeypatch):
+    plans, write = [], A.cut
+    monkeypatch.setattr(A, "SMALL_EDGES", 0)
+    monkeypatch.setattr(A, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    edges, _ = random_edges(events, 30, 120, 5)
+    assert A.pagerank(edges, nodes_of(edges), tol=1e-6).count() == nodes_of(edges).count()
+    assert any("Join" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
 def brute_betweenness(pairs):
     adj = {}
     for s, d in pairs:
