@@ -1,6 +1,6 @@
 """Resolution of streamed audit events by keyed state: a uuid's entity and the events that wait for it.
 
-Two queries follow each other, one per side of an event. Each keeps, per uuid, the name of its entity and the events
+Two queries follow each other, one per side of an event. Each keeps, in slots of many uuids and per uuid, the name of its entity and the events
 that came before it; entities pass through the first query to the second. An event that waits longer than allowed is
 rejected. No batch reads what earlier batches wrote, and hot uuids are dealt out over several keys.
 """
@@ -24,67 +24,104 @@ PARTS = 8
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLOTS = 512  # keys of state; a change needs a new checkpoint
+NOTHING = (None, None, None, 0, 0)
+COLUMNS = ["kind", "uuid", "file", "pos", "name", "event"]
 OUT = "kind string, uuid string, file string, pos long, name string, event string"
 
 
 class Waiting(StatefulProcessor):
-    """Key ``(uuid, part)``; state: the newest name of the uuid's entity, and open events with their deadline."""
+    """Key ``slot``; state per ``(uuid, part)`` of the slot: the newest name of the uuid's entity, and open events in chunks.
+
+    A call costs far more than a row, so a key stands for many uuids. A batch's open events of one uuid are one chunk;
+    the uuid knows its first and next chunk, and the deadline knows the chunks that it ends.
+    """
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.name = handle.getValueState("name", "file string, pos long, name string")
-        self.open = handle.getListState("open", "deadline long, file string, pos long, event string")
+        own = "uuid string, part int"
+        # read once and written once per uuid and batch: the newest record, or the first and next chunk of a uuid without one
+        self.seen = handle.getMapState("seen", own, "file string, pos long, name string, low long, high long")
+        self.chunks = handle.getMapState("chunks", f"{own}, n long", "rows array<struct<file: string, pos: long, event: string>>")
+        self.due = handle.getMapState("due", "deadline long", "chunks array<struct<uuid: string, part: int, n: long>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        uuid, part = key
-        held = self.name.get() if self.name.exists() else None
-        newest, events = held, []
+        last, events = {}, {}
         for frame in rows:
             is_entity = frame["kind"] == "entity"
-            entities = frame[is_entity]
-            if len(entities):
-                if part == 0:
-                    yield self._frame(uuid, "entity", zip(entities["file"], entities["pos"], entities["name"], entities["event"]))
-                last = max(zip(entities["file"], entities["pos"].astype(int), entities["name"]))
-                newest = max(newest, last) if newest else last
-            own = frame[~is_entity]
-            events.extend(zip(own["file"], own["pos"].astype(int), own["event"]))
-        if newest and newest != held:
-            self.name.update(newest)
-        if newest:
-            waited = []
-            if held is None and self.open.exists():
-                waited = [(file, pos, event) for _, file, pos, event in self.open.get()]
-                self.open.clear()
-            if waited or events:
-                yield self._frame(uuid, "known", ((file, pos, newest[2], event) for file, pos, event in [*waited, *events]))
-        elif events:
-            deadline = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
-            self.open.appendList([(deadline, *e) for e in events])
-            self.handle.registerTimer(deadline)
+            entities, own = frame[is_entity], frame[~is_entity]
+            sent = entities[entities["part"] == 0]
+            if len(sent):
+                yield sent[COLUMNS]
+            for uuid, part, *record in zip(*(entities[c].tolist() for c in ("uuid", "part", "file", "pos", "name"))):
+                last[uuid, part] = max(last.get((uuid, part), ()), tuple(record))
+            for uuid, part, *event in zip(*(own[c].tolist() for c in ("uuid", "part", "file", "pos", "event"))):
+                events.setdefault((uuid, part), []).append(tuple(event))
+        known, late = [], []
+        for at in {**last, **events}:
+            *held, low, high = self.seen.getValue(at) or NOTHING
+            held = tuple(held) if held[2] is not None else ()
+            newest = max(held, last.get(at, ()))
+            if newest != held:
+                self.seen.updateValue(at, (*newest, 0, 0))
+            if newest:
+                waited = self._waited(at, low, high)
+                known.extend((at[0], file, pos, newest[2], event) for file, pos, event in [*waited, *events.get(at, [])])
+            else:
+                late.append((at, low, high))
+        if known:
+            yield self._frame("known", known)
+        if late:
+            self._wait(late, events, timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def _waited(self, at: tuple, low: int, high: int) -> list[tuple]:
+        """The open events of a uuid, which are open no more."""
+        out = []
+        for n in range(low, high):
+            out.extend(tuple(r) for r in self.chunks.getValue((*at, n))[0])
+            self.chunks.removeKey((*at, n))
+        return out
+
+    def _wait(self, late: list[tuple], events: dict, deadline: int) -> None:
+        ends = self.due.getValue((deadline,))
+        ends = [tuple(c) for c in ends[0]] if ends else []
+        for at, low, high in late:
+            self.chunks.updateValue((*at, high), (events[at],))
+            self.seen.updateValue(at, (None, None, None, low, high + 1))
+            ends.append((*at, high))
+        self.due.updateValue((deadline,), (ends,))
+        self.handle.registerTimer(deadline)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
+        deadline = (expiredTimerInfo.getExpiryTimeInMs(),)
+        ends = self.due.getValue(deadline)
+        if ends is None:
             return
-        now, rows = expiredTimerInfo.getExpiryTimeInMs(), list(self.open.get())
-        left = [tuple(r) for r in rows if r[0] > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        gone = [(file, pos, None, event) for deadline, file, pos, event in rows if deadline <= now]
+        gone = []
+        for uuid, part, n in ends[0]:
+            *_, low, high = self.seen.getValue((uuid, part)) or NOTHING
+            if not low <= n < high:
+                continue  # resolved since
+            rows = self.chunks.getValue((uuid, part, n))[0]
+            gone.extend((uuid, r[0], r[1], None, r[2]) for r in rows)
+            self.chunks.removeKey((uuid, part, n))
+            if n + 1 < high:
+                self.seen.updateValue((uuid, part), (None, None, None, n + 1, high))
+            else:
+                self.seen.removeKey((uuid, part))
+        self.due.removeKey(deadline)
         if gone:
-            yield self._frame(key[0], "rejected", gone)
+            yield self._frame("rejected", gone)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _frame(uuid, kind: str, rows) -> pd.DataFrame:
-        frame = pd.DataFrame([(kind, uuid, *r) for r in rows], columns=["kind", "uuid", "file", "pos", "name", "event"])
+    def _frame(kind: str, rows) -> pd.DataFrame:
+        frame = pd.DataFrame([(kind, *r) for r in rows], columns=COLUMNS)
         return frame.astype({"pos": "int64"})
 
 
@@ -95,7 +132,8 @@ def _await_names(rows: DataFrame, wait_ms: int, parts: int) -> DataFrame:
     # an empty uuid names nothing, so it can stand for none
     rows = rows.withColumn("uuid", F.coalesce("uuid", F.lit("")))
     dealt = rows.withColumn("part", F.explode(F.when(F.col("kind") == "entity", every).otherwise(one)))
-    return dealt.groupBy("uuid", "part").transformWithStateInPandas(Waiting(wait_ms), OUT, "Append", "ProcessingTime")
+    slots = dealt.withColumn("slot", F.pmod(F.xxhash64("uuid", "part"), F.lit(SLOTS)).cast("int"))
+    return slots.groupBy("slot").transformWithStateInPandas(Waiting(wait_ms), OUT, "Append", "ProcessingTime")
 
 
 def _start(df: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:

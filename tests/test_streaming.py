@@ -1,6 +1,7 @@
 import json
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spoorline.streaming import resolve
@@ -90,6 +91,46 @@ class Audit:
         return sorted((r.event_id, r.missing_uuid) for r in resolve.rejected(self.spark, str(self.folder / "t")).collect())
 
 
+class Held(dict):
+    """Map state in memory."""
+
+    getValue, updateValue = dict.get, dict.__setitem__
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def test_one_call_resolves_many_uuids():
+    states, timers = {}, []
+
+    class Handle:
+        def getMapState(self, name, *_):
+            return states.setdefault(name, Held())
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    def call(now, *rows):
+        frame = pd.DataFrame(rows, columns=["kind", "uuid", "file", "pos", "name", "event", "part"])
+        return [tuple(r[1:]) for out in one.handleInputRows((7,), iter([frame]), Clock(now)) for r in out.itertuples()]
+
+    one = resolve.Waiting(10)
+    one.init(Handle())
+    assert call(100, ("event", "a", "f", 1, None, "e1", 0), ("event", "b", "f", 2, None, "e2", 0), ("event", "a", "f", 3, None, "e3", 1)) == []
+    assert call(105, ("event", "b", "f", 4, None, "e4", 0)) == [] and timers == [110, 115]
+    got = call(106, ("event", "a", "f", 6, None, "e5", 0), ("entity", "a", "f", 5, "A", None, 0), ("entity", "c", "f", 7, "C", None, 1), ("entity", "a", "f", 4, "old", None, 0))
+    assert [r for r in got if r[0] == "entity"] == [("entity", "a", "f", 5, "A", None), ("entity", "a", "f", 4, "old", None)]
+    assert [r for r in got if r[0] != "entity"] == [("known", "a", "f", 1, "A", "e1"), ("known", "a", "f", 6, "A", "e5")]
+    gone = [tuple(r[1:]) for at in timers for out in one.handleExpiredTimer((7,), None, Clock(at)) for r in out.itertuples()]
+    assert gone == [("rejected", "b", "f", 2, None, "e2"), ("rejected", "a", "f", 3, None, "e3"), ("rejected", "b", "f", 4, None, "e4")]
+    assert not states["chunks"] and not states["due"] and sorted(states["seen"]) == [("a", 0), ("c", 1)]
+
+
 def ref(uuid):
     return {P + "UUID": uuid}
 
