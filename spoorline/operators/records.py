@@ -100,7 +100,10 @@ def detect_format(records: DataFrame) -> DataFrame:
 
 
 def with_format(records: DataFrame) -> DataFrame:
-    return records.join(cut(detect_format(records)), "file")
+    """Adds the format of the record's file. The parsed records are stored once: formats and all later readers read that."""
+    stored = cut(records.withColumn("__own", record_format(F.col("v"))))
+    formats = cut(stored.groupBy("file").agg(F.min_by("__own", "pos").alias("format")))
+    return stored.drop("__own").join(formats, "file")
 
 
 def limit_records_per_file(records: DataFrame, n: int) -> DataFrame:

@@ -213,3 +213,17 @@ def test_read_many_keeps_files_with_a_broken_first_line(spark, tmp_path):
         records, counts = readers.read_many(spark, [str(tmp_path / f"{n}.json") for n in ("cut", "pretty", "none")])
         assert counts == {"read": 2, "missing": 0, "failed": 1}
         assert records.count() == 101
+
+
+def test_mixed_records_are_made_and_parsed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def row(n):
+        made.add(1)
+        ecs_like = {"@timestamp": 5 + n, "event": {"action": "a", "category": "file"}, "file": {"path": "/x"}}
+        return "ec"[n % 2], n, json.dumps({"timestamp": 5 + n, "source": "a", "target": "b"} if n % 2 else ecs_like)
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(row), "file string, pos long, raw string")
+    events, entities = normalize(R.parse(rows))
+    assert sorted(map(tuple, events.groupBy("file").count().collect())) == [("c", 20), ("e", 20)]
+    assert entities.count() == 80 and made.value == 40
