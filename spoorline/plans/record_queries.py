@@ -418,14 +418,18 @@ def ndjson_tolerant(spark, sf):
 
 @query("json_array", of("select cast(event_id//100 as varchar) as file, row_number() over (partition by event_id//100 order by event_id)-1 as pos, event_type from b"))
 def json_array(spark, sf):
-    chunks = raw_ecs(spark, sf).groupBy(F.floor(F.col("pos") / 100).cast("string").alias("file")).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("pos", "raw")))["raw"], ",\n").alias("body")
-    )
+    def chunks(rows):
+        return rows.groupBy(F.floor(F.col("pos") / 100).cast("string").alias("file")).agg(
+            F.array_join(F.sort_array(F.collect_list(F.struct("pos", "raw")))["raw"], ",\n").alias("body")
+        )
+
     path = scratch_path(spark, "arrays")
     # one pretty-printed array per file, and files that only start like one
     body = F.concat(F.lit("[\n"), "body", F.lit("\n]"))
-    chunks.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", "\n").text(path)
-    chunks.limit(1).select(F.lit("broken").alias("file"), F.concat(body, F.lit("]")).alias("value")).write.mode("append").partitionBy("file").text(path)
+    out = chunks(raw_ecs(spark, sf)).select("file", body.alias("value")).write.partitionBy("file")
+    # tasks put their files in place themselves, the driver does not move one after the other
+    out.option("lineSep", "\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    chunks(raw_ecs(spark, sf).limit(100)).limit(1).select(F.lit("broken").alias("file"), F.concat(body, F.lit("]")).alias("value")).write.mode("append").partitionBy("file").text(path)
     records = readers.read_json_array(spark, path)
     return records.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "pos", R.get("v", "event", "action").alias("event_type"))
 

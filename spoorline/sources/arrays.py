@@ -165,14 +165,21 @@ def _pieces(shared):
     return run
 
 
+# as bytes, the time to open a file; with Spark's 4 MB a task gets one or two small files and is mostly its own start
+OPEN_COST = 1 << 16
+
+
 @contextmanager
-def _same_blocks(spark: SparkSession, paths: str | Sequence[str]) -> Iterator[int]:
-    """Holds the block size for both passes: Spark's own choice follows from the files that a scan happens to read."""
+def _same_blocks(spark: SparkSession, read: DataFrame) -> Iterator[int]:
+    """Holds the block size for both passes: Spark's own choice follows from the files that a scan happens to read.
+
+    The files were listed for ``read``, whose plan knows their size; small files are packed into few tasks.
+    """
     conf, names = spark.conf, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     most, least = (spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(n)) for n in names)
-    total = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+    total = int(str(read._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     size = min(most, max(least, total // spark.sparkContext.defaultParallelism))
-    own = {names[0]: str(size), "spark.sql.files.minPartitionNum": "1"}
+    own = {names[0]: str(size), names[1]: str(min(least, OPEN_COST)), "spark.sql.files.minPartitionNum": "1"}
     before = {key: conf.get(key, None) for key in own}
     for key, value in own.items():
         conf.set(key, value)
@@ -191,9 +198,10 @@ def elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     several blocks one entry per block reaches the driver. An element must fit into a task's memory, the file need not.
     """
     configure(spark)
-    lines = spark.read.text(paths, lineSep=",").select(
+    read = spark.read.text(paths, lineSep=",")
+    lines = read.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
-    with _same_blocks(spark, paths) as size:
+    with _same_blocks(spark, read) as size:
         # files of one block begin at depth 0 and need no first pass
         effects = lines.where(F.col("size") > size).mapInArrow(_effects, EFFECT).collect()
         shared = spark.sparkContext.broadcast(starts_of([r.asDict() for r in effects]))

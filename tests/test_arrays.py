@@ -6,7 +6,7 @@ import random
 import pytest
 
 from spoorline.session import stage
-from spoorline.sources import readers
+from spoorline.sources import arrays, readers
 
 
 def value(rng, depth=0):
@@ -75,3 +75,12 @@ def test_a_large_array_is_read_by_many_tasks(spark, tmp_path, small_blocks):
         assert spark.read.text(str(tmp_path), lineSep=",").rdd.getNumPartitions() > 10
         got = {r.pos: json.loads(r.raw) for r in readers.read_json_array(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(rows))
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    tasks, write = [], arrays.cut
+    monkeypatch.setattr(arrays, "cut", lambda df: (tasks.append(df.rdd.getNumPartitions()), write(df))[1])
+    for i in range(60):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"n": i}, {"n": -i}]))
+    rows = readers.read_json_array(spark, str(tmp_path)).select("file", "pos").collect()
+    assert len(set(map(tuple, rows))) == 120 and tasks[0] <= 8
