@@ -125,6 +125,12 @@ def json_kinds(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
     A file is read by lines if the first line that may be a record is one. Otherwise it may be one document; else it is
     read by lines if any line is a record, as logs that were cut while being written begin in the middle of one.
     """
+    return _kinds(spark, paths)[0]
+
+
+def _kinds(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[str, str], DataFrame | None]:
+    """``json_kinds``, and the records of the ``whole`` files, which are known by having been read."""
+    whole = None
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))).alias("pos"),
@@ -135,11 +141,12 @@ def json_kinds(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
     kinds = {r["file"]: "lines" if r["leads"] else "none" for r in lines.select("file").distinct().join(first, "file", "left").collect()}
     rest = [f for f, kind in kinds.items() if kind == "none"]
     if rest:
-        kinds.update({r["file"]: "whole" for r in read_json_array(spark, rest).select("file").distinct().collect()})
+        whole = read_json_array(spark, rest)
+        kinds.update({r["file"]: "whole" for r in whole.select("file").distinct().collect()})
     rest = [f for f, kind in kinds.items() if kind == "none"]
     if rest:
         kinds.update({r["file"]: "lines" for r in read_ndjson(spark, rest).select("file").distinct().collect()})
-    return kinds
+    return kinds, whole
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame | None, dict[str, int]]:
@@ -165,16 +172,17 @@ def read_many(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame | No
             except (AnalysisException, PySparkException):
                 pass
         texts.append(path)
-    kinds = json_kinds(spark, texts) if texts else {}
+    kinds, whole = _kinds(spark, texts) if texts else ({}, None)
     for path in texts:
         root = qualified(spark, path)
         held = {kind for file, kind in kinds.items() if file == root or file.startswith(root + "/")}
         counts["read" if held - {"none"} else "failed"] += 1
-    for kind, reader in (("lines", read_ndjson), ("whole", read_json_array)):
-        files = [file for file, own in kinds.items() if own == kind]
-        if files:
-            records = reader(spark, files)
-            out = records if out is None else out.unionByName(records)
+    files = [file for file, kind in kinds.items() if kind == "lines"]
+    found = [read_ndjson(spark, files)] if files else []
+    if "whole" in kinds.values():
+        found.append(whole)
+    for records in found:
+        out = records if out is None else out.unionByName(records)
     return out, counts
 
 

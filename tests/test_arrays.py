@@ -84,3 +84,13 @@ def test_many_small_files_are_few_tasks(spark, tmp_path, monkeypatch):
         (tmp_path / f"{i}.json").write_text(json.dumps([{"n": i}, {"n": -i}]))
     rows = readers.read_json_array(spark, str(tmp_path)).select("file", "pos").collect()
     assert len(set(map(tuple, rows))) == 120 and tasks[0] <= 8
+
+
+def test_read_many_cuts_arrays_once(spark, tmp_path, monkeypatch):
+    calls, elements = [], arrays.elements
+    monkeypatch.setattr(arrays, "elements", lambda *a: (calls.append(a), elements(*a))[1])
+    (tmp_path / "a.json").write_text('[\n{"n": 1},\n{"n": 2}\n]')
+    (tmp_path / "l.json").write_text('rest": 1}\n{"n": 3}')
+    records, counts = readers.read_many(spark, [str(tmp_path / n) for n in ("a.json", "l.json")])
+    assert sorted(json.loads(r.raw)["n"] for r in records.collect()) == [1, 2, 3] and counts["read"] == 2
+    assert len(calls) == 1
