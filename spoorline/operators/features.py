@@ -217,45 +217,90 @@ def text_features(df: DataFrame, column: str, key: str, dim: int = 256) -> DataF
     return found.join(seen, "i").select(key, "i", (F.col("__n") * idf).alias("x"))
 
 
-def _signs(word: str, dim: int, seed: int) -> list[Column]:
-    """A word's random index vector of -1 and 1: one hexadecimal digit of an md5 per entry, 32 to a hash."""
-    hashes = [F.md5(F.concat_ws("|", F.col(word), F.lit(str(seed)), F.lit(str(i)))) for i in range((dim + 31) // 32)]
-    return [F.when(F.substring(hashes[i // 32], i % 32 + 1, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0)) for i in range(dim)]
+# a table that is sent to all tasks holds this many numbers at most
+SENT_NUMBERS = 1 << 21
+
+
+def _contexts(df: DataFrame, column: str, window: int) -> DataFrame:
+    """``(word, o1, o2, ...)``: every place of a word with the words within ``window`` places of it, null beyond the text."""
+    moved = [F.col("__t")]
+    for o in range(1, window + 1):
+        moved += [F.concat(F.array_repeat(F.lit(None).cast("string"), o), "__t"), F.slice("__t", o + 1, F.greatest(F.size("__t") - o, F.lit(0)))]
+    names = ["word", *[f"o{i}" for i in range(1, len(moved))]]
+    zipped = F.arrays_zip(*[m.alias(n) for m, n in zip(moved, names)])
+    tokens = text_tokens(df.select(column), column, "__t").where(F.size("__t") > 1)
+    return tokens.select(F.inline(zipped).alias(*names)).where("word is not null")
+
+
+def _sign_bits(word: str, dim: int, seed: int) -> list[Column]:
+    """A word's random index vector: hexadecimal digits of md5s, 15 to a long; an entry's sign is the first bit of its digit."""
+    digits = F.concat(*[F.md5(F.concat_ws("|", F.col(word), F.lit(str(seed)), F.lit(str(i)))) for i in range((dim + 31) // 32)])
+    return [F.conv(F.substring(digits, i + 1, 15), 16, 10).cast("long").alias(f"b{i // 15}") for i in range(0, dim, 15)]
+
+
+def _sign(i: int) -> Column:
+    """Entry ``i`` of the index vector, -1 or 1."""
+    return F.shiftright(f"b{i // 15}", 4 * (14 - i % 15) + 3).bitwiseAND(F.lit(1)) * 2.0 - 1.0
+
+
+def _commonest(weights: DataFrame, n: int) -> Column:
+    """Marks at most ``n`` of the commonest words: those above a step of their count, eight steps to a doubling."""
+    step = F.floor(F.log2("all") * 8)
+    least, held = None, 0
+    for r in sorted(weights.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > n:
+            break
+        least = r["step"]
+    return F.lit(False) if least is None else step >= least
+
+
+def _word_vectors(df: DataFrame, column: str, dim: int, window: int, seed: int, sent: int) -> DataFrame:
+    """``(word, sent, vec)``, see ``word_vectors``; ``sent`` marks the commonest words, of which all tasks can hold vectors."""
+    contexts = _contexts(df, column, window)
+    beside = [c for c in contexts.columns if c != "word"]
+    met = sum((F.when(F.col(c).isNull(), 0).otherwise(1) for c in beside), F.lit(0))
+    counted = contexts.select(F.col("word").alias("other"), met.alias("n")).groupBy("other").agg(F.sum("n").alias("all"))
+    weights = cut(counted.select("other", "all", (1.0 / F.sqrt(F.col("all").cast("double"))).alias("weight"), *_sign_bits("other", dim, seed)))
+    weights = weights.withColumn("sent", _commonest(weights, max(sent // dim, 0)))
+    common, rest = weights.where("sent").drop("sent", "all"), weights.where("not sent").drop("sent", "all")
+    contexts = contexts.withColumnRenamed("word", "other")
+    pulls = ["word", "weight", *[c for c in weights.columns if c.startswith("b")]]
+    each = F.explode(F.array(*beside)).alias("word")
+    # a common word's pull is known to every task, so its meetings add up before the shuffle; only the meetings with others travel
+    near = contexts.join(F.broadcast(common), "other").select(each, *pulls[1:])
+    far = contexts.join(F.broadcast(common.select("other")), "other", "left_anti").select("other", each).where("word is not null").join(rest, "other").select(*pulls)
+    sums = near.where("word is not null").unionByName(far).groupBy("word").agg(*[F.sum(F.col("weight") * _sign(i)).alias(f"x{i}") for i in range(dim)])
+    vec = F.array(*[F.col(f"x{i}") for i in range(dim)])
+    raw = sums.select("word", vec.alias("vec")).withColumn("len", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)))
+    unit = F.transform("vec", lambda x: F.when(F.col("len") > 1e-12, x / F.col("len")).otherwise(F.lit(0.0)))
+    marked = F.broadcast(common.select(F.col("other").alias("word"), F.lit(True).alias("sent")))
+    return raw.join(marked, "word", "left").select("word", F.coalesce("sent", F.lit(False)).alias("sent"), unit.alias("vec"))
 
 
-def word_vectors(df: DataFrame, column: str, dim: int = 16, window: int = 2, seed: int = 42) -> DataFrame:
+def word_vectors(df: DataFrame, column: str, dim: int = 16, window: int = 2, seed: int = 42, sent: int = SENT_NUMBERS) -> DataFrame:
     """``(word, vec)``: unit vectors by random indexing over all texts.
 
     A word's vector adds up the index vectors of the words within ``window`` places of it, each weighed by how often
     they meet over the root of how often the other word meets any. This is a random projection of the whole table of
     co-occurrences, so words of like contexts lie close, and neither the table nor the vocabulary is held anywhere.
+    The weights of the commonest words, ``sent`` numbers in all, go to every task; all other words meet theirs in joins.
     """
-    tokens = text_tokens(df.select(column), column, "__t").select("__t", F.size("__t").alias("__n"))
-    beside = [
-        F.arrays_zip(F.slice("__t", 1, F.greatest(F.col("__n") - o, F.lit(0))).alias("a"), F.slice("__t", o + 1, F.greatest(F.col("__n") - o, F.lit(0))).alias("b"))
-        for o in range(1, window + 1)
-    ]
-    met = tokens.select(F.explode(F.concat(*beside)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    met = cut(met)
-    both = met.select(F.col("a").alias("word"), F.col("b").alias("other"), "n").unionByName(met.select(F.col("b").alias("word"), F.col("a").alias("other"), "n"))
-    # the context words' side: one row per word
-    weights = both.groupBy("other").agg(F.sum("n").alias("all")).select(
-        "other", (1.0 / F.sqrt(F.col("all").cast("double"))).alias("weight"), F.array(*_signs("other", dim, seed)).alias("sign"))
-    pulls = both.join(weights, "other").withColumn("pull", F.col("n") * F.col("weight"))
-    sums = pulls.groupBy("word").agg(*[F.sum(F.col("pull") * F.col("sign")[i]).alias(f"x{i}") for i in range(dim)])
-    vec = F.array(*[F.col(f"x{i}") for i in range(dim)])
-    raw = sums.select("word", vec.alias("vec")).withColumn("len", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)))
-    return raw.select("word", F.transform("vec", lambda x: F.when(F.col("len") > 1e-12, x / F.col("len")).otherwise(F.lit(0.0))).alias("vec"))
+    return _word_vectors(df, column, dim, window, seed, sent).select("word", "vec")
 
 
-def text_embeddings(df: DataFrame, column: str, key: str, dim: int = 16, window: int = 2, seed: int = 42, out: str = "vec") -> DataFrame:
+def text_embeddings(df: DataFrame, column: str, key: str, dim: int = 16, window: int = 2, seed: int = 42, out: str = "vec", sent: int = SENT_NUMBERS) -> DataFrame:
     """``(key, out)``: mean of the word vectors over all words of the text, repeated ones as often as they occur.
 
-    Null and empty texts and texts of a lone unknown word get the zero vector. Texts of one key count as one text.
+    Null and empty texts and texts of a lone unknown word get the zero vector. Texts of one key count as one text. The
+    commonest words' vectors are sent to every task, where a text's words add up; only the other words travel.
     """
-    vectors = cut(word_vectors(df, column, dim, window, seed))
-    words = text_tokens(df.select(key, column), column, "__t").select(key, F.explode("__t").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    sums = words.join(vectors, "word").groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("vec")[i]).alias(f"x{i}") for i in range(dim)])
+    vectors = cut(_word_vectors(df, column, dim, window, seed, sent))
+    common, rest = vectors.where("sent").select("word", "vec"), vectors.where("not sent").select("word", "vec")
+    words = text_tokens(df.select(key, column), column, "__t").select(key, F.explode("__t").alias("word"))
+    near = words.join(F.broadcast(common), "word").select(key, "vec")
+    far = words.join(F.broadcast(common.select("word")), "word", "left_anti").join(rest, "word").select(key, "vec")
+    sums = near.unionByName(far).groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("vec")[i]).alias(f"x{i}") for i in range(dim)])
     mean = F.array(*[F.col(f"x{i}") / F.col("n") for i in range(dim)])
     zero = F.array(*[F.lit(0.0)] * dim)
     return df.select(key).distinct().join(sums.select(key, mean.alias(out)), key, "left").withColumn(out, F.coalesce(out, zero))

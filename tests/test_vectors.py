@@ -143,3 +143,16 @@ def test_words_of_equal_contexts_lie_closer(spark):
     assert np.allclose(out[103], vec["dog"]) and np.allclose(out[104], vec["cat"])
     assert out[0] @ out[3] > out[0] @ out[7]
     assert X.text_embeddings(texts.limit(0), "text", "id", 4).count() == 0
+
+
+def test_word_vectors_write_no_table_of_pairs(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join(words[(i * 7 + j * (i + 1)) % 40] for j in range(30))) for i in range(40)] + [(40, None), (41, "w1")], "id int, text string")
+    sizes = []
+    monkeypatch.setattr(X, "cut", lambda df, keep=X.cut: (table := keep(df), sizes.append(table.count()))[0])
+    all_sent = {r.id: np.array(r.vec) for r in X.text_embeddings(texts, "text", "id", 20).collect()}
+    assert max(sizes) <= len(words)
+    # the same rows whether all, some or no words are sent to the tasks
+    for sent in (20 * 15, 0):
+        got = {r.id: np.array(r.vec) for r in X.text_embeddings(texts, "text", "id", 20, sent=sent).collect()}
+        assert got.keys() == all_sent.keys() and all(np.allclose(got[i], all_sent[i]) for i in got)
