@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,27 +112,78 @@ def degrees(edges: DataFrame, src: str = "src_key", dst: str = "dst_key") -> Dat
     )
 
 
+# edges that a task holds of those that can close a triangle, and of those that can be its other sides
+CLOSING_EDGES, OPEN_EDGES, LEAST_EDGES = 2_000_000, 1_000_000, 100_000
+WEDGES = 1 << 21  # looked up at a time
+
+
+def _triangles(parts: int, nodes: int):
+    """Per node its triangles ``a < b < c`` where b lies in this part: looks up c among the later neighbours of b."""
+
+    def run(key, lists: pa.Table, closing: pa.Table) -> pa.Table:
+        if not len(lists) or not len(closing):
+            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        heads = np.unique(closing.column("b").to_numpy())
+        column = closing.column("cs").combine_chunks()
+        held = np.repeat(np.searchsorted(heads, closing.column("b").to_numpy()), np.diff(column.offsets.to_numpy()))
+        pairs = np.sort(held * nodes + column.flatten().to_numpy())
+        column = lists.column("bs").combine_chunks()
+        ends, flat = np.cumsum(np.diff(column.offsets.to_numpy()).astype(np.int64)), column.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at = np.searchsorted(heads, flat)
+        known = (flat % parts == key[0].as_py()) & (heads[np.minimum(at, len(heads) - 1)] == flat)
+        rows = np.flatnonzero(known & (np.arange(len(flat)) + 1 < ends[owner]))
+        total = np.cumsum(ends[owner[rows]] - rows - 1)
+        found, first = [], 0
+        while first < len(rows):
+            done = total[first - 1] if first else 0
+            last = max(int(np.searchsorted(total, done + WEDGES, side="right")), first + 1)
+            some = rows[first:last]
+            size = ends[owner[some]] - some - 1
+            row = np.repeat(some, size)
+            c = flat[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + row + 1]
+            wanted = at[row] * nodes + c
+            hit = pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted
+            found.append(np.unique(np.r_[lists.column("a").to_numpy()[owner[row[hit]]], flat[row[hit]], c[hit]], return_counts=True))
+            first = last
+        node, place = np.unique(np.concatenate([x for x, _ in found] or [flat[:0]]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([x for _, x in found] or [flat[:0]]), len(node)).astype(np.int64)
+        return pa.table({"node": node, "n": n})
+
+    return run
+
+
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
     """Local clustering coefficient on the undirected simple graph of ``(src_key, dst_key)``.
 
-    Edges point from lower to higher degree, which leaves a node at most sqrt(2m) of them. Two edges out of a node are a
-    wedge, and a wedge whose ends are an edge is a triangle; only rows of three keys travel.
+    Nodes are numbered by degree and edges point from lower to higher number, which leaves a node at most sqrt(2m) of them.
+    A triangle's last edge begins at a node that others point to; only such edges are copied, to the tasks that hold the
+    nodes' lists, and a list goes to the parts of these edges that begin at one of its nodes. Wedges are looked up where
+    they arise and never travel: with few closing edges, as between hubs, the shuffle is in proportion to the edges.
     """
     simple = cut(
         edges.where(F.col("src_key") != F.col("dst_key"))
         .select(F.least("src_key", "dst_key").alias("u"), F.greatest("src_key", "dst_key").alias("v")).distinct()
     )
-    degree = cut(simple.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d")))
-    du, dv = (degree.withColumnsRenamed({"node": c, "d": f"d{c}"}) for c in "uv")
-    flip = (F.col("du") > F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") > F.col("v")))
-    oriented = cut(simple.join(du, "u").join(dv, "v").select(
-        F.when(flip, F.col("v")).otherwise(F.col("u")).alias("a"), F.when(flip, F.col("u")).otherwise(F.col("v")).alias("b")
-    ))
-    wedges = oriented.join(oriented.withColumnRenamed("b", "c"), "a").where(F.col("b") < F.col("c"))
-    closed = wedges.join(simple.withColumnsRenamed({"u": "b", "v": "c"}), ["b", "c"], "left_semi")
-    triangles = closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
+    degree = simple.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    codes = cut(global_rank(degree, ["d", "node"], "code"))
+    cu, cv = (codes.select(F.col("node").alias(c), F.col("code").alias(f"c{c}")) for c in "uv")
+    oriented = simple.join(cu, "u").join(cv, "v").select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"))
+    lists = cut(oriented.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("bs")))
+    heads = lists.select(F.explode("bs").alias("a")).distinct()
+    closing = cut(lists.join(heads, "a", "left_semi").select(F.col("a").alias("b"), F.col("bs").alias("cs")))
+    size = lambda df, c: df.agg(F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0]
+    m, k = size(lists, "bs"), size(closing, "cs")
+    # closing edges are cut into parts; copies for smaller tasks are made while they are no more rows than the edges
+    parts = -(-k // CLOSING_EDGES) or 1
+    copies = max(-(-m // OPEN_EDGES), min(-(-m // LEAST_EDGES), m // max(k, 1)), 1)
+    part = F.explode(F.array_distinct(F.transform("bs", lambda b: b % parts))).alias("part")
+    sides = lists.where(F.size("bs") > 1).select(part, F.pmod(F.xxhash64("a"), F.lit(copies)).alias("copy"), "a", "bs")
+    ends = closing.select((F.col("b") % parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "b", "cs")
+    met = sides.groupBy("part", "copy").cogroup(ends.groupBy("part", "copy")).applyInArrow(_triangles(parts, codes.count()), "node long, n long")
+    triangles = met.groupBy(F.col("node").alias("code")).agg(F.sum("n").alias("triangles"))
     possible = F.col("d") * (F.col("d") - 1)
-    return degree.join(triangles, "node", "left").fillna(0, ["triangles"]).select(
+    return codes.join(triangles, "code", "left").fillna(0, ["triangles"]).select(
         "node", F.col("d").alias("degree"), "triangles",
         F.when(F.col("d") > 1, 2.0 * F.col("triangles") / possible).otherwise(0.0).alias("clustering"),
     )

@@ -1,4 +1,5 @@
 import itertools
+import re
 from collections import deque
 
 import numpy as np
@@ -189,3 +190,23 @@ def test_clustering_and_degrees(events):
     assert got == {"a": (1, pytest.approx(1 / 3)), "b": (1, 1.0), "c": (1, 1.0), "d": (0, 0.0)}
     d = degrees(edges).collect()
     assert sum(r.in_degree for r in d) == sum(r.out_degree for r in d) == 5
+
+
+def test_triangles_without_rows_of_wedges(events, monkeypatch):
+    from spoorline.operators import features as X
+
+    rng, n = np.random.default_rng(5), 60
+    rows = [(f"n{rng.integers(n)}", f"n{rng.integers(n // (1 + i % 3))}", i) for i in range(900)]
+    around = {}
+    for u, v, _ in rows:
+        if u != v:
+            around.setdefault(u, set()).add(v), around.setdefault(v, set()).add(u)
+    want = {x: sum(len(around[x] & around[y]) for y in ys) // 2 for x, ys in around.items()}
+    # one part, and several parts and copies with lists looked up piece by piece
+    for limits in ({}, {"CLOSING_EDGES": 150, "OPEN_EDGES": 200, "WEDGES": 64}):
+        for name, value in limits.items():
+            monkeypatch.setattr(X, name, value)
+        out = clustering_coefficient(events(rows))
+        assert {r.node: r.triangles for r in out.collect()} == want
+    # no join looks up the far end of a wedge
+    assert not re.search(r"Join .*\bc#", out._jdf.queryExecution().optimizedPlan().toString())
