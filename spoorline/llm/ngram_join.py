@@ -76,7 +76,7 @@ def _first_order(k: int, num: int, den: int):
     return run
 
 
-def _active_bits(keys: DataFrame) -> np.ndarray:
+def active_bits(keys: DataFrame) -> np.ndarray:
     """Bitmap of the low bits of text keys, of a bounded size; a text that shares its bit with another passes too."""
     n = keys.count()
     bits = min(MAX_ACTIVE_BITS, max(10, (16 * n).bit_length()))
@@ -88,12 +88,16 @@ def _active_bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def in_bits(key: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Which of the signed 64-bit keys may be among those of the bitmap."""
+    at = key.view(np.uint64) & np.uint64(64 * len(active) - 1)
+    return (active[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _active_sets(k: int, active):
     def run(batches):
         for batch in batches:
-            key = batch.column("__key").to_numpy().view(np.uint64)
-            at = key & np.uint64(64 * len(active.value) - 1)
-            batch = batch.filter(pa.array((active.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+            batch = batch.filter(pa.array(in_bits(batch.column("__key").to_numpy(), active.value)))
             n, hi, lo, tokens = [], [], [], []
             for s in _token_sets(batch.column("__text"), k):
                 a, b = _prints(s)
@@ -245,7 +249,7 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_co
             scanned.where("n > 0").select("uid", "__key", "n").join(lone, "uid", "left")
             .where(F.coalesce("lone", F.lit(0)) < _prefix(F.col("n"), num, den)).select("__key").distinct()
         )
-        bits = _active_bits(active)
+        bits = active_bits(active)
         plain = scan.keep(scanned.drop("post", "uid"))
     sets = cut(
         source.mapInArrow(_active_sets(k, docs.sparkSession.sparkContext.broadcast(bits)), "n long, hi long, lo long, tokens array<long>")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.ngram_join import active_bits, in_bits
 from spoorline.llm.textops import Spans, flat, pieces
 from spoorline.session import cut
 
@@ -340,6 +341,27 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _in_filter(bits):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(batch.column("__key").to_numpy(), bits.value))).select(["doc_id", "text"])
+
+    return run
+
+
+def with_labels(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(doc_id, text, toxic)`` of the rows with a label.
+
+    A bitmap of the labelled ids, of a bounded size, goes over the texts first, so that texts without a label do not
+    travel, but for few whose ids share a bit; the join is exact. It deals the texts out evenly at every size.
+    """
+    keys = known.select(F.xxhash64("doc_id").alias("__key"))
+    bits = docs.sparkSession.sparkContext.broadcast(active_bits(keys))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    near = docs.where("text is not null").select("doc_id", "text", F.xxhash64(F.col("doc_id").cast(known.schema["doc_id"].dataType)).alias("__key"))
+    return near.mapInArrow(_in_filter(bits), f"doc_id {kind}, text string").join(known.hint("merge"), "doc_id")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from labelled texts: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic), both already cut to training rows.
 
@@ -349,9 +371,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     of the id; four numbers per sampled text reach the driver.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = cut(labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     # an id that occurs twice counts as two texts
-    labelled = cut(docs.where("text is not null").select("doc_id", "text").join(known, "doc_id").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "toxic", "text"))
+    labelled = cut(with_labels(docs, known).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "toxic", "text"))
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     unlearned = Model(np.zeros(1 << 15, np.float32), 0.0, np.array([0, 0, 0, np.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.0]))

@@ -348,6 +348,19 @@ def test_toxicity_learns_from_texts_and_finds_broken_up_words(spark):
     assert len({r["score"] for r in toxicity.score(docs, blind, ["doc_id"]).collect()}) == 1
 
 
+def test_toxicity_leaves_texts_without_a_label_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(7, "again"), (None, "no id"), (8, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(0, 40)] + [(5000, 1)], "doc_id long, toxic int")
+    found = toxicity.with_labels(docs, known)
+    want = sorted([(i, f"text {i}", i % 2) for i in range(40)] + [(7, "again", 1)])
+    assert sorted((r.doc_id, r.text, r.toxic) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastHashJoin" not in plan
+    passed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("__key")).mapInArrow(
+        toxicity._in_filter(spark.sparkContext.broadcast(toxicity.active_bits(known.select(F.xxhash64("doc_id").alias("__key"))))), "doc_id long, text string")
+    assert 41 <= passed.count() < 400
+
+
 def test_toxicity_covers_a_rare_insult_at_every_size(spark, monkeypatch):
     common = ["_IDIOT_", "_MORON_", "_SCUMBAG_"]
     rows = [(i, common) for i in range(1000)] + [(1000 + i, ["_WEASEL_", "_IDIOT_"]) for i in range(5)]
