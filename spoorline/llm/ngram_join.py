@@ -1,52 +1,69 @@
-"""N-gram Jaccard join by filtering under several global token orders.
-
-If two sets reach the similarity t, their first |x| - ceil(t|x|) + 1 tokens in *any* common order of all tokens share
-one token. Each order here puts the tokens whose salted hash falls in one share of the hash range first, the rarest
-ahead, and all others after them by hash. One scan under the first order drops every document whose whole prefix
-occurs nowhere else (all others are marked in a bitmap of bounded size). Under each order the rest is chained by shared prefix tokens, and the filters are intersected:
-documents stay candidates of each other only if they are chained under *every* order. Linked documents are never
-separated, and no pair is listed. Each surviving class is verified exactly, in pairs of bounded blocks; a
-block pair returns a spanning forest of its links.
+"""N-gram Jaccard join by signatures of hash ranges of the token sets.
+
+Two sets that reach the similarity t differ in at most d = (1 - t) / (1 + t) * (|x| + |y|) tokens. If the hash range is cut
+into more than d segments, both hold the same tokens in some segment. So a set's signatures are the digests of its
+segments; the number of segments follows from the set's size level, and a set takes part in every level that holds a
+larger partner's size. A segment without tokens has no signature, as others of the level have it too: ``slack`` more segments
+make up for these, and the rare set with more empty segments than that does give their signatures. Linked
+sets thus share a signature, and others seldom do, as a segment holds about ten tokens at t = 0.9.
+
+One scan drops every document whose signatures all occur nowhere else (all others are marked in a bitmap of bounded
+size). The rest is chained by shared signatures; no pair is listed. Each class so found is verified exactly, in
+pairs of bounded blocks; a block pair returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.llm.textops import Words, flat, list_values, long_lists, mix64, pieces, shingles
 from spoorline.operators.graphalgo import connected_components
 from spoorline.session import cut, stage
 
-SALTS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D, 0x6A09E667F3BCC909)
 BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 512
 MAX_ACTIVE_BITS = 27  # 16 MB; above it more texts pass to the exact filters, none fewer
-# names of token nodes lie above all set ids
-TOKEN_NODE = 1 << 62
-
-
-def prefix_length(n: int, num: int, den: int) -> int:
-    """n - ceil(num * n / den) + 1."""
-    return n + (-num * n) // den + 1
-
-
-def _prefix(n: Column, num: int, den: int) -> Column:
-    return n + 1 - F.floor((n * num + den - 1) / den).cast("long")
-
-
-def _posted(tokens: np.ndarray, salt: int, bound: int, need: int) -> np.ndarray:
-    """Hash-ordered 63-bit names of the tokens below ``bound``, and as many more as the prefix needs."""
-    names = np.sort(mix64(tokens ^ np.uint64(salt)) >> np.uint64(1))
-    return names[: max(need, int(np.searchsorted(names, np.uint64(bound))))]
-
-
-def _bound(num: int, den: int) -> int:
-    """Share of the hash range ranked by frequency: one and three quarter prefixes."""
-    return int(min(1.0, 1.75 * (den - num) / den) * 2**63)
+# largest set size of every level
+LEVELS = list(takewhile(lambda n: n < 1 << 40, accumulate(repeat(1.4), lambda n, ratio: max(n + 1, int(n * ratio)), initial=1)))
+
+
+@cache
+def _segments(level: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where the segments of a level begin in the hash range, their names, and how many of them may be empty."""
+    most, least = LEVELS[level], -(-num * (LEVELS[level - 1] + 1 if level else 1) // den)
+    differ, slack = 2 * most * (den - num) // (den + num), 0
+    # three deviations above the expected number of empty segments in the smallest set, if that many do not empty more
+    while slack < 2 + (differ + 1) // 4:
+        empty = (differ + 1 + slack) * math.exp(-least / (differ + 1 + slack))
+        if empty + 3 * math.sqrt(empty) <= slack + 0.5:
+            break
+        slack += 1
+    n = differ + 1 + slack
+    names = mix64(np.arange(n, dtype=np.uint64) + np.uint64((level + 1) << 32))
+    return np.array([(j << 64) // n for j in range(n)], np.uint64), names, slack
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures of a sorted set of hashes; sets with ``den * |x & y| >= num * |x | y|`` share one."""
+    if not len(s):
+        return s
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(mix64(s ^ np.uint64(0x6A09E667F3BCC909)), out=sums[1:])
+    out = []
+    for level in range(bisect_left(LEVELS, len(s)), bisect_left(LEVELS, len(s) * den // num) + 1):
+        starts, names, slack = _segments(level, num, den)
+        at = np.r_[np.searchsorted(s, starts), len(s)]
+        own, filled = mix64((sums[at[1:]] - sums[at[:-1]]) ^ names), at[1:] > at[:-1]
+        out.append(own[filled] if len(own) - np.count_nonzero(filled) <= slack else own)
+    return np.concatenate(out)
 
 
 def _token_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -62,16 +79,16 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(hi.view(np.int64)), int(lo.view(np.int64))
 
 
-def _first_order(k: int, num: int, den: int):
+def _first_scan(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
             n, hi, lo, posts = [], [], [], []
             for s in _token_sets(batch.column("__text"), k):
                 a, b = _prints(s)
-                n.append(len(s)), hi.append(a), lo.append(b)
-                posts.append(_posted(s, SALTS[0], _bound(num, den), prefix_length(len(s), num, den)) if len(s) else s)
+                n.append(len(s)), hi.append(a), lo.append(b), posts.append(signatures(s, num, den))
             own = [batch.column(c) for c in ("__id", "__key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), long_lists(posts)], ["__id", "__key", "n", "hi", "lo", "post"])
+            numbers = [pa.array(x, pa.int64()) for x in (n, hi, lo, [len(p) for p in posts])]
+            yield pa.RecordBatch.from_arrays([*own, *numbers, long_lists(posts)], ["__id", "__key", "n", "hi", "lo", "m", "post"])
 
     return run
 
@@ -108,47 +125,25 @@ def _active_sets(k: int, active):
     return run
 
 
-def _all_orders(num: int, den: int):
-    """Per set and order the posted tokens."""
-
+def _set_signatures(num: int, den: int):
     def run(batches):
         for batch in batches:
             values, offsets = list_values(batch.column("tokens"))
-            sets = [values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
-            for i, salt in enumerate(SALTS):
-                posts = [_posted(s, salt, _bound(num, den), prefix_length(len(s), num, den)) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(np.full(len(sets), i, np.int32)), long_lists(posts)], ["sid", "n", "o", "post"])
+            posts = [signatures(values[a:b].view(np.uint64), num, den) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), long_lists(posts)], ["sid", "post"])
 
     return run
 
 
 def _classes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``(sid, cls)``: sets are of one class if shared prefix tokens chain them under every order; lone sets are left out.
+    """``(sid, cls)``: sets are of one class if shared signatures chain them; lone sets are left out.
 
-    The graphs of all orders are closed in one go, as disjoint parts of one graph.
+    All holders of a signature are tied to the smallest of them, so that copies, which share many, give few edges.
     """
-    orders = len(SALTS)
-    posted = sets.select("sid", "n", "tokens").mapInArrow(_all_orders(num, den), "sid long, n long, o int, post array<long>")
-    each = posted.select("sid", "n", "o", F.size("post").alias("m"), F.explode("post").alias("tok"))
-    shared = each.groupBy("o", "tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # tokens of one poster come first in the order and connect nothing; they only use up places of the prefix
-    per = Window.partitionBy("sid", "o")
-    first = F.struct(F.when(F.col("tok") < F.lit(_bound(num, den)), F.col("c")).otherwise(F.lit(1 << 62)), "tok")
-    kept = (
-        each.join(shared, ["o", "tok"])
-        .withColumn("r", F.row_number().over(per.orderBy(first)))
-        .withColumn("lone", F.col("m") - F.count(F.lit(1)).over(per))
-        .where(F.col("r") <= _prefix(F.col("n"), num, den) - F.col("lone"))
-    )
-    node = F.xxhash64("o", "tok").bitwiseAND(F.lit(TOKEN_NODE - 1)).bitwiseOR(F.lit(TOKEN_NODE))
-    edges = cut(kept.select((F.col("sid") * orders + F.col("o")).alias("src_key"), node.alias("dst_key")))
-    chained = connected_components(edges)
-    both = chained.where(F.col("node") < F.lit(TOKEN_NODE)).select(F.expr(f"node div {orders}").alias("sid"), (F.col("node") % orders).alias("o"), "component")
-    parts = [F.max(F.when(F.col("o") == i, F.col("component"))).alias(f"c{i}") for i in range(orders)]
-    met = both.groupBy("sid").agg(*parts).where(" and ".join(f"c{i} is not null" for i in range(orders)))
-    classes = cut(met.select("sid", F.xxhash64(*[f"c{i}" for i in range(orders)]).alias("cls")))
-    many = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return classes.join(many, "cls", "left_semi")
+    each = sets.select("sid", "tokens").mapInArrow(_set_signatures(num, den), "sid long, post array<long>").select("sid", F.explode("post").alias("sig"))
+    least = each.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("least")).where("c > 1").drop("c")
+    edges = cut(each.join(least, "sig").where("sid != least").select(F.col("sid").alias("src_key"), F.col("least").alias("dst_key")).distinct())
+    return connected_components(edges).select(F.col("node").alias("sid"), F.col("component").alias("cls"))
 
 
 def _overlaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -237,20 +232,20 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, id_column: str, text_co
     ).withColumn("__key", F.xxhash64("__text"))
     with stage(docs.sparkSession) as scan:
         scanned = cut(
-            source.mapInArrow(_first_order(k, num, den), "__id long, __key long, n long, hi long, lo long, post array<long>")
+            source.mapInArrow(_first_scan(k, num, den), "__id long, __key long, n long, hi long, lo long, m long, post array<long>")
             .withColumn("uid", F.monotonically_increasing_id())
         )
         lone = (
-            scanned.select("uid", F.explode("post").alias("tok")).groupBy("tok")
+            scanned.select("uid", F.explode("post").alias("sig")).groupBy("sig")
             .agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).where("c = 1")
             .groupBy("uid").agg(F.count(F.lit(1)).alias("lone"))
         )
         active = cut(
-            scanned.where("n > 0").select("uid", "__key", "n").join(lone, "uid", "left")
-            .where(F.coalesce("lone", F.lit(0)) < _prefix(F.col("n"), num, den)).select("__key").distinct()
+            scanned.where("n > 0").select("uid", "__key", "m").join(lone, "uid", "left")
+            .where(F.coalesce("lone", F.lit(0)) < F.col("m")).select("__key").distinct()
         )
         bits = active_bits(active)
-        plain = scan.keep(scanned.drop("post", "uid"))
+        plain = scan.keep(scanned.drop("post", "uid", "m"))
     sets = cut(
         source.mapInArrow(_active_sets(k, docs.sparkSession.sparkContext.broadcast(bits)), "n long, hi long, lo long, tokens array<long>")
         .where("n > 0").dropDuplicates(["hi", "lo", "n"]).withColumn("sid", F.monotonically_increasing_id())

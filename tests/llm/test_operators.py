@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from spoorline.llm import chat, decontaminate, html_text, langid, packing, secret_scan, suffix_tree, toxicity
 from spoorline.llm.embed_dedup import embedding_groups, passes_for
-from spoorline.llm.ngram_join import jaccard_groups
+from spoorline.llm.ngram_join import jaccard_groups, signatures
 from spoorline.llm.tables import crc_part
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,6 +96,32 @@ def test_ngram_join_of_a_large_class_is_split_into_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_ngram_join_keeps_unlike_texts_of_shared_words_apart(spark):
+    # every word is in some nine texts, but no two texts are alike
+    rng = random.Random(4)
+    rows = [(i, " ".join("w%d" % j for j in rng.sample(range(2000), 60))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(5)]
+    got = jaccard_groups(documents(spark, rows), 1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 300 if i >= 300 else i for i, _ in rows}
+    assert sum(r["group"] is not None for r in got) < 40
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_sets_within_the_similarity_share_a_signature(num):
+    rng = np.random.default_rng(num)
+    tried = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 60))
+        tokens = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64) * np.uint64(2)
+        differ = int(rng.integers(0, n + 1))
+        less = int(rng.integers(0, differ + 1))
+        x, y = np.unique(tokens[:n]), np.unique(np.r_[tokens[less:n], tokens[n : n + differ - less]])
+        if len(y) and 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
+            tried += 1
+            assert len(np.intersect1d(signatures(x, num, 100), signatures(y, num, 100)))
+    assert tried > 200
+
+
 def test_embedding_groups_equal_all_pairs(spark):
     rng = np.random.default_rng(0)
     rows, centers = [], rng.standard_normal((6, 64))
