@@ -51,12 +51,15 @@ class BareWords(Words):
         super().__init__(small, offsets)
 
     def _trim(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        # most words begin and end with a letter or digit and stay as they are
+        ragged = np.flatnonzero(~(ALNUM[data[self.start]] & ALNUM[data[self.end - 1]]))
         solid = np.flatnonzero(ALNUM[data])
-        low, high = np.searchsorted(solid, self.start), np.searchsorted(solid, self.end)
+        low, high = np.searchsorted(solid, self.start[ragged]), np.searchsorted(solid, self.end[ragged])
         some = low < high
-        text = np.repeat(np.arange(len(offsets) - 1), self.counts())[some]
-        self.start, self.end = solid[low[some]], solid[high[some] - 1] + 1
-        self.first = np.searchsorted(text, np.arange(len(offsets)))
+        self.start[ragged[some]], self.end[ragged[some]] = solid[low[some]], solid[high[some] - 1] + 1
+        bare = ragged[~some]
+        self.start, self.end = np.delete(self.start, bare), np.delete(self.end, bare)
+        self.first = self.first - np.searchsorted(bare, self.first)
 
 
 def ladder(n: int) -> int:
@@ -75,15 +78,20 @@ def step(size: int) -> int:
 
 def prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """64-bit SimHash of the windows of ``size`` words at the positions ``at``; ``sums``: running bit counts."""
-    ones = sums.take(at + size, axis=0) - sums.take(at, axis=0)
+    ones = (sums.take(at + size, axis=0) - sums.take(at, axis=0)).view(np.uint8 if sums.shape[1] == 8 else np.uint16)
     return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
 
 
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running counts of every hash bit, modulo 2**16, which is enough for differences; summed along contiguous rows."""
-    bits = np.ascontiguousarray(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).T)
-    out = np.zeros((len(hashes) + 1, 64), np.int16)
-    out[1:] = np.cumsum(bits, axis=1, dtype=np.int16).T
+def bit_sums(hashes: np.ndarray, most: int) -> np.ndarray:
+    """Running counts of every hash bit, several to a 64-bit number.
+
+    Counts run over into their neighbours, but the difference of two sums is exact: no window of up to ``most`` words fills
+    the 8 or 16 bits of a count.
+    """
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    packed = (bits if most < 256 else bits.astype(np.uint16)).view(np.uint64)
+    out = np.zeros((len(hashes) + 1, packed.shape[1]), np.uint64)
+    np.cumsum(packed, axis=0, out=out[1:])
     return out
 
 
@@ -96,6 +104,7 @@ class BlockIndex:
     offset: np.ndarray
     heads: list[np.ndarray] = field(default_factory=list)
     members: list[np.ndarray] = field(default_factory=list)
+    taken: list[np.ndarray] = field(default_factory=list)  # which block values have members
 
     def __post_init__(self):
         flips = np.r_[0, 1 << np.arange(16)]
@@ -105,18 +114,20 @@ class BlockIndex:
             order = np.argsort(values, kind="stable")
             self.heads.append(np.searchsorted(values[order], np.arange(65537)).astype(np.int32))
             self.members.append(owner[order].astype(np.int32))
+            self.taken.append(np.diff(self.heads[b]) > 0)
 
     def near(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (row of ``found``, row of the index) within the radius, each once or more."""
         rows, hits = [], []
         for b in range(4):
-            value = ((found >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            value = ((found >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            some = np.flatnonzero(self.taken[b][value])
+            value = value[some].astype(np.int64)
             low = self.heads[b][value]
             count = self.heads[b][value + 1] - low
-            some = np.flatnonzero(count)
-            for part in np.array_split(some, max(1, int(count[some].sum()) // 4_000_000 + 1)):
+            for part in np.array_split(np.arange(len(some)), max(1, int(count.sum()) // 4_000_000 + 1)):
                 n = count[part]
-                row = np.repeat(part, n)
+                row = np.repeat(some[part], n)
                 index = self.members[b][np.repeat(low[part], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
                 close = np.bitwise_count(found[row] ^ self.prints[index]) <= RADIUS
                 rows.append(row[close])
@@ -185,7 +196,7 @@ class Index:
             if len(h):
                 size = ladder(len(h))
                 offsets = np.arange(len(h) - size + 1)
-                groups.setdefault(size, []).append((prints(bit_sums(h), offsets, size), np.full(len(offsets), i), offsets))
+                groups.setdefault(size, []).append((prints(bit_sums(h, size), offsets, size), np.full(len(offsets), i), offsets))
         self.sizes = {size: BlockIndex(*(np.concatenate(c) for c in zip(*parts))) for size, parts in sorted(groups.items())}
 
     def matches(self, words: Words) -> list[dict[int, tuple[float, int, int]]]:
@@ -193,7 +204,7 @@ class Index:
         out: list[dict] = [{} for _ in range(len(words.first) - 1)]
         if not len(words.hash):
             return out
-        sums = bit_sums(words.hash)
+        sums = bit_sums(words.hash, max(self.sizes, default=1))
         counts = words.counts()
         for size, index in self.sizes.items():
             gap = step(size)

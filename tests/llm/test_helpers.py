@@ -146,6 +146,23 @@ def test_inferred_automaton_prefers_its_format():
     assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("size, row_bytes", [(5, 64), (255, 64), (256, 128), (700, 128)])
+def test_window_prints_equal_counting_every_bit(size, row_bytes):
+    hashes = np.random.default_rng(size).integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    sums, at = decontaminate.bit_sums(hashes, size), np.array([0, 3, 200])
+    assert sums.nbytes == row_bytes * 901
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+    want = [np.packbits(bits[a : a + size].sum(axis=0) > size // 2).view(np.uint64)[0] for a in at]
+    assert decontaminate.prints(sums, at, size).tolist() == want
+
+
+def test_bare_words_lose_outer_marks_only():
+    texts = ["(One) two-three, -- 'four'", "", "--", "... five", "six ."]
+    words = decontaminate.BareWords(*flat(pa.array(texts)))
+    got = [[bytes(words.low[a:b]).decode() for a, b in zip(words.start[i:j], words.end[i:j])] for i, j in zip(words.first[:-1], words.first[1:])]
+    assert got == [["one", "two-three", "four"], [], [], ["five"], ["six"]]
+
+
 def test_hamming_blocks_miss_nothing_within_the_radius():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 2**63, 200).astype(np.uint64)
