@@ -39,6 +39,7 @@ FILTER_BITS = 24  # of the Bloom filter; a context has two places
 MERGE_KEYS = 4_000_000
 
 U = np.uint64
+MARKS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 def stream(words: Words, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +76,17 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[head], np.diff(np.r_[head, len(keys)])
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for every key its place among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(head) - 1
+    return keys[head], place
+
+
 class _Counter:
     """Counts of 64-bit keys, merged whenever the parts outgrow a bound."""
 
@@ -274,14 +286,14 @@ def far_states(kept: DataFrame, depth: int) -> DataFrame:
     return cut(reduce(DataFrame.unionByName, parts))
 
 
-def _places(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of tagged contexts in the filter."""
-    return (tags * U(0x9E3779B97F4A7C15)) >> U(64 - FILTER_BITS), (tags * U(0xC2B2AE3D27D4EB4F)) >> U(64 - FILTER_BITS)
+def _place(tags: np.ndarray, mark: np.uint64) -> np.ndarray:
+    """A bit of tagged contexts in the filter; each has one for every number in ``MARKS``."""
+    return (tags * mark) >> U(64 - FILTER_BITS)
 
 
 def _filter_bits(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(batch.column("tag").to_numpy().view(np.uint64))).astype(np.int32))], ["bit"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_place(batch.column("tag").to_numpy().view(np.uint64), mark) for mark in MARKS]).astype(np.int32))], ["bit"])
 
 
 def far_filter(far: DataFrame) -> np.ndarray:
@@ -297,10 +309,11 @@ def far_bytes(keys: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     for d in range(1, depth + 1):
         tags = (keys >> U(8)) & U((1 << (8 * d)) - 1) | U(1 << (8 * d)) | STATE
-        ok = np.ones(len(keys), bool)
-        for at in _places(tags):
-            ok &= (known[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
-        out |= ok
+        some = np.arange(len(keys))
+        for mark in MARKS:  # few pass the first place and are asked for the second
+            at = _place(tags[some], mark)
+            some = some[(known[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)]
+        out[some] = True
     return out
 
 
@@ -427,11 +440,13 @@ def word_logs(
     keys = keys[own]
     byte = keys & U(255)
     ends = np.flatnonzero((byte == U(32)) | (byte == U(END)))
-    logs = tree_logs(entries, states, keys, depth)
+    # of a million bytes about a quarter meet a context for the first time
+    once, place = distinct(keys)
+    logs = tree_logs(entries, states, once, depth)[place]
     sums = np.add.reduceat(logs, np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(0)
     # a text without words is its end mark alone
     lone = np.cumsum(np.maximum(counts, 1))[counts == 0] - 1
-    at = np.flatnonzero(far_bytes(keys, far, depth)) if far is not None else np.zeros(0, np.int64)
+    at = np.flatnonzero(far_bytes(once, far, depth)[place]) if far is not None else np.zeros(0, np.int64)
     word = np.searchsorted(ends, at)
     real = ~np.isin(word, lone)
     at, word = at[real], word[real]

@@ -194,6 +194,35 @@ def test_smoothed_tree_is_a_distribution():
         assert abs((10 ** suffix_tree.tree_logs(*tables, all_next, 2)).sum() - 1) < 1e-9
 
 
+def test_word_logs_look_every_context_up_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(rng.choice(["one", "two", "three", "fourteen"], rng.integers(0, 30))) for _ in range(40)]
+    data, offsets = flat(pa.array(lines))
+    words = Words(data, offsets)
+    keys, begin, last = suffix_tree.stream(words, offsets, 2)
+    entries, states = (suffix_tree.Table(np.zeros(0, np.uint64), np.zeros(0)) for _ in range(2))
+    far, asked = np.packbits(rng.random(1 << suffix_tree.FILTER_BITS) < 0.5, bitorder="little"), []
+    plain_logs, plain_far = suffix_tree.tree_logs, suffix_tree.far_bytes
+    monkeypatch.setattr(suffix_tree, "tree_logs", lambda e, s, k, d: asked.append(k) or plain_logs(e, s, k, d) - (k % np.uint64(97)).astype(float))
+    monkeypatch.setattr(suffix_tree, "far_bytes", lambda k, f, d: asked.append(k) or plain_far(k, f, d))
+    sums, word, byte, log = suffix_tree.word_logs(keys, begin, last, words.counts(), entries, states, 2, far)
+    assert [len(np.unique(k)) for k in asked] == [len(k) for k in asked]
+    # the same byte by byte
+    want_sums, want_far, n = [], [], 0
+    for a, b, count in zip(begin, last, words.counts()):
+        total = 0.0
+        for key in keys[a:b] if count else []:
+            one = -np.log10(256) - float(key % np.uint64(97))
+            total += one
+            if plain_far(np.array([key]), far, 2)[0]:
+                want_far.append((n, int(key), one))
+            if int(key) & 255 in (32, suffix_tree.END):
+                want_sums.append(total)
+                total, n = 0.0, n + 1
+    assert np.allclose(sums, want_sums) and len(sums) == int(words.counts().sum())
+    assert [(w, k) for w, k, _ in want_far] == list(zip(word.tolist(), byte.tolist())) and np.allclose(log, [x for _, _, x in want_far])
+
+
 def test_table_finds_what_it_holds():
     keys = np.unique(np.random.default_rng(5).integers(0, 2**60, 5000).astype(np.uint64))
     table = suffix_tree.Table(keys[::2], np.arange(len(keys[::2]), dtype=float))
