@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.llm import decontaminate, langid, packing, secret_scan
-from spoorline.llm.ngram_join import jaccard_groups
+from spoorline.llm.prefix_join import jaccard_groups
 from spoorline.llm.queries import tokenizer_path
 from spoorline.llm.tables import crc_part, table
 from spoorline.session import configure, cut, frozen, stage
