@@ -103,7 +103,8 @@ def learn(docs: DataFrame) -> Filter:
     langs = [r["lang"] for r in totals]
     if not langs:
         return Filter([], np.zeros((1, 1 << POSITION_BITS), np.uint64), np.zeros(0))
-    sizes = spark.createDataFrame([(r["lang"], i, r["total"]) for i, r in enumerate(totals)], "lang string, code int, total long")
+    # rows given as a list would go through Python workers of a kind of their own, which stay in memory beside the others
+    sizes = spark.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "code": pa.array(range(len(langs)), pa.int32()), "total": pa.array([r["total"] for r in totals], pa.int64())}))
     rates = counted.join(F.broadcast(sizes), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
     kept = rates.join(best, "gram").where((F.col("n") >= KEEP_COUNT) & (F.col("rate") >= KEEP_RATIO * F.col("best")))
@@ -135,8 +136,7 @@ def _predict(shared):
             counts, sizes = [], []
             for i, j in pieces(offsets):
                 keys, first = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                wide = keys.astype(np.uint64)
-                spots = [((wide * np.uint64(m) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - POSITION_BITS)).astype(np.int64) for m in MULTIPLIERS]
+                spots = [(keys * np.uint32(m)) >> np.uint32(32 - POSITION_BITS) for m in MULTIPLIERS]
                 hits = np.zeros((j - i, len(f.langs)))
                 for s, words in enumerate(slices):
                     bits = words[spots[0]] & words[spots[1]] & words[spots[2]]

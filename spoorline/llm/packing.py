@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textops import flat, pieces
+from spoorline.llm.textops import flat, pieces, released
 
 SHARD_TOKENS = 8_000_000
+BATCH_PIECES = 5000
 CACHED_WORDS = 250_000
 
 # printable ASCII without the apostrophe, and the letters of Latin-1: composed already, lower-cased alike everywhere
@@ -199,21 +200,39 @@ def plan(lengths: np.ndarray, window: int) -> dict[str, np.ndarray]:
     return {"doc": doc[order], "start": start[order], "length": length[order], "sequence": sequence[order], "offset": offset[order]}
 
 
-def _shard(ids: pa.Array, tokens: list[np.ndarray], counts: np.ndarray, window: int, base: int):
-    """Record batches of a shard's pieces and the number of its sequences."""
-    pieces_ = plan(counts, window)
-    stream = np.concatenate(tokens)
-    ends = np.zeros(len(pieces_["length"]) + 1, np.int64)
-    np.cumsum(pieces_["length"] * 4, out=ends[1:])
-    # pieces in document order lie end to end in the stream of ids
-    binary = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(stream)]).cast(pa.binary())
-    doc = pieces_["doc"]
-    table = pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(doc)), pa.array(pieces_["start"]), pa.array(pieces_["length"]), binary, pa.array(counts[doc]),
-         pa.array(pieces_["sequence"] + base), pa.array(pieces_["offset"])],
-        ["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-    )
-    return [table.slice(i, 5000) for i in range(0, len(table), 5000)], int(pieces_["sequence"].max()) + 1
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """The same ids in half the bytes if they fit."""
+    return ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids
+
+
+def _shard(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]], window: int, base: int):
+    """Record batches of the pieces of a shard's parts ``(ids of documents, tokens, tokens per document)``; returns the number of its sequences.
+
+    A part leaves ``parts`` as its batches are made, so that only these are held as wide as they travel.
+    """
+    pieces_ = plan(np.concatenate([counts for _, _, counts in parts]), window)
+    sequences, first = int(pieces_["sequence"].max()) + 1, 0
+    parts.reverse()
+    while parts:
+        names, tokens, counts = parts.pop()
+        low, high = np.searchsorted(pieces_["doc"], [first, first + len(counts)])
+        used = 0
+        for i in range(low, high, BATCH_PIECES):
+            own = {name: column[i : min(i + BATCH_PIECES, high)] for name, column in pieces_.items()}
+            ends = np.zeros(len(own["length"]) + 1, np.int64)
+            np.cumsum(own["length"] * 4, out=ends[1:])
+            # pieces in document order lie end to end in the part's tokens
+            stream = tokens[used : used + ends[-1] // 4].astype(np.uint32)
+            used += len(stream)
+            binary = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(stream)]).cast(pa.binary())
+            doc = own["doc"] - first
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(doc)), pa.array(own["start"]), pa.array(own["length"]), binary, pa.array(counts[doc]),
+                 pa.array(own["sequence"] + base), pa.array(own["offset"])],
+                ["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
+        first += len(counts)
+    return sequences
 
 
 def _pack(path: str, window: int, end_id: int, shard_tokens: int):
@@ -221,29 +240,23 @@ def _pack(path: str, window: int, end_id: int, shard_tokens: int):
         if path not in _workers:
             _workers[path] = WordIds(path)
         encode, base = _workers[path], TaskContext.get().partitionId() << 40
-        names, tokens, counts, held = [], [], [], 0
-
-        def close():
-            nonlocal names, tokens, counts, held, base
-            out, n = _shard(pa.concat_arrays(names), tokens, np.concatenate(counts), window, base)
-            names, tokens, counts, held, base = [], [], [], 0, base + n
-            return out
-
+        parts, held = [], 0
         for batch in batches:
             text = batch.column("__text")
             _, offsets = flat(text)
             for i, j in pieces(offsets):
                 found, n = encode(text.slice(i, j - i), end_id)
-                names.append(batch.column("__id").slice(i, j - i))
-                tokens.append(found)
-                counts.append(n)
+                # a slice would hold the whole batch with its texts
+                names = batch.column("__id").take(pa.array(np.arange(i, j)))
+                parts.append((names, _narrow(found), n))
                 held += len(found)
                 if held >= shard_tokens:
-                    yield from close()
-        if names:
-            yield from close()
+                    base += yield from _shard(parts, window, base)
+                    held = 0
+        if parts:
+            yield from _shard(parts, window, base)
 
-    return run
+    return released(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, shard_tokens: int = SHARD_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

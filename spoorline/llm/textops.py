@@ -6,7 +6,7 @@ one UTF-8 buffer per chunk, so a word costs a few array operations and no Python
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at the task's end its worker, which lives on, gives freed memory back to the system."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def texts_of(batch) -> pa.Array:
     """The batch's texts, from the carried row where it holds them, so that no text travels twice; null is empty."""
     column = batch.column("__text") if "__text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
