@@ -58,23 +58,28 @@ def map_entity_type(record_type: Column) -> Column:
     return F.coalesce(lookup(ENTITY_TYPES, record_type, None), F.lower(record_type))
 
 
-def events(records: DataFrame, compat: bool = False) -> DataFrame:
-    """Event records before resolution: both uuids, mapped type, time and attributes."""
+def _event(compat: bool) -> list[Column]:
+    """The columns of an event record before resolution."""
     kind = F.coalesce(get("rec", "type"), F.lit("EVENT_OTHER"))
-    return unwrap(records).where("record_type = 'Event'").select(
-        "file", "pos", F.coalesce(get("rec", "uuid"), F.lit("")).alias("event_id"), map_event_type(kind).alias("event_type"),
+    return [
+        F.col("file"), F.col("pos"), F.coalesce(get("rec", "uuid"), F.lit("")).alias("event_id"), map_event_type(kind).alias("event_type"),
         to_epoch(F.coalesce(get("rec", "timestampNanos"), F.lit("0")), compat).alias("ts_s"),
         reference("subject").alias("src_uuid"), reference("predicateObject").alias("dst_uuid"),
         attribute_map(
             cdm_type=kind, predicate_object2=reference("predicateObject2"), thread_id=get("rec", "threadId"),
             sequence=get("rec", "sequence"), properties=get("rec", "properties"),
         ).alias("attributes"),
-    )
+    ]
 
 
-def entities(records: DataFrame) -> DataFrame:
-    """All entity records in one projection: ``(entity_key, entity_id, entity_type, uuid, attributes, file, pos)``."""
-    kind, uuid = F.col("record_type"), F.col("uuid")
+def events(records: DataFrame, compat: bool = False) -> DataFrame:
+    """Event records before resolution: both uuids, mapped type, time and attributes."""
+    return unwrap(records).where("record_type = 'Event'").select(*_event(compat))
+
+
+def _entity(uuid: Column) -> tuple[Column, Column]:
+    """Id and attributes of an entity record."""
+    kind = F.col("record_type")
     pid = F.coalesce(get("rec", "pid"), get("rec", "cid"))
     path = F.coalesce(get("rec", "baseObject", "properties", "path"), get("rec", "baseObject", "properties", "map", "path"))
     flow = {
@@ -99,6 +104,13 @@ def entities(records: DataFrame) -> DataFrame:
         .when(kind == "NetFlowObject", attribute_map(**flow, protocol=get("rec", "ipProtocol")))
         .otherwise(as_map(F.col("rec")))
     )
+    return entity_id, attributes
+
+
+def entities(records: DataFrame) -> DataFrame:
+    """All entity records in one projection: ``(entity_key, entity_id, entity_type, uuid, attributes, file, pos)``."""
+    kind, uuid = F.col("record_type"), F.col("uuid")
+    entity_id, attributes = _entity(uuid)
     return (
         unwrap(records).where(kind.isin(list(ENTITY_TYPES)))
         .withColumn("uuid", get("rec", "uuid")).where(uuid.isNotNull() & (uuid != ""))
@@ -110,6 +122,19 @@ def entities(records: DataFrame) -> DataFrame:
     )
 
 
+def events_and_entities(records: DataFrame) -> DataFrame:
+    """The rows of ``events`` and ``entities``, as ``(event, uuid, entity_key, file, pos)``: an event's columns are in ``event``,
+    which an entity's row has not. Every record is read and opened once, also in a stream."""
+    kind, uuid = F.col("record_type"), F.col("uuid")
+    is_event = kind == "Event"
+    opened = unwrap(records).withColumn("uuid", get("rec", "uuid")).where(is_event | (kind.isin(list(ENTITY_TYPES)) & uuid.isNotNull() & (uuid != "")))
+    entity_id, _ = _entity(uuid)
+    return once(
+        opened, event=F.when(is_event, F.struct(*_event(False))),
+        entity_key=F.when(~is_event, F.concat_ws(":", map_entity_type(kind), entity_id)),
+    ).select("event", F.when(~is_event, uuid).alias("uuid"), "entity_key", "file", "pos")
+
+
 def subjects(records: DataFrame) -> DataFrame:
     return entities(records).where("entity_type = 'process'")
 

@@ -38,7 +38,7 @@ def finite(raw: Column) -> Column:
     """The text with the words ``NaN`` and ``Infinity`` outside strings as ``null``."""
     marked = F.regexp_replace(raw, _WORDS, "$1\u0001")
     named = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit("null"))
-    return F.when(raw.rlike("NaN|Infinity") & ~raw.contains("\u0001"), named).otherwise(raw)
+    return F.when((raw.contains("NaN") | raw.contains("Infinity")) & ~raw.contains("\u0001"), named).otherwise(raw)
 
 
 def strictly(raw: Column) -> tuple[Column, Column]:
