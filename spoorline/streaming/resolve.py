@@ -29,6 +29,8 @@ from spoorline.sources.readers import make_folder
 PARTS = 8
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+BOUND = "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB"
 CHANGES_ONLY = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 PARTITIONS = "spark.sql.shuffle.partitions"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -37,7 +39,7 @@ SLOTS = 512  # keys of state; a change needs a new checkpoint
 COLUMNS = ["kind", "uuid", "file", "pos", "name", "event"]
 OUT = "kind string, uuid string, file string, pos long, name string, event string"
 TAKEN = [*COLUMNS, "part"]
-HELD_ROWS, HELD_BYTES = 50_000, 32 << 20  # rows of a task that are sorted into slots at once
+HELD_ROWS, HELD_BYTES = 25_000, 16 << 20  # rows of a task that are sorted into slots at once
 PACKED_ROWS = 1000  # rows of a slot that travel as one
 PAGE = 128  # names in one value of state, at most
 CHUNK = 128  # open events in one value of state, at most
@@ -324,11 +326,12 @@ def _start(df: DataFrame, path: str, checkpoint: str, available_now: bool) -> St
     the end of the data must not go on with empty batches for them, so its timers fire with the next data.
 
     Every batch commits every partition of state, also an idle one: it writes the changes only, and there are no more
-    partitions than keep the cores busy.
+    partitions than keep the cores busy. What the partitions of an executor hold in memory is bounded together.
     """
     conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
     own = {
-        PROVIDER: ROCKS, EMPTY_BATCHES: str(not available_now).lower(), CHANGES_ONLY: "true", BATCH_BYTES: str(8 << 20),
+        PROVIDER: ROCKS, EMPTY_BATCHES: str(not available_now).lower(), CHANGES_ONLY: "true", BOUNDED: "true", BOUND: "300",
+        BATCH_BYTES: str(8 << 20),
         PARTITIONS: str(min(int(conf.get(PARTITIONS)), max(4 * cores, 32), SLOTS // 2)),
     }
     before = {key: conf.get(key, None) for key in own}
